@@ -112,11 +112,12 @@ def json_clean(spark, sf_dir):
 
 
 @query("json_rows", """
-SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")
+SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_size":' || p_size || '}' AS json
+FROM part""")
 def json_rows(spark, sf_dir):
-    nation = tables.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = publish.json_rows(nation)
-    return rows.select(F.get_json_object("json", "$.n_nationkey").cast("int").alias("n_nationkey"), "json")
+    part = tables.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    rows = publish.json_rows(part)
+    return rows.select(F.get_json_object("json", "$.p_partkey").cast("long").alias("p_partkey"), "json")
 
 
 # --- files ------------------------------------------------------------------------------
@@ -189,17 +190,28 @@ def published_runs(spark, sf_dir):
 
 
 
-@query("manifest_shards", """
-SELECT 'run_' || r AS run_id, 'run_' || r || '__' || t || '__m' || lpad(CAST(m AS VARCHAR), 6, '0') AS shard,
-       t AS target, m AS month_id,
-       sha256('run_' || r || '__' || t || '__m' || lpad(CAST(m AS VARCHAR), 6, '0')) AS sha256
-FROM (SELECT unnest(['ok', 'month']) AS r), (SELECT unnest(['lr_ged_sb', 'lr_ged_ns', 'lr_ged_os']) AS t),
-     (SELECT unnest([258, 259, 260, 261, 262]) AS m)""")
+_SHARD_SQL = """'run_' || l_orderkey || '__lr_ged_' || lower(l_returnflag) || '__' || l_linenumber || '_' || l_partkey"""
+
+
+@query("manifest_shards", f"""
+SELECT 'run_' || l_orderkey AS run_id, {_SHARD_SQL} AS shard, 'lr_ged_' || lower(l_returnflag) AS target,
+       CAST((year(l_shipdate) - 1980) * 12 + month(l_shipdate) AS INTEGER) AS month_id,
+       sha256({_SHARD_SQL}) AS sha256 FROM lineitem""")
 def manifest_shards(spark, sf_dir):
-    """Manifests written as JSON, parsed, and their shard lists unfolded."""
+    """One manifest per order, written as JSON and parsed; its lines are the shards it lists."""
+    from drawfield.functions.calendar import month_id_of_date
     from drawfield.operators.gates import manifest_shards as unfold
+    target = F.concat(F.lit("lr_ged_"), F.lower("l_returnflag"))
+    run = F.concat(F.lit("run_"), F.col("l_orderkey").cast("string"))
+    name = F.concat(run, F.lit("__"), target, F.lit("__"), F.col("l_linenumber").cast("string"),
+                    F.lit("_"), F.col("l_partkey").cast("string"))
+    shard = F.struct(name.alias("name"), target.alias("target"),
+                     month_id_of_date(F.col("l_shipdate")).alias("time_id"),
+                     F.sha2(name, 256).alias("sha256"))
     path = shared_dir(spark, "manifest")
-    tables.wire_runs(spark, sf_dir, ("ok", "month")).manifest.write.json(path)
+    # An order has a handful of lines, so its list of shards is short.
+    tables.table(spark, sf_dir, "lineitem").groupBy(run.alias("run_id")).agg(
+        F.lit("1.5").alias("contract_version"), F.collect_list(shard).alias("shards")).write.json(path)
     return unfold(spark.read.schema(readers.MANIFEST_SCHEMA).json(path))
 
 

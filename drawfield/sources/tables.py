@@ -51,7 +51,7 @@ def posterior_with_gaps(spark, sf_dir):
 def posterior_with_negatives(spark, sf_dir):
     """Every 53rd vector has its first os draw turned negative, every 59th its second to infinity."""
     vec = F.col(CELL) * 5 + F.col(MONTH) - 258
-    draws = F.transform(TARGETS[2], lambda x, i: F.when((vec % 53 == 0) & (i == 0), -x - 1)
+    draws = F.transform(TARGETS[2], lambda x, i: F.when((vec % 53 == 0) & (i == 0), (-x - 1).cast("float"))
                         .when((vec % 59 == 0) & (i == 1), F.lit(float("inf")).cast("float"))
                         .otherwise(x))
     return posterior(spark, sf_dir).withColumn(TARGETS[2], draws)
