@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with the SQL that states the same result."""
 
-from drawfield.plans import gating, gridding, published, rollups  # noqa: F401
+from drawfield.plans import cataloguing, gating, gridding, published, rollups, subsets  # noqa: F401
 from drawfield.plans.core import ORACLE, QUERIES
 
 

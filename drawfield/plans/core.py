@@ -95,7 +95,7 @@ _TABLES = {
            CASE WHEN event_id % 14 = 0 THEN 'pipe' END AS pipeline,
            'value ' || props AS description, sha256(CAST(event_id % 500 AS VARCHAR)) AS file_hash,
            ts AS created_at, ['1.5','1.4','1.6','2.0','','x'][event_id % 6 + 1] AS contract_version,
-           event_id, user_id
+           event_id, user_id, value
     FROM events""",
 }
 _NEEDS = {"geo_u": ("geo",), "hc": ("h",)}

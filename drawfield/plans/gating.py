@@ -188,11 +188,11 @@ def _order_manifests(spark, sf_dir):
     month = month_id_of_date(F.col("l_shipdate"))
     name = F.concat(F.when(F.col("l_partkey") % 17 == 0, F.lit("../")).when(F.col("l_partkey") % 19 == 0, F.lit("/"))
                     .otherwise(F.lit("")), F.lit("s"), F.col("l_linenumber").cast("string"), F.lit("_"),
-                    F.col("l_partkey").cast("string"))
+                    F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"))
     lines = tables.table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("run_"), F.col("l_orderkey").cast("string")).alias("run_id"),
         name.alias("shard"), F.lower("l_returnflag").alias("target"), month.alias(MONTH), "l_partkey",
-        "l_suppkey")
+        "l_suppkey", "l_quantity")
     # An order has a handful of lines, so its lists are short.
     manifest = lines.groupBy("run_id").agg(
         F.collect_list(F.struct(F.col("shard").alias("name"), F.col("target"), F.col(MONTH).alias("time_id"),
@@ -200,7 +200,7 @@ def _order_manifests(spark, sf_dir):
         F.collect_set(F.when(F.col("l_partkey") % 7 != 0, F.col("target"))).alias("targets"),
         F.collect_set(F.when(F.col("l_partkey") % 5 != 0, F.col(MONTH))).alias("expected_months"),
         F.count("*").alias("expected_cell_count"))
-    headers = lines.filter(F.col("l_partkey") % 13 != 0).select(
+    headers = lines.filter(F.col("l_quantity") <= 46).select(
         "run_id", "shard", F.col("target").alias("header_target"),
         F.when(F.col("l_partkey") % 11 == 0, F.col(MONTH) + 1).otherwise(F.col(MONTH)).alias("header_month"),
         F.lit(1).alias("sample_count"),
@@ -211,8 +211,8 @@ def _order_manifests(spark, sf_dir):
 
 _ORDERS = """WITH li AS (SELECT 'run_' || l_orderkey AS run_id,
   CASE WHEN l_partkey % 17 = 0 THEN '../' WHEN l_partkey % 19 = 0 THEN '/' ELSE '' END
-    || 's' || l_linenumber || '_' || l_partkey AS shard, lower(l_returnflag) AS target,
-  (year(l_shipdate) - 1980) * 12 + month(l_shipdate) AS month_id, l_partkey, l_suppkey FROM lineitem)"""
+    || 's' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS shard, lower(l_returnflag) AS target,
+  (year(l_shipdate) - 1980) * 12 + month(l_shipdate) AS month_id, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
 
 
 @query("gate_self_consistent", f"""{_ORDERS}
@@ -225,20 +225,20 @@ def gate_self_consistent(spark, sf_dir):
 
 
 @query("gate_identifiable", f"""{_ORDERS}
-SELECT run_id, CAST(count_if(l_suppkey % 10 < 2) AS BIGINT) AS problems FROM li WHERE l_partkey % 13 <> 0 GROUP BY 1""")
+SELECT run_id, CAST(count_if(l_suppkey % 10 < 2) AS BIGINT) AS problems FROM li WHERE l_quantity <= 46 GROUP BY 1""")
 def gate_identifiable(spark, sf_dir):
     return gates.identifiable_gate(_order_manifests(spark, sf_dir))
 
 
 @query("gate_missing_artifacts", f"""{_ORDERS}
-SELECT run_id, CAST(count_if(l_partkey % 13 = 0 OR l_partkey % 17 = 0 OR l_partkey % 19 = 0) AS BIGINT) AS problems
+SELECT run_id, CAST(count_if(l_quantity > 46 OR l_partkey % 17 = 0 OR l_partkey % 19 = 0) AS BIGINT) AS problems
 FROM li GROUP BY 1""")
 def gate_missing_artifacts(spark, sf_dir):
     return gates.missing_artifacts_gate(_order_manifests(spark, sf_dir))
 
 
 @query("gate_header", f"""{_ORDERS}
-SELECT run_id, CAST(count_if(l_partkey % 11 = 0) AS BIGINT) AS problems FROM li WHERE l_partkey % 13 <> 0 GROUP BY 1""")
+SELECT run_id, CAST(count_if(l_partkey % 11 = 0) AS BIGINT) AS problems FROM li WHERE l_quantity <= 46 GROUP BY 1""")
 def gate_header(spark, sf_dir):
     return gates.header_gate(_order_manifests(spark, sf_dir))
 

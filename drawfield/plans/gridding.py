@@ -232,14 +232,14 @@ def grid_density(spark, sf_dir):
 
 @query("order_violations", """
 SELECT l_orderkey, count(*) AS rows, CAST(count_if(coalesce(p >= k, false)) AS BIGINT) AS violations FROM (
-  SELECT l_orderkey, k, lag(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS p FROM (
-    SELECT l_orderkey, l_linenumber, l_partkey,
+  SELECT l_orderkey, k, lag(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
       ((year(l_shipdate) - 1980) * 12 + month(l_shipdate)) * 1000000000 + l_suppkey AS k FROM lineitem))
 GROUP BY 1""")
 def order_violations(spark, sf_dir):
     """Lines of an order stand in for rows of a file, their number for the position."""
     lines = tables.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"),
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"),
         calendar.month_id_of_date(F.col("l_shipdate")).alias(MONTH), F.col("l_suppkey").alias(CELL))
     return validate.order_violations(lines, "at", "l_orderkey")
 

@@ -200,19 +200,17 @@ def catalog(spark, sf_dir):
         F.sha2((event % 500).cast("string"), 256).alias("file_hash"),
         F.col("ts").cast("timestamp").alias("created_at"),
         F.element_at(versions, (event % 6 + 1).cast("int")).alias("contract_version"),
-        "event_id", "user_id",
+        "event_id", "user_id", "value",
     )
 
 
 def quarantined(spark, sf_dir):
     """Artifact ids an operator has withdrawn."""
-    event = F.col("event_id")
-    return table(spark, sf_dir, "events").filter(event % 11 == 0).select(
-        F.concat(F.lit("f"), event.cast("string")).alias("file_id"))
+    return table(spark, sf_dir, "events").filter(F.col("value") < 2.0).select(
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_id"))
 
 
 def approved(spark, sf_dir):
     """Artifact ids an operator has approved."""
-    event = F.col("event_id")
-    return table(spark, sf_dir, "events").filter(event % 3 == 0).select(
-        F.concat(F.lit("f"), event.cast("string")).alias("file_id"))
+    return table(spark, sf_dir, "events").filter(F.col("value") < 20.0).select(
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_id"))
