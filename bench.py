@@ -74,11 +74,12 @@ def build_grid(spark, sf_dir, path):
         "vec_id", scaled(lambda v: F.greatest(v, F.lit(0.0)) * 200).alias("pred_lr_ged_sb"),
         scaled(lambda v: F.greatest(-v, F.lit(0.0)) * 200).alias("pred_lr_ged_ns"),
         scaled(lambda v: F.abs(v) * 4000).alias("pred_lr_ged_os"))
-    grid = spark.range(CELLS * MONTHS, numPartitions=64).select(
+    grid = spark.range(CELLS * MONTHS, numPartitions=2 * MONTHS).select(
         (F.col("id") % CELLS).alias("priogrid_id"),
         (540 + F.floor(F.col("id") / CELLS)).cast("int").alias("month_id"),
         F.pmod(F.hash("id"), F.lit(count)).cast("long").alias("vec_id"))
-    grid.join(templates, "vec_id").drop("vec_id").write.parquet(f"{path}/grid")
+    # 2,000 template vectors: a broadcast keeps the rows in delivered order, two files per month.
+    grid.join(F.broadcast(templates), "vec_id").drop("vec_id").write.parquet(f"{path}/grid")
     gaul2 = F.col("priogrid_id") % 30_000
     gaul1, gaul0 = gaul2 % 2_500, gaul2 % 2_500 % 230
 

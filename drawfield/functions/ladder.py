@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from drawfield.schema import MASSES, SEVERE_TAIL, THRESHOLDS, stat_names
 
 LADDER = (0.95, 0.90, 0.80, 0.70, 0.60, 0.50, 0.40, 0.30, 0.20, 0.10, 0.05)
+CHUNK = 4096              # rows handled together, so that their draws stay in cache
 SPLIT_MIN_DRAWS = 20      # fewer draws never count as two clusters
 SPLIT_MIN_SHARE = 0.1     # each cluster holds at least this share of the draws
 SPLIT_MIN_GAP = 0.25      # and the gap between them this share of the range
@@ -38,23 +39,35 @@ def _run_length(mass, width):
 
 
 def _descend(draws):
-    """Bounds at every rung, and the last run, of row-wise sorted draws."""
+    """Bounds at every rung, and the median of the last run, of row-wise sorted draws.
+
+    Only the start of each row's run is kept: a rung tries the few starts it may move to, one
+    after the other for all rows at once, and gathers just the two ends of each candidate run.
+    """
     rows, width = draws.shape
-    every_row = np.arange(rows)
-    kept, bounds = draws, {}
+    flat = draws.reshape(-1)
+    start = np.arange(rows) * width
+    low, high, gap = np.empty(rows), np.empty(rows), np.empty(rows)
+    length, bounds = width, {}
     for rung in LADDER:
         k = _run_length(rung, width)
-        if k < kept.shape[1]:
-            spread = kept[:, k - 1:] - kept[:, : kept.shape[1] - k + 1]
-            start = spread.argmin(axis=1)
-            kept = np.lib.stride_tricks.sliding_window_view(kept, k, axis=1)[every_row, start]
-        bounds[rung] = kept[:, 0], kept[:, -1]
-    return bounds, kept
-
-
-def _middle(ordered):
-    k = ordered.shape[1]
-    return (ordered[:, (k - 1) // 2] + ordered[:, k // 2]) / 2
+        first, last = start.copy(), start + (k - 1)
+        best = flat[last] - flat[first]
+        shift = np.zeros(rows, dtype=start.dtype)
+        for step in range(1, length - k + 1):
+            first += 1
+            last += 1
+            flat.take(first, out=low, mode="clip")
+            flat.take(last, out=high, mode="clip")
+            np.subtract(high, low, out=gap)
+            shorter = gap < best
+            np.copyto(best, gap, where=shorter)
+            np.copyto(shift, step, where=shorter)
+        start += shift
+        length = k
+        bounds[rung] = flat[start], flat[start + (k - 1)]
+    middle = (flat[start + (length - 1) // 2] + flat[start + length // 2]) / 2
+    return bounds, middle
 
 
 def _two_clusters(ordered):
@@ -72,6 +85,10 @@ def collapse_matrix(values, masses=MASSES, tail=SEVERE_TAIL, thresholds=THRESHOL
     """Summaries of the rows of a ``(rows, draws)`` matrix, as ``{name: vector}``."""
     names = stat_names(masses, thresholds)
     rows, width = values.shape
+    if rows > CHUNK:
+        parts = [collapse_matrix(values[i:i + CHUNK], masses, tail, thresholds, non_negative)
+                 for i in range(0, rows, CHUNK)]
+        return {name: np.concatenate([p[name] for p in parts]) for name in names}
     out = {name: np.full(rows, np.nan) for name in names}
     known = ~np.isnan(values).all(axis=1) if width else np.zeros(rows, dtype=bool)
     if not known.any():
@@ -80,8 +97,7 @@ def collapse_matrix(values, masses=MASSES, tail=SEVERE_TAIL, thresholds=THRESHOL
     if not np.isfinite(part).all():
         part = np.where(np.isfinite(part), part, 0)
     ordered = np.sort(part, axis=1).astype(np.float64)
-    bounds, last = _descend(ordered)
-    point = _middle(last)
+    bounds, point = _descend(ordered)
     stats = {"map": np.maximum(point, 0.0) if non_negative else point}
     for mass in masses:
         stats[f"hdi{round(mass * 100)}_lower"], stats[f"hdi{round(mass * 100)}_upper"] = \
