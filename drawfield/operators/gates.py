@@ -246,25 +246,33 @@ def gate_rows(run):
     wanted = run.manifest.select(
         "run_id", "expected_cell_count", F.size("targets").alias("run_targets"))
     cells = cell_profile(run)
-    # A (run, month, cell) holds at most targets x copies rows, combined before the shuffle.
-    grid = cells.groupBy("run_id", MONTH, CELL).agg(
-        F.count("*").alias("copies"), F.countDistinct("target").alias("targets"),
-        F.min("rows").alias("s_min"), F.max("rows").alias("s_max"),
+    # One shuffle by (run, cell) serves the three groupings below: each contains both columns.
+    # A (run, cell) has one row per shard, never more than the manifest's months x targets.
+    by_target = cells.repartition("run_id", CELL).groupBy("run_id", CELL, MONTH, "target").agg(
+        F.count("*").alias("copies"), F.min("rows").alias("s_min"), F.max("rows").alias("s_max"),
         F.count_if(~F.col("ordered")).alias("disordered"))
-    by_cell = grid.groupBy("run_id", CELL).agg(
-        F.count("*").alias("months"), F.min("targets").alias("fewest"), F.max("targets").alias("most"),
-        F.sum(F.col("copies") - F.col("targets")).alias("repeats"),
+    by_month = by_target.groupBy("run_id", CELL, MONTH).agg(
+        F.count("*").alias("targets"), F.sum(F.col("copies") - 1).alias("repeats"),
         F.min("s_min").alias("s_min"), F.max("s_max").alias("s_max"),
-        F.sum("disordered").alias("disordered")).join(sidecar, CELL, "left")
+        F.sum("disordered").alias("disordered"))
+    by_cell = by_month.groupBy("run_id", CELL).agg(
+        F.count("*").alias("months"), F.min("targets").alias("fewest"), F.max("targets").alias("most"),
+        F.sum("repeats").alias("repeats"), F.min("s_min").alias("s_min"),
+        F.max("s_max").alias("s_max"), F.sum("disordered").alias("disordered")
+    ).join(sidecar, CELL, "left")
     shape = by_cell.groupBy("run_id").agg(
         F.max("months").alias("most_months"), F.min("months").alias("fewest_months"),
         F.min("fewest").alias("fewest"), F.max("most").alias("most"),
         F.sum("repeats").alias("repeats"), F.sum("disordered").alias("disordered"),
         F.min("s_min").alias("s_min"), F.max("s_max").alias("s_max"),
         F.count_if(F.col("covered").isNull()).alias("uncovered"))
-    shards = (shard_profile(run).join(run.headers, ["run_id", "shard"], "left")
+    # Reads the same columns of the profile as above, so that Spark reuses its shuffle.
+    by_shard = cells.groupBy("run_id", "shard", "target", MONTH).agg(
+        F.count("*").alias("cells"), F.min("rows").alias("s_min"), F.max("rows").alias("s_max"),
+        F.count_if(~F.col("ordered")).alias("out_of_order"))
+    shards = (by_shard.join(run.headers, ["run_id", "shard"], "left")
               .join(wanted, "run_id").groupBy("run_id").agg(
-        F.countDistinct(MONTH).alias("run_months"),
+        F.size(F.collect_set(MONTH)).alias("run_months"), F.sum("out_of_order").alias("out_of_order"),
         F.count_if(F.col("cells") != F.col("expected_cell_count")).alias("wrong_cells"),
         F.count_if(~F.col("s_min").eqNullSafe(F.col("sample_count"))
                    | ~F.col("s_max").eqNullSafe(F.col("sample_count"))).alias("wrong_s")))
@@ -272,7 +280,8 @@ def gate_rows(run):
              .withColumn("flags", F.map_from_arrays(
         F.array(*map(F.lit, ("cell_count", "sample_count", "sample_order", "uniform_s",
                              "duplicates", "coverage", "rectangular"))),
-        F.array(F.col("wrong_cells") == 0, F.col("wrong_s") == 0, F.col("disordered") == 0,
+        F.array(F.col("wrong_cells") == 0, F.col("wrong_s") == 0,
+                (F.col("disordered") == 0) & (F.col("out_of_order") == 0),
                 F.col("s_min") == F.col("s_max"), F.col("repeats") == 0, F.col("uncovered") == 0,
                 (F.col("fewest_months") == F.col("run_months"))
                 & (F.col("most_months") == F.col("run_months"))
