@@ -205,7 +205,7 @@ def escapes(name):
 
 def missing_artifacts(run):
     """Listed shards that were not delivered, or whose name leaves the run directory."""
-    delivered = run.headers.select("run_id", "shard", F.lit(True).alias("delivered"))
+    delivered = run.headers.select("run_id", "shard").distinct().withColumn("delivered", F.lit(True))
     joined = manifest_shards(run.manifest).join(delivered, ["run_id", "shard"], "left")
     return joined.filter(F.col("delivered").isNull() | escapes(F.col("shard"))).select("run_id", "shard")
 

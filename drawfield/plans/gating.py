@@ -231,14 +231,17 @@ def gate_identifiable(spark, sf_dir):
 
 
 @query("gate_missing_artifacts", f"""{_ORDERS}
-SELECT run_id, CAST(count_if(l_quantity > 46 OR l_partkey % 17 = 0 OR l_partkey % 19 = 0) AS BIGINT) AS problems
-FROM li GROUP BY 1""")
+SELECT run_id, CAST(count_if(d.shard IS NULL OR l_partkey % 17 = 0 OR l_partkey % 19 = 0) AS BIGINT) AS problems
+FROM li LEFT JOIN (SELECT DISTINCT run_id, shard FROM li WHERE l_quantity <= 46) d USING (run_id, shard)
+GROUP BY 1""")
 def gate_missing_artifacts(spark, sf_dir):
     return gates.missing_artifacts_gate(_order_manifests(spark, sf_dir))
 
 
-@query("gate_header", f"""{_ORDERS}
-SELECT run_id, CAST(count_if(l_partkey % 11 = 0) AS BIGINT) AS problems FROM li WHERE l_quantity <= 46 GROUP BY 1""")
+@query("gate_header", f"""{_ORDERS}, headers AS (SELECT run_id, shard, target AS header_target,
+    month_id + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS header_month FROM li WHERE l_quantity <= 46)
+SELECT run_id, CAST(count_if(header_target <> target OR header_month <> month_id) AS BIGINT) AS problems
+FROM li JOIN headers USING (run_id, shard) GROUP BY 1""")
 def gate_header(spark, sf_dir):
     return gates.header_gate(_order_manifests(spark, sf_dir))
 
