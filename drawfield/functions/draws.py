@@ -1,7 +1,5 @@
 """Column functions over one vector of draws. No function here needs a shuffle."""
 
-import math
-
 from pyspark.sql import functions as F
 
 _INF = float("inf")
@@ -11,10 +9,6 @@ def _finite(y):
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) != _INF)
 
 
-def as_doubles(col):
-    return F.col(col).cast("array<double>") if isinstance(col, str) else col.cast("array<double>")
-
-
 def scalar_to_draws(col):
     """A scalar column as a one-draw vector."""
     return F.array(F.col(col).cast("float"))
@@ -93,13 +87,6 @@ def repeat_to(col, width):
     return F.array_repeat(col, width)
 
 
-def exact_width(col, width):
-    """The vector itself, or an error if it does not hold exactly ``width`` draws."""
-    ragged = F.raise_error(F.concat(
-        F.lit(f"expected {width} draws, found "), F.coalesce(F.size(col), F.lit(-1)).cast("string")))
-    return F.when(F.size(col) == width, col).otherwise(ragged)
-
-
 def suspicious(col):
     """True if any draw is missing, non-finite or negative.
 
@@ -122,7 +109,3 @@ def count_negative(col):
 
 def min_finite(col):
     return F.when(suspicious(col), F.array_min(F.filter(col, _finite))).otherwise(F.array_min(col))
-
-
-def tail_count(width, tail):
-    return max(1, math.ceil(tail * width))

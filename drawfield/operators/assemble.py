@@ -17,14 +17,11 @@ def to_vectors(draws, width, keys=("target", MONTH, CELL)):
     """
     sample = F.col("sample")
     if width <= SLOTS:
-        slots = [F.min(F.when(sample == i, F.col("value"))) for i in range(width)]
-        return draws.groupBy(*keys).agg(F.array(*slots).alias("draws"))
+        return draws.groupBy(*keys).agg(_slots("sample", width).alias("draws"))
     blocks = -(-width // SLOTS)
-    offset = F.pmod(sample, F.lit(SLOTS))
-    slots = [F.min(F.when(offset == i, F.col("value"))) for i in range(SLOTS)]
     inside = draws.filter((sample >= 0) & (sample < width))
     part = inside.groupBy(*keys, F.floor(sample / SLOTS).cast("int").alias("block")).agg(
-        F.array(*slots).alias("part"))
+        _slots(f"pmod(sample, {SLOTS})", SLOTS).alias("part"))
     empty = F.array_repeat(F.lit(None).cast(part.schema["part"].dataType.elementType), SLOTS)
     # At most `blocks` rows per key reach this step.
     by_block = part.groupBy(*keys).agg(
@@ -33,6 +30,11 @@ def to_vectors(draws, width, keys=("target", MONTH, CELL)):
     return by_block.select(*keys, F.slice(whole, 1, width).alias("draws"))
 
 
+def _slots(position, width):
+    """One aggregate per slot. Stated as text: hundreds of Column objects are slow to build."""
+    return F.expr(f"array({', '.join(f'min(CASE WHEN {position} = {i} THEN value END)' for i in range(width))})")
+
+
 def widen(vectors, targets, keys=(MONTH, CELL)):
     """One row per key with a column per target; at most ``len(targets)`` vectors meet in a group."""
     by_target = vectors.groupBy(*keys).agg(

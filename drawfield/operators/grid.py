@@ -7,6 +7,8 @@ filled rows are appended: the wide vector columns are never shuffled.
 
 from pyspark.sql import functions as F
 
+from drawfield.functions.draws import pick_draws
+from drawfield.operators.assemble import to_vectors
 from drawfield.operators.normalize import is_vector
 from drawfield.schema import CELL, MONTH
 
@@ -94,7 +96,6 @@ def tensor_long(frame, targets):
 
 def month_block(frame, month, target, cells=None, positions=None):
     """One target in one month over all cells, NULL for an absent one; cells and draws optional."""
-    from drawfield.functions.draws import pick_draws
     wanted = frame if cells is None else frame.filter(F.col(CELL).isin(*cells))
     present = wanted.filter(F.col(MONTH) == month).select(CELL, target)
     absent = wanted.select(CELL).distinct().join(present.select(CELL), CELL, "left_anti").select(
@@ -114,7 +115,6 @@ def target_frames(frame, targets):
 
 def integrity_roundtrip(frame, targets, width):
     """Take the vectors apart, put them together again, and count the rows that differ."""
-    from drawfield.operators.assemble import to_vectors
     before = target_frames(frame, targets)
     long = before.select("target", MONTH, CELL, F.posexplode("draws").alias("sample", "value"))
     after = to_vectors(long, width).withColumnRenamed("draws", "rebuilt")
@@ -137,6 +137,7 @@ def geo_backfill(frame, geo_columns):
     """One geography per cell: each column's value from the earliest month that has one.
 
     Only a cell with a NULL somewhere takes these values, and then in all its rows and columns.
+    Pass the keys and the geography alone: draws need not travel through this join.
     """
     first = {c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)),
                          F.when(F.col(c).isNotNull(), F.col(MONTH))) for c in geo_columns}

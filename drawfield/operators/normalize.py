@@ -79,6 +79,6 @@ def broadcast_features(frame, columns, width):
 
 
 def sample_width(frame, column):
-    """Draws per vector, read from the first row. ``exact_width`` holds the others to it."""
+    """Draws per vector, read from the first row; the roll-up holds the other rows to it."""
     first = frame.select(F.size(column).alias("n")).first()
     return first["n"] if first else 0

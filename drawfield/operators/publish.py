@@ -56,9 +56,9 @@ def bulk_table(frame, geo, targets, history=None, history_targets=(), history_ge
     if history is not None:
         actuals = actuals_admin1(history, history_geo or geo, list(history_targets))
         table = table.join(actuals, [MONTH, "admin1_code"], "left")
-    return table.select(*[
-        F.col(c) if c in table.columns else F.lit(None).cast("double").alias(c)
-        for c in published_columns()])
+    present = set(table.columns)
+    return table.selectExpr(*[
+        c if c in present else f"CAST(NULL AS double) AS {c}" for c in published_columns()])
 
 
 # --- JSON-safe rows --------------------------------------------------------------

@@ -6,9 +6,8 @@ that occur appear. A hot unit therefore sends one partial row per map task, not
 
 from pyspark.sql import functions as F
 
-from drawfield.functions.draws import exact_width
 from drawfield.operators.normalize import sample_width
-from drawfield.operators.subset import level_columns
+from drawfield.operators.subset import level_columns, subset_at_level
 from drawfield.schema import CELL, LEVEL_NAMES, MONTH, level_column
 
 BLOCK = 128     # sums per row; generated code for many more is no longer compiled by the JVM
@@ -29,29 +28,36 @@ def joint_sum(frame, geo, level, targets, width=None, drop_codes=()):
     """``(month_id, unit, target, draws)`` with the draws of every unit summed jointly.
 
     Targets are stacked so that one aggregate carries at most ``BLOCK`` sums; vectors wider than
-    that are summed in blocks of ``BLOCK`` draws and joined again afterwards.
+    that are summed in blocks of ``BLOCK`` draws and joined again afterwards. A vector that does
+    not hold exactly ``width`` draws is an error.
     """
     width = sample_width(frame, targets[0]) if width is None else width
-    pairs = ", ".join(f"'{t}', checked_{t}" for t in targets)
-    rows = (with_unit(frame, geo, level, drop_codes)
-            .select(MONTH, "unit", *[exact_width(F.col(t), width).alias(f"checked_{t}") for t in targets])
+    pairs = ", ".join(f"'{t}', `{t}`" for t in targets)
+    rows = (with_unit(_of_width(frame, targets, width), geo, level, drop_codes)
             .select(MONTH, "unit", F.expr(f"stack({len(targets)}, {pairs}) as (target, draws)")))
     keys = [MONTH, "unit", "target"]
     if width <= BLOCK:
-        return rows.groupBy(*keys).agg(F.array(*_sums("draws", width)).alias("draws"))
-    blocks = -(-width // BLOCK)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)),
-                        lambda b: F.slice("draws", b * BLOCK + 1, BLOCK))
-    summed = (rows.select(*keys, F.posexplode(parts).alias("block", "draws"))
-              .groupBy(*keys, "block").agg(F.array(*_sums("draws", BLOCK)).alias("part")))
-    # At most `blocks` rows per key meet here, already summed.
+        return rows.groupBy(*keys).agg(_sums("draws", width).alias("draws"))
+    last = -(-width // BLOCK) - 1
+    parts = f"transform(sequence(0, {last}), b -> slice(draws, b * {BLOCK} + 1, {BLOCK}))"
+    summed = (rows.select(*keys, F.expr(f"posexplode({parts}) as (block, part)"))
+              .groupBy(*keys, "block").agg(_sums("part", BLOCK).alias("part")))
+    # At most `last + 1` rows per key meet here, already summed.
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))),
                                   lambda s: s["part"]))
     return summed.groupBy(*keys).agg(F.slice(whole, 1, width).alias("draws"))
 
 
+def _of_width(frame, targets, width):
+    """The frame itself, an error where a vector does not hold exactly ``width`` draws."""
+    exact = " AND ".join(f"size(`{t}`) = {width}" for t in targets)
+    return frame.filter(f"CASE WHEN {exact} THEN true "
+                        f"ELSE raise_error('expected {width} draws in every vector') END")
+
+
 def _sums(column, width):
-    return [F.sum(F.get(column, F.lit(i)).cast("double")) for i in range(width)]
+    """One sum per position. Stated as text: hundreds of Column objects are slow to build."""
+    return F.expr(f"array({', '.join(f'sum(cast(get({column}, {i}) as double))' for i in range(width))})")
 
 
 def widen_draws(long, targets):
@@ -102,7 +108,6 @@ def constant_columns(frame, columns):
 def aggregated_subset(frame, geo, level, targets, months=None, codes=None, draws=None,
                       with_geo=True, width=None, drop_codes=()):
     """Subset, then joint sum: months, unit codes and draws chosen, vectors per unit returned."""
-    from drawfield.operators.subset import subset_at_level
     if level is None:
         raise ValueError("an aggregate needs a level")
     rows = subset_at_level(frame, geo, targets, level, codes, with_geo=False, months=months, draws=draws)

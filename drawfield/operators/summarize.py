@@ -17,7 +17,7 @@ def _check(alpha):
 
 def spread_stats(frame, keys, targets, stats):
     """Struct columns named as the targets become ``<target>_<stat>`` columns."""
-    return frame.select(*keys, *[F.col(f"`{t}`.{s}").alias(f"{t}_{s}") for t in targets for s in stats])
+    return frame.selectExpr(*keys, *[f"`{t}`.{s} AS `{t}_{s}`" for t in targets for s in stats])
 
 
 def summarize_cells(frame, targets, geo=None, months=None, cells=None, features=None, draws=None,
@@ -36,10 +36,9 @@ def summarize_cells(frame, targets, geo=None, months=None, cells=None, features=
 
 def pivot_stats(long, targets, keys=(MONTH, "unit")):
     """(keys, target, stats struct) rows to one row per key; a dozen doubles per target move."""
-    names = stat_names()
     return long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("target") == t, F.col(f"stats.{s}"))).alias(f"{t}_{s}")
-        for t in targets for s in names])
+        F.expr(f"max(CASE WHEN target = '{t}' THEN stats.{s} END) AS `{t}_{s}`")
+        for t in targets for s in stat_names()])
 
 
 def summarize_level(frame, geo, level, targets, months=None, codes=None, draws=None, alpha=0.9,

@@ -1,5 +1,6 @@
 """Data checks as small tables of counts, and ``enforce`` to turn a non-zero count into an error."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drawfield.functions.draws import count_negative, count_non_finite, min_finite
@@ -55,13 +56,13 @@ def geo_null_profile(geo):
 
 def grid_density(frame):
     """Rows against months x cells, and the cells of the last month."""
-    cells = frame.groupBy(CELL).agg(F.count("*").alias("n"), F.max(MONTH).alias("last"))
-    months = frame.agg(F.countDistinct(MONTH).alias("months"), F.max(MONTH).alias("last_month"))
-    per_cell = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("rows"))
-    last = frame.groupBy(MONTH).agg(F.countDistinct(CELL).alias("last_month_cells"))
-    return (months.join(last, months["last_month"] == last[MONTH]).drop(MONTH)
-            .withColumn("one", F.lit(1)).join(per_cell.withColumn("one", F.lit(1)), "one").drop("one")
-            .withColumn("missing", F.col("months") * F.col("cells") - F.col("rows")))
+    cells = frame.agg(F.countDistinct(CELL)).scalar()
+    per_month = frame.groupBy(MONTH).agg(F.countDistinct(CELL).alias("n"), F.count("*").alias("rows"))
+    return per_month.agg(
+        F.count("*").alias("months"), F.max(MONTH).alias("last_month"),
+        F.max_by("n", MONTH).alias("last_month_cells"), F.sum("rows").alias("rows")
+    ).withColumn("cells", cells).withColumn(
+        "missing", F.col("months") * F.col("cells") - F.col("rows"))
 
 
 def order_violations(frame, sequence, group):
@@ -70,7 +71,6 @@ def order_violations(frame, sequence, group):
     ``sequence`` is the row's position and ``group`` the file, or file block, it belongs to:
     each group is ordered on its own, no single task sees the whole table.
     """
-    from pyspark.sql import Window
     order = Window.partitionBy(group).orderBy(sequence)
     key = F.struct(F.col(MONTH), F.col(CELL))
     before = F.lag(key).over(order)
