@@ -12,14 +12,21 @@ asked for, and their bounds are draws.
 """
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drawfield import schema
 from drawfield.schema import MASSES, SEVERE_TAIL, THRESHOLDS, stat_names
 
+# The kernel travels with the query, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(schema)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LADDER = (0.95, 0.90, 0.80, 0.70, 0.60, 0.50, 0.40, 0.30, 0.20, 0.10, 0.05)
 CHUNK = 4096              # rows handled together, so that their draws stay in cache
 SPLIT_MIN_DRAWS = 20      # fewer draws never count as two clusters

@@ -111,3 +111,18 @@ def test_expression_form_agrees(spark, width):
     both = frame.select(ladder_by_expression(F.col("d")).alias("e"), collapse(F.col("d")).alias("k"))
     for e, k in both.collect():
         assert e.asDict() == {n: k[n] for n in e.asDict()}
+
+
+def test_kernel_needs_no_installed_package(tmp_path):
+    """An executor without this package can still run the pickled kernel."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    code = ("import sys, pickle, numpy as np\n"
+            "f = pickle.loads(sys.stdin.buffer.read())\n"
+            "print(f(np.array([[1.0, 2.0, 2.0, 9.0]]))['map'][0])")
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(collapse_matrix),
+                          cwd=tmp_path, capture_output=True, timeout=60, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode == 0, done.stderr.decode()
+    assert float(done.stdout) == 2.0
