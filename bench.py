@@ -43,8 +43,8 @@ def run(frame):
     frame.write.format("noop").mode("overwrite").save()
 
 
-def timed(make, runs=2):
-    """Best of ``runs``: the first one also compiles the generated code."""
+def timed(make, runs=3):
+    """Best of ``runs``: the first ones also warm up the generated code."""
     best = None
     for _ in range(runs):
         start = time.perf_counter()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from drawfield.operators.assemble import assemble_run
 from drawfield.operators.gates import evaluated, gate_rows, verdict
-from drawfield.schema import CELL, MANIFEST_SCHEMA, MONTH
+from drawfield.schema import MANIFEST_SCHEMA
 from drawfield.sources.writers import publish_run
 
 
@@ -14,30 +14,30 @@ def manifest_stream(spark, path):
             .option("pathGlobFilter", "*.json").json(path))
 
 
-def ingest_manifests(manifests, load_run, base):
-    """Gate the runs of one micro-batch and publish those that are servable.
+def ingest_manifests(manifests, load_runs, base):
+    """Gate the runs of one micro-batch together and publish those that are servable.
 
-    ``load_run(manifest)`` gives the :class:`Run` of a one-run manifest frame. A batch holds the
-    few manifests that arrived since the last one; their draws are read by Spark only. The job is
-    idempotent by run id, so a batch repeated after a lost driver changes nothing.
+    ``load_runs(manifests)`` gives the :class:`Run` of all of them: their draws are read in one
+    gate job. Only the verdicts, one row per manifest that arrived since the last batch, come to
+    the driver, and each servable run is then one distributed write. Publication is idempotent by
+    run id, so a batch repeated after a lost driver changes nothing.
     """
-    outcome = {}
-    for row in manifests.select("run_id", "targets").collect():
-        manifest = manifests.filter(F.col("run_id") == row["run_id"])
-        run = load_run(manifest)
-        decided = verdict(evaluated(gate_rows(run))).select("verdict").first()
-        outcome[row["run_id"]] = decided["verdict"] if decided else "NOT SERVABLE"
-        if outcome[row["run_id"]] == "SERVABLE":
-            table = assemble_run(run.draws, run.sidecar, row["targets"], run.width)
-            publish_run(table.select(MONTH, CELL, *[c for c in table.columns if c not in (MONTH, CELL)]),
-                        row["run_id"], base)
-    return outcome
-
-
-def start_ingest(spark, path, load_run, base, checkpoint):
+    manifests = manifests.dropDuplicates(["run_id"])
+    runs = load_runs(manifests)
+    verdicts = verdict(evaluated(gate_rows(runs))).select("run_id", "verdict")
+    decided = manifests.select("run_id", "targets").join(verdicts, "run_id", "left").collect()
+    for row in decided:
+        if row["verdict"] != "SERVABLE":
+            continue
+        draws = runs.draws.filter(F.col("run_id") == row["run_id"])
+        publish_run(assemble_run(draws, runs.sidecar, row["targets"], runs.width), row["run_id"], base)
+    return {row["run_id"]: row["verdict"] or "NOT SERVABLE" for row in decided}
+
+
+def start_ingest(spark, path, load_runs, base, checkpoint):
     """Process everything delivered so far and stop; run it again when more has arrived."""
     return (manifest_stream(spark, path).writeStream
-            .foreachBatch(lambda batch, _: ingest_manifests(batch, load_run, base))
+            .foreachBatch(lambda batch, _: ingest_manifests(batch, load_runs, base))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -62,10 +62,10 @@ def test_incremental_ingest(spark, sf_dir):
     runs = tables.wire_runs(spark, sf_dir, ("ok", "dup", "anon"))
     base, inbox = shared_dir(spark, "ingest"), shared_dir(spark, "inbox")
 
-    def load(manifest):
-        ids = manifest.select("run_id")
+    def load(manifests):
+        ids = manifests.select("run_id")
         return type(runs)(runs.draws.join(ids, "run_id", "left_semi"),
-                          runs.headers.join(ids, "run_id", "left_semi"), manifest, runs.sidecar, runs.width)
+                          runs.headers.join(ids, "run_id", "left_semi"), manifests, runs.sidecar, runs.width)
 
     def deliver(*names):
         runs.manifest.filter(F.col("run_id").isin(*names)).coalesce(1).write.mode("append").json(inbox)
