@@ -1,6 +1,6 @@
 """The queries of this subpackage, each with its SQL where SQL can state the result."""
 
-from drawfield.llm import packing, sharding  # noqa: F401
+from drawfield.llm import huffman, packing, sharding, toolcalls, urls, warc  # noqa: F401
 from drawfield.llm.common import ORACLE, QUERIES
 
 
