@@ -1,6 +1,6 @@
-"""Hashed word shingles of texts, a batch at a time with numpy.
+"""Hashed words and word shingles of texts, a batch at a time with numpy.
 
-Words are runs of bytes other than ``\\x20 \\x09-\\x0D`` with A-Z in lower case. A word's hash is a
+Words are runs of bytes other than ``\\x20 \\x09-\\x0D`` (or other than all ASCII signs), A-Z in lower case. A word's hash is a
 polynomial over its bytes (a difference of prefix sums), a shingle's hash mixes the hashes of its
 words. All hashes have 64 bits: two different shingles meet with a chance of 2**-64.
 """
@@ -32,12 +32,17 @@ def _power(n):
     return _powers
 
 
-def word_hashes(texts):
-    """``(hashes of all words, words per text)``."""
+#: Bytes between words: white space; and everything in ASCII but letters and digits.
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b | 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def word_hashes(texts, between=SPACE):
+    """``(hashes of all words, words per text)``. A-Z counts as a-z."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    low = np.where((data >= 65) & (data <= 90), data | 32, data)
-    space = (low == 32) | ((low >= 9) & (low <= 13))
+    low, space = _LOWER[data], between[data]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
     start, end = edge[0::2], edge[1::2]
     up, down = _power(len(low) + 1)
