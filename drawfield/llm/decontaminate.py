@@ -173,7 +173,6 @@ def leaks(docs, benchmark, least=SCORE):
 
     docs: ``doc_id``, ``text``; benchmark: ``item_id``, ``text``. The best alignment of a pair counts.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     _, size = text_bytes(tests)
@@ -183,15 +182,14 @@ def leaks(docs, benchmark, least=SCORE):
                 .orderBy("item_id", "text").toArrow())  # about BLOCK_BYTES
         items = Items(rows["item_id"].to_pylist(), rows["text"].to_pylist())
         items.choose_seeds(*count_words(docs, items.known))
-        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(items), least),
+        found = docs.mapInArrow(_search(items, least),
                                 "doc_id long, item_id long, score double, first_word long, last_word long")
         result = found if result is None else result.unionByName(found)
     return result
 
 
-def _search(held, least):
+def _search(items, least):
     def run(batches):
-        items = held.value
         for batch in batches:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             out = []

@@ -1,6 +1,7 @@
 """The queries of this subpackage, each with its SQL where SQL can state the result."""
 
-from drawfield.llm import huffman, packing, sharding, toolcalls, urls, warc  # noqa: F401
+from drawfield.llm import (  # noqa: F401
+    decontaminate, huffman, jaccard, packing, search, sharding, toolcalls, toxicity, urls, warc)
 from drawfield.llm.common import ORACLE, QUERIES
 
 
