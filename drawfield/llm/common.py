@@ -1,8 +1,10 @@
 """What several of the text operators share: the registry, tables, the shared folder, tokenizing."""
 
 import re
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from drawfield.session import shared_dir
@@ -11,6 +13,14 @@ QUERIES = {}
 ORACLE = {}
 
 
+def travels(name):
+    """The module's functions are sent with the tasks: executors need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+travels(__name__)
+
+
 def query(name, sql=None):
     def register(function):
         QUERIES[name] = function
@@ -48,6 +58,8 @@ class Vocabulary(dict):
     """
 
     RUNS = ("  ", "\n\n", " \n", "\n ", "\r", "<|")
+    #: A line's start or a text's, Latin letters, signs of ASCII but the apostrophe.
+    LETTERS_SIGNS = re.compile(r"([\n\r]?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
     OTHER_SPACE = re.compile(r"\s|[\x1c-\x1f\x85]")
 
     def __init__(self, path, keep_blank, most=1_200_000):
@@ -61,7 +73,7 @@ class Vocabulary(dict):
         """For each text (None counts as empty) its ids as an array of uint32."""
         texts = [t or "" for t in texts]
         glue = " \n" if self.keep_blank else " "
-        parts = [t.replace("\n", glue).split(" ") if self._plain(t) else None for t in texts]
+        parts = [self._same(t).replace("\n", glue).split(" ") if self._plain(t) else None for t in texts]
         if self.keep_blank:
             for words in parts:
                 if words:  # the first word of a text has no blank before it
@@ -88,13 +100,43 @@ class Vocabulary(dict):
         return (text and text[0] not in " \n" and text[-1] not in " \n"
                 and not any(run in text for run in self.RUNS))
 
+    def _same(self, text):
+        """Lower case where the tokenizer itself makes it and letters are Latin-1 (one to one)."""
+        if self.keep_blank:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def _piece(self, word):
         if not self.keep_blank or word[:1] == "\n":
             return word
         return word[1:] if word[:1] == "\r" else " " + word
 
     def _learn(self, words):
-        """Ids of new words: many in one string, told apart by a mark that no token crosses."""
+        """Ids of new words. Letters and the signs after them never share a token, so most words are
+        put together from their parts; unknown parts are encoded many in one string, told apart by a
+        mark that no token crosses."""
+        parts = {}
+        for word in words:
+            found = self.LETTERS_SIGNS.fullmatch(word)
+            if found and word not in self.spaced:
+                first, letters, signs = found.groups()
+                if not self.keep_blank:
+                    parts[word] = (letters, signs)
+                elif first == "\n":
+                    parts[word] = ("\n", "\r" + letters, "\r" + signs) if signs else ("\n", "\r" + letters)
+                elif signs:
+                    parts[word] = (first + letters, "\r" + signs)
+        unknown = {p for some in parts.values() for p in some if p not in self}
+        unknown.update(w for w in words if w not in parts)
+        self._encode_words([w for w in unknown if w not in self])
+        get = self.__getitem__
+        self.update((word, b"".join(map(get, some))) for word, some in parts.items())
+
+    def _encode_words(self, words):
         mark = "\n" if self.keep_blank else " \x01 "
         ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
         simple = [w for w in words if w and w[0] not in "\n\r" and w not in self.spaced]
@@ -117,16 +159,16 @@ class Vocabulary(dict):
                 for e in self.tokenizer.encode_batch_fast(pieces[at:at + 2048], add_special_tokens=False)]
 
 
-_LOADED = {}
-
-
 def vocabulary(path, keep_blank):
-    """One per Python worker: workers live on from task to task."""
+    """One per Python worker, kept with the library's module: workers live on from task to task."""
     import os
+
+    import tokenizers
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, keep_blank) not in _LOADED:
-        _LOADED[path, keep_blank] = Vocabulary(path, keep_blank)
-    return _LOADED[path, keep_blank]
+    loaded = vars(tokenizers).setdefault("_kept_vocabularies", {})
+    if (path, keep_blank) not in loaded:
+        loaded[path, keep_blank] = Vocabulary(path, keep_blank)
+    return loaded[path, keep_blank]
 
 
 def tokenizer_path(name):

@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, table, text_bytes
+from drawfield.llm.common import query, table, text_bytes, travels
 from drawfield.llm.shingles import SIGNS, mix, slices, word_hashes
 
+travels(__name__)
+
 N, RARE, ALWAYS = 2, 1e-7, 4
 SCORE = 0.5
 BLOCK_BYTES = 8 << 20

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes, tokenizer_path, vocabulary
+from drawfield.llm.common import query, stored, table, text_bytes, tokenizer_path, travels, vocabulary
 from drawfield.session import shared_dir
 
+travels(__name__)
+
 LONGEST = 18
 EVERY = 256
 BLOCK = 1 << 18

@@ -27,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes
+from drawfield.llm.common import query, stored, table, text_bytes, travels
 from drawfield.llm.shingles import set_ids, shingle_sets, slices
 
+travels(__name__)
+
 WORDS, PERCENT = 4, 85
 BUCKET_BYTES = 16 << 20
 BLOCK = 8

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, table, text_bytes, tokenizer_path, vocabulary
+from drawfield.llm.common import query, table, text_bytes, tokenizer_path, travels, vocabulary
+
+travels(__name__)
 
 WINDOW = 4096
-SENTENCE, INSIDE, STRIDE, APART = 24, 128, 64, 16
+SENTENCE, INSIDE, STRIDE, APART = 8, 40, 32, 16
 STRETCH = 192 * WINDOW
 RANGE_BYTES = 8 << 20
 

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes
+from drawfield.llm.common import query, stored, table, text_bytes, travels
 from drawfield.llm.shingles import SIGNS, slices, word_hashes
 
+travels(__name__)
+
 K1, B, SCALE = 1.2, 0.75, 10_000
 BLOCK = 32
 SHARD_POSTINGS = 2_000_000

@@ -7,11 +7,14 @@ words. All hashes have 64 bits: two different shingles meet with a chance of 2**
 
 import numpy as np
 
+from drawfield.llm.common import travels
+
+travels(__name__)
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ONE = np.uint64(0xBF58476D1CE4E5B9)
 _TWO = np.uint64(0x94D049BB133111EB)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x):
@@ -20,16 +23,24 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n):
-    global _powers
-    if len(_powers[0]) < n:
-        both = []
-        for base in (_BASE, _INVERSE):
-            factors = np.full(2 * n, base, np.uint64)
-            factors[0] = 1
-            both.append(np.cumprod(factors))
-        _powers = tuple(both)
-    return _powers
+class _Powers:
+    """Powers of the base and of its inverse, as far as they were needed; travels empty."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n):
+        if len(self.up) < n:
+            factors = np.full((2, n), [[_BASE], [_INVERSE]], np.uint64)
+            factors[:, 0] = 1
+            self.up, self.down = np.cumprod(factors, axis=1, dtype=np.uint64)
+        return self.up, self.down
+
+
+_powers = _Powers()
 
 
 #: Bytes between words: white space; and everything in ASCII but letters and digits.
@@ -45,7 +56,7 @@ def word_hashes(texts, between=SPACE):
     low, space = _LOWER[data], between[data]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
     start, end = edge[0::2], edge[1::2]
-    up, down = _power(len(low) + 1)
+    up, down = _powers.upto(len(low) + 1)
     total = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(low)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))

@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table
+from drawfield.llm.common import query, stored, table, travels
+
+travels(__name__)
 
 MOST_LABELLED = 8192
 MOST_FEATURES = 1024
