@@ -7,7 +7,7 @@ packing, the last, returns the pieces of the training sequences.
 from pyspark.sql import functions as F
 
 from drawfield.llm import decontaminate, jaccard, packing, toxicity
-from drawfield.llm.common import stored, table, tokenizer_path
+from drawfield.llm.common import stored, table, tokenizer_path, without_ids
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -23,14 +23,13 @@ def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies, the one with the smallest id: five-word shingles, a
     similarity of 0.8 or more. Documents without words are no copies of each other."""
     groups = jaccard.join(docs, words=5, percent=80)
-    first = groups.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    return without_ids(docs, stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold no passage of a benchmark item, exact or edited."""
     found = stored(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, found)
 
 
 def pack(spark, docs, sf_dir):

@@ -47,6 +47,34 @@ def text_bytes(docs, column="text"):
     return row[0], row[1] or 0
 
 
+def bit_map(ids, key):
+    """A bit map of fixed size (2**26 bits) of ids: rows ``w`` (word), ``b`` (64 bits), 2**20 at most."""
+    word, bit = bit_place(key)
+    return ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
+def bit_place(key):
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 26))
+    return (F.shiftright(place, 6).cast("int"),
+            F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))"))
+
+
+def without_ids(docs, ids, key="doc_id"):
+    """``docs`` without the rows whose ``key`` is in ``ids``; a null key stays.
+
+    A broadcast bit map of fixed size lets all rows pass that are surely not listed; only the others,
+    the listed ones and a few besides, are shuffled for the exact comparison.
+    """
+    word, bit = bit_place(key)
+    map_rows = F.broadcast(bit_map(ids, key).withColumnsRenamed({"w": "__w", "b": "__b"}))
+    hit = F.col(f"`{key}`").isNotNull() & (F.coalesce(F.col("__b"), F.lit(0)).bitwiseAND(bit) != 0)
+    marked = docs.withColumn("__w", word).join(map_rows, "__w", "left").withColumn("__hit", hit)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    listed = ids.select(F.col(f"`{key}`").alias("__id"))
+    doubtful = marked.filter("__hit").join(listed, F.col(f"`{key}`") == F.col("__id"), "left_anti")
+    return marked.filter("NOT __hit").select(*columns).unionByName(doubtful.select(*columns))
+
+
 class Vocabulary(dict):
     """Token ids of words by a tokenizer of the ``tokenizers`` library.
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
 1. Word frequencies are counted over all documents, for the words of the benchmark.
-2. An item's seeds are its n-grams that chance would hardly produce (product of its words' frequencies
-   at most ``RARE``), and always its ``ALWAYS`` rarest. Rarity by words, not by occurrences of the n-gram:
+2. An item's seeds are its n-grams that chance would hardly produce (the product of its words' frequencies
+   is at most ``RARE``, or promises at most one in all documents), and always its ``ALWAYS`` rarest. Rarity by words, not by occurrences of the n-gram:
    a leaked passage stays rare however often it leaked.
 3. Where a document has a seed, the words around it are aligned with the item by Smith-Waterman
    (match 2, mismatch and gap -1). The score is divided by that of the whole item matched word by word,
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from drawfield.llm.common import query, table, text_bytes, travels
-from drawfield.llm.shingles import SIGNS, mix, slices, word_hashes
+from drawfield.llm.shingles import SIGNS, mix, pieces, word_hashes
 
 travels(__name__)
 
@@ -73,9 +73,8 @@ def count_words(docs, known):
     def run(batches):
         members, total, found = Members(known), 0, np.zeros(len(known), np.int64)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                words, _ = word_hashes(_lowered(texts[a:b]), SIGNS)
+            for part in pieces(batch):
+                words, _ = word_hashes(_lowered(part["text"].to_pylist()), SIGNS)
                 total += len(words)
                 found += np.bincount(members.find(words)[1], minlength=len(known))
         seen = np.flatnonzero(found)
@@ -109,7 +108,7 @@ class Items:
             n = min(N, len(words))
             rare = share[np.searchsorted(self.known, words)]
             chance = sum(rare[k:k + len(words) - n + 1] for k in range(n))
-            keep = chance <= math.log(RARE)
+            keep = chance <= math.log(max(RARE, 1 / total))
             keep[np.argsort(chance, kind="stable")[:ALWAYS]] = True
             at = np.flatnonzero(keep)
             rows.append((np.full(len(at), n), grams(words, n)[at], np.full(len(at), item), at))
@@ -193,11 +192,11 @@ def leaks(docs, benchmark, least=SCORE):
 def _search(items, least):
     def run(batches):
         for batch in batches:
-            texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             out = []
-            for a, b in slices([len(t or "") for t in texts]):
-                words, counts = word_hashes(_lowered(texts[a:b]), SIGNS)
-                text_of_word = np.repeat(np.arange(b - a), counts)
+            for part in pieces(batch):
+                ids = part["doc_id"].to_pylist()
+                words, counts = word_hashes(_lowered(part["text"].to_pylist()), SIGNS)
+                text_of_word = np.repeat(np.arange(len(ids)), counts)
                 first = np.cumsum(counts) - counts
                 where, item, at = items.hits(words, text_of_word)
                 doc = text_of_word[where]
@@ -213,7 +212,7 @@ def _search(items, least):
                         score, begin, end = align(wanted, text[low:high])
                         best = max(best, (score, -low - begin, low + end))
                     if best[0] >= least * MATCH * len(wanted):
-                        out.append((ids[a + d], items.ids[item[s]], best[0] / (MATCH * len(wanted)), -best[1], best[2]))
+                        out.append((ids[d], items.ids[item[s]], best[0] / (MATCH * len(wanted)), -best[1], best[2]))
             kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                      ("first_word", pa.int64()), ("last_word", pa.int64())]
             columns = list(zip(*out)) or [[]] * len(kinds)

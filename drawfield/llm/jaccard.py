@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes, travels
-from drawfield.llm.shingles import set_ids, shingle_sets, slices
+from drawfield.llm.common import bit_map, query, stored, table, text_bytes, travels
+from drawfield.llm.shingles import pieces, set_ids, shingle_sets
 
 travels(__name__)
 
 WORDS, PERCENT = 4, 85
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 BLOCK = 8
 
 
@@ -45,10 +45,9 @@ def prefix(n, percent):
 def _sets(batches, words):
     """``(doc_ids, set ids, sets)`` of bounded runs of rows."""
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for a, b in slices([len(t or "") * 2 for t in texts]):
-            sets = shingle_sets(texts[a:b], words)
-            yield batch["doc_id"].slice(a, b - a), set_ids(sets), sets
+        for part in pieces(batch):
+            sets = shingle_sets(part["text"].to_pylist(), words)
+            yield part["doc_id"], set_ids(sets), sets
 
 
 def named_sets(docs, words=WORDS):
@@ -95,7 +94,7 @@ def index(docs, words, percent, buckets):
                     seen.add(name)
                     held.append((name, tokens))
                     size += len(tokens)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -145,9 +144,7 @@ def wanted_sets(docs, named, wanted, words):
     """
     ids = stored(named.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "wanted")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    words_of_map = ids.select((F.shiftright(place, 6)).cast("int").alias("w"),
-                              F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b"))
-    rows = words_of_map.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**20 rows at most
+    rows = bit_map(ids, "doc_id").toArrow()  # 2**20 rows at most
     bits = np.zeros(1 << 20, np.int64)
     bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(bits)

@@ -1,14 +1,16 @@
 """Exact top-k search by BM25: an inverted index a shard, block-max WAND pruning, one exact merge.
 
-* ``build_index`` writes shards of consecutive documents: sorted term hashes, and each term's postings
-  in document order (local number, frequency), with document lengths. A shard is one row.
+* ``build_index`` writes shards of consecutive documents, alike ones side by side: sorted term hashes, and each
+  term's postings in document order (local number, frequency), with document lengths. A shard is one row.
 * Global statistics make scores comparable: the number of documents, their mean length, and how many
   documents of all shards hold each query term.
-* A shard's documents stand in blocks of ``BLOCK`` numbers. For each term and block the largest
-  contribution is known. A query adds up the block maxima of its terms; blocks are opened from the
-  most to the least promising, and once k documents are found, every block whose sum stays below the
-  k-th score is skipped without reading its postings. All other blocks are scored exactly.
-* Each shard gives its k best; the k best of all shards are the answer.
+* A shard's documents stand in blocks of ``BLOCK`` numbers. For each term that is common in the shard the largest
+  contribution in each block is known. A query adds up its rare terms' short posting lists, and the block
+  maxima of its common terms. Where both together stay below the query's threshold the block is skipped:
+  nothing is read of it. The other blocks are scored exactly.
+* The threshold is the k-th best score of all shards' few most promising blocks, scored in a first
+  pass: a lower bound of the true k-th score, so no answer is lost.
+* Each shard gives its k best from the threshold up; the k best of all shards are the answer.
 
 score = sum over the query's distinct terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) /
 (tf + k1 * (1 - b + b * length / mean length)), each term's share rounded to 1 / SCALE so that sums do
@@ -29,13 +31,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawfield.llm.common import query, stored, table, text_bytes, travels
-from drawfield.llm.shingles import SIGNS, slices, word_hashes
+from drawfield.llm.shingles import SIGNS, pieces, word_hashes
 
 travels(__name__)
 
 K1, B, SCALE = 1.2, 0.75, 10_000
-BLOCK = 32
-SHARD_POSTINGS = 2_000_000
+BLOCK = 16
+COMMON = 32
+SHARD_POSTINGS = 4_000_000
 QUERY_BYTES = 32 << 20
 PARTS = 64
 
@@ -54,6 +57,9 @@ def build_index(docs):
     names = ["n_docs", "doc_ids", "lengths", "terms", "starts", "docs", "tfs"]
 
     def shard(ids, held):
+        # Alike documents side by side (by their most frequent term, then length): tighter block maxima.
+        order = sorted(range(len(held)), key=lambda i: (int(held[i][0][held[i][1].argmax()]) if held[i][2] else 0, held[i][2]))
+        ids, held = [ids[i] for i in order], [held[i] for i in order]
         n = [len(b[0]) for b in held]
         term = np.concatenate([b[0] for b in held])
         doc = np.repeat(np.arange(len(held), dtype=np.int32), n)
@@ -68,11 +74,10 @@ def build_index(docs):
     def run(batches):
         ids, held, size = [], [], 0
         for batch in batches:
-            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                found = bags(texts[a:b])
+            for part in pieces(batch):
+                found = bags(part["text"].to_pylist())
                 held += found
-                ids += doc_ids[a:b]
+                ids += part["doc_id"].to_pylist()
                 size += sum(len(f[0]) for f in found)
                 if size >= SHARD_POSTINGS:
                     yield shard(ids, held)
@@ -133,62 +138,74 @@ def document_frequencies(index, known):
 # --- searching -------------------------------------------------------------------------
 
 class Shard:
-    """A shard opened for a block of queries: postings of the terms they use, with block maxima."""
+    """A shard opened for a block of queries: contributions of the terms they use, with block maxima.
+
+    Terms in more than one of ``COMMON`` documents are kept as rows over all documents, with their
+    maximum in each block; the postings of the others are short.
+    """
 
     def __init__(self, row, known, idf, mean):
         array = {c: np.frombuffer(row[c], k) for c, k in (
             ("doc_ids", "<i8"), ("lengths", "<i4"), ("terms", "<u8"), ("starts", "<i8"), ("docs", "<i4"), ("tfs", "<i4"))}
         self.doc_ids = array["doc_ids"]
+        self.blocks = -(-len(self.doc_ids) // BLOCK)
         place, at = _present(known, array["terms"])
         self.local = np.full(len(known) + 1, -1, np.int64)
         self.local[place] = np.arange(len(place))
-        first, last = array["starts"][at], array["starts"][at + 1]
-        count = last - first
+        first = array["starts"][at]
+        count = array["starts"][at + 1] - first
         take = np.repeat(first, count) + _ramp(count)
         self.docs = array["docs"][take]
         tf = array["tfs"][take].astype(float)
         norm = K1 * (1 - B + B * array["lengths"] / mean)
         self.value = np.rint(np.repeat(idf[place], count) * tf * (K1 + 1) / (tf + norm[self.docs]) * SCALE)
-        # Groups of postings of one term in one block.
-        term = np.repeat(np.arange(len(place)), count)
-        block = self.docs // BLOCK
-        edge = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
-        self.group_start = np.append(edge, len(term))
-        self.group_block = block[edge]
-        self.group_max = np.maximum.reduceat(self.value, edge) if len(edge) else np.zeros(0)
-        self.term_groups = np.append(np.searchsorted(term[edge], np.arange(len(place))), len(edge))
-        self.blocks = len(self.doc_ids) // BLOCK + 1
-
-    def best(self, terms, k):
-        """``(numbers, scores)`` of the k best documents for a query's terms."""
+        self.start = np.append(0, np.cumsum(count))
+        common = np.flatnonzero(count * COMMON > len(self.doc_ids))
+        self.row_of = np.full(len(place), -1, np.int64)
+        self.row_of[common] = np.arange(len(common))
+        rows = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        for i, t in enumerate(common.tolist()):
+            part = slice(self.start[t], self.start[t + 1])
+            rows[i, self.docs[part]] = self.value[part]
+        self.rows = rows.reshape(len(common), self.blocks, BLOCK)
+        self.most = self.rows.max(axis=2)
+        self.highest = float(self.most.max(initial=0))
+
+    def best(self, terms, k, floor=1.0, few=None):
+        """``(numbers, scores)`` of the k best documents that reach ``floor``.
+
+        With ``few``, only that many promising blocks are scored: a quick lower bound.
+        """
         local = self.local[terms]
         local = local[local >= 0]
-        first = self.term_groups[local]
-        count = self.term_groups[local + 1] - first
-        groups = np.repeat(first, count) + _ramp(count)
-        block = self.group_block[groups]
-        bound = np.bincount(block, self.group_max[groups], self.blocks)
-        rank = np.argsort(-bound, kind="stable")
-        numbers, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(rank):
-            floor = scores[k - 1] if len(scores) >= k else 1.0
-            opened = rank[at:at + step]
-            opened = opened[bound[opened] >= floor]
-            if not len(opened):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[opened] = True
-            use = groups[wanted[block]]
-            size = self.group_start[use + 1] - self.group_start[use]
-            postings = np.repeat(self.group_start[use], size) + _ramp(size)
-            total = np.bincount(self.docs[postings], self.value[postings], len(self.doc_ids))
-            found = np.flatnonzero(total >= floor)
-            numbers = np.concatenate([numbers, found])
-            scores = np.concatenate([scores, total[found]])
-            order = np.lexsort((self.doc_ids[numbers], -scores))[:k]
-            numbers, scores = numbers[order], scores[order]
-            at, step = at + step, step * 4
-        return numbers, scores
+        row = self.row_of[local]
+        common, rare = row[row >= 0], local[row < 0]
+        first = self.start[rare]
+        count = self.start[rare + 1] - first
+        postings = np.repeat(first, count) + _ramp(count)
+        part = np.bincount(self.docs[postings], self.value[postings], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        # No document of a block can gain more from common terms than the sum of the block's maxima.
+        bound = self.most[common].sum(axis=0, dtype=np.float64)
+        top = part.max(axis=1) + bound
+        if few is None:
+            live = np.flatnonzero(top >= floor)
+        else:
+            live = np.argpartition(-top, few)[:few] if few < self.blocks else np.arange(self.blocks)
+        # Whole numbers below 2**24 add up exactly in single precision.
+        exact = np.float32 if len(common) * self.highest < 1 << 24 else np.float64
+        if 2 * len(live) > self.blocks:
+            gain = self.rows[common].sum(axis=0, dtype=exact)[live]
+        else:
+            gain = self.rows[common[:, None], live].sum(axis=0, dtype=exact)
+        scores = (part[live] + gain).ravel()
+        numbers = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        keep = np.flatnonzero(scores >= floor)
+        if len(keep) > k:
+            if len(keep) > 8 * k:
+                least = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
+                keep = keep[scores[keep] >= least]
+            keep = keep[np.lexsort((self.doc_ids[numbers[keep]], -scores[keep]))[:k]]
+        return numbers[keep], scores[keep]
 
 
 def _ramp(count):
@@ -199,10 +216,9 @@ def _ramp(count):
 def _query_terms(queries):
     def run(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                found = [f[0].view(np.int64) for f in bags(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch["query_id"].slice(a, b - a), pa.array(found, pa.list_(pa.int64()))],
+            for part in pieces(batch):
+                found = [f[0].view(np.int64) for f in bags(part["text"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([part["query_id"], pa.array(found, pa.list_(pa.int64()))],
                                                  names=["query_id", "terms"])
     return queries.mapInArrow(run, "query_id long, terms array<long>")
 
@@ -213,6 +229,9 @@ def search(index, queries, k=10):
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").filter("query_id IS NOT NULL")
     _, size = text_bytes(queries)
     blocks, found = max(1, math.ceil(size / QUERY_BYTES)), None
+    shards = max(1, index.count())
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    found_kinds = "query_id long, doc_id long, score double"
     for block in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
         rows = _query_terms(some).toArrow()  # about QUERY_BYTES
@@ -221,22 +240,29 @@ def search(index, queries, k=10):
         known, place = np.unique(flat, return_inverse=True)
         df = document_frequencies(index, known)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        held = index.sparkSession.sparkContext.broadcast((known, idf, ids, np.append(0, np.cumsum(count)), place))
-        part = index.mapInArrow(_searcher(held, mean, k), "query_id long, doc_id long, score double")
+        block_of = (known, idf, ids, np.append(0, np.cumsum(count)), place)
+        held = index.sparkSession.sparkContext.broadcast((*block_of, np.ones(len(ids))))
+        # First a lower bound of each query's k-th score, from a few good blocks of every shard.
+        each = max(2, -(-2 * k // shards))
+        quick = index.mapInArrow(_searcher(held, mean, each, few=4 * each), found_kinds)
+        floors = dict(quick.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
+                      .select("query_id", "score").collect())  # a row per query of this block
+        floor = np.array([floors.get(i, 0) * SCALE for i in ids.tolist()])
+        held = index.sparkSession.sparkContext.broadcast((*block_of, np.maximum(1.0, np.rint(floor))))
+        part = index.mapInArrow(_searcher(held, mean, k), found_kinds)
         found = part if found is None else found.unionByName(part)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "score"))
 
 
-def _searcher(held, mean, k):
+def _searcher(held, mean, k, few=None):
     def run(batches):
-        known, idf, ids, start, place = held.value
+        known, idf, ids, start, place, floor = held.value
         for batch in batches:
-            for row in batch.to_pylist():
-                shard, out = Shard(row, known, idf, mean or 1.0), []
+            for n in range(batch.num_rows):
+                shard, out = Shard(batch.slice(n, 1).to_pylist()[0], known, idf, mean or 1.0), []
                 for q in range(len(ids)):
-                    numbers, scores = shard.best(place[start[q]:start[q + 1]], k)
+                    numbers, scores = shard.best(place[start[q]:start[q + 1]], k, floor[q], few)
                     if len(numbers):
                         out.append((np.full(len(numbers), ids[q]), shard.doc_ids[numbers], scores / SCALE))
                 columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]

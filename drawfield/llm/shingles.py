@@ -6,6 +6,7 @@ words. All hashes have 64 bits: two different shingles meet with a chance of 2**
 """
 
 import numpy as np
+import pyarrow.compute as pc
 
 from drawfield.llm.common import travels
 
@@ -64,16 +65,17 @@ def word_hashes(texts, between=SPACE):
     return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
-def slices(sizes, most=2 << 20):
-    """Runs of rows of at most ``most`` bytes, or one row: ``(first, last)``."""
+def pieces(batch, most=1 << 20):
+    """Parts of an Arrow batch whose ``text`` has at most ``most`` bytes together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
     first, held = 0, 0
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(sizes.tolist()):
         if held and held + size > most:
-            yield first, i
+            yield batch.slice(first, i - first)
             first, held = i, 0
         held += size
     if first < len(sizes):
-        yield first, len(sizes)
+        yield batch.slice(first)
 
 
 def shingle_sets(texts, words=4, short="whole"):

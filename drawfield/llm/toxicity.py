@@ -9,8 +9,8 @@ The ``MOST_FEATURES`` that tell the labels apart best are kept. Training reads a
 labelled rows, those with the smallest hash of ``doc_id`` (a documented bound); scoring covers every row
 and its whole text, row by row, without a shuffle.
 
-Null and empty texts have no features: the models' constants decide, and with mostly clean labels they
-are clean. Rows with a null ``doc_id`` are scored but cannot be labelled. Repeated labels of a document
+Null and empty texts, and those without any known feature, get the shares of the training labels: with
+mostly clean labels they are clean. Rows with a null ``doc_id`` are scored but cannot be labelled. Repeated labels of a document
 count once, the worst one. Repeated documents are scored alike. Without labels nothing is toxic. Extra
 columns are not read.
 """
@@ -98,17 +98,17 @@ def fit_chain(rows, columns, n_rows, n_columns, labels, folds=FOLDS):
 
 
 def train(docs, labels, categories=CATEGORIES):
-    """``(feature numbers, models)`` from labelled documents."""
+    """``(feature numbers, models, share of each category)`` from labelled documents."""
     worst = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         *[F.max(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in categories])
     few = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     names = [name for name, _ in categories]
-    texts = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     rows = stored(_extract(texts.select("text", "doc_id", *names)), "labelled")
     total = rows.agg(F.count(F.lit(1)), *[F.sum(F.col(c).cast("int")) for c in names]).first()
     n = total[0]
     if not n:
-        return {}, []
+        return {}, [], [0.0] * len(names)
     seen = rows.select(F.explode("features").alias("feature"), *names).groupBy("feature").agg(
         F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(c).cast("int")).alias(c) for c in names])
     worth = F.lit(0.0)
@@ -127,12 +127,12 @@ def train(docs, labels, categories=CATEGORIES):
     column = used["i"].to_numpy().astype(np.int64)
     y = np.column_stack([label[c].to_numpy() for c in names]).astype(float)
     order = np.lexsort((column, row))
-    return number, fit_chain(row[order], column[order], n, len(number) or 1, y)[0]
+    return number, fit_chain(row[order], column[order], n, len(number) or 1, y)[0], y.mean(axis=0).tolist()
 
 
 def score(docs, model, categories=CATEGORIES):
     """``docs`` without its text, with ``<category>_probability`` for each category of the chain."""
-    number, models = model
+    number, models, shares = model
     names = [f"{name}_probability" for name, _ in categories]
     keep = [f for f in docs.schema.fields if f.name != "text" and f.name not in names]
 
@@ -145,8 +145,8 @@ def score(docs, model, categories=CATEGORIES):
             before = np.zeros((len(texts), 0))
             for m in models:
                 before = np.column_stack([before, m.probability(rows, columns, len(texts), before)])
-            if not models:
-                before = np.zeros((len(texts), len(names)))
+            before = before if models else np.zeros((len(texts), len(names)))
+            before[[not f for f in found]] = shares
             yield pa.RecordBatch.from_arrays(
                 [*[batch[f.name] for f in keep], *[pa.array(before[:, k]) for k in range(len(names))]],
                 names=[*[f.name for f in keep], *names])
