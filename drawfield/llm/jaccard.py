@@ -33,7 +33,7 @@ from drawfield.llm.shingles import pieces, set_ids, shingle_sets
 travels(__name__)
 
 WORDS, PERCENT = 4, 85
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 BLOCK = 8
 
 
@@ -60,14 +60,26 @@ def named_sets(docs, words=WORDS):
     return docs.mapInArrow(run, "doc_id long, set_id long, n int")
 
 
-def _packed(bucket, columns):
-    """Rows of one bucket each, from columns already sorted by bucket."""
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    last = np.append(edges[1:], len(bucket))
-    arrays = [pa.array(bucket[edges].astype(np.int32))]
-    for c in columns.values():
-        arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(edges.tolist(), last.tolist())], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
+def _packed(bucket, name, each, once):
+    """Rows of one bucket each, from columns sorted by bucket. ``once``: columns told once for each run
+    of one set's shingles, with the length of the run."""
+    new = (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])
+    run = np.flatnonzero(np.concatenate([[True], new])) if len(bucket) else np.zeros(0, np.int64)
+    once = {"name": name[run], **{c: v[run] for c, v in once.items()}, "run": np.diff(np.append(run, len(name))).astype(np.int32)}
+    arrays, names = [], []
+    for columns, key in ((each, bucket), (once, bucket[run])):
+        edges = np.flatnonzero(np.diff(key, prepend=-1))
+        last = np.append(edges[1:], len(key)).tolist()
+        for c, v in columns.items():
+            names.append(c)
+            arrays.append(pa.array([v[a:b].tobytes() for a, b in zip(edges.tolist(), last)], pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(key[edges].astype(np.int32)), *arrays], names=["bucket", *names])
+
+
+def _runs(group, *columns):
+    """Columns told once a run, repeated for each shingle."""
+    run = _unpacked(group, "run", np.int32)
+    return [np.repeat(_unpacked(group, c, k), run) for c, k in columns]
 
 
 def _unpacked(group, column, kind):
@@ -85,8 +97,7 @@ def index(docs, words, percent, buckets):
             token = np.concatenate([h[1] for h in held])
             bucket = (token >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            return _packed(bucket[order].astype(np.int64),
-                           {"token": token[order], "name": name[order], "n": n[order]})
+            return _packed(bucket[order].astype(np.int64), name[order], {"token": token[order]}, {"n": n[order]})
 
         for _, names, sets in _sets(batches, words):
             for name, tokens in zip(names.tolist(), sets):
@@ -101,7 +112,8 @@ def index(docs, words, percent, buckets):
             yield flush()
 
     def shared(group):
-        token, name, n = (_unpacked(group, c, k) for c, k in (("token", np.uint64), ("name", np.int64), ("n", np.int32)))
+        token = _unpacked(group, "token", np.uint64)
+        name, n = _runs(group, ("name", np.int64), ("n", np.int32))
         order = np.lexsort((name, token))
         token, name, n = token[order], name[order], n[order]
         first = np.ones(len(token), bool)
@@ -112,15 +124,14 @@ def index(docs, words, percent, buckets):
         df = np.repeat(df, df)
         keep = df > 1
         token, name, n, df = token[keep], name[keep], n[keep], df[keep].astype(np.int32)
-        bucket = (name.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        packed = _packed(bucket[order].astype(np.int64),
-                         {"token": token[order], "name": name[order], "n": n[order], "df": df[order]})
+        bucket = ((name.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((name, bucket))
+        packed = _packed(bucket[order], name[order], {"token": token[order], "df": df[order]}, {"n": n[order]})
         return pa.Table.from_batches([packed])
 
     def leading(group):
-        token, name, n, df = (_unpacked(group, c, k) for c, k in (
-            ("token", np.uint64), ("name", np.int64), ("n", np.int32), ("df", np.int32)))
+        token, df = _unpacked(group, "token", np.uint64), _unpacked(group, "df", np.int32)
+        name, n = _runs(group, ("name", np.int64), ("n", np.int32))
         order = np.lexsort((token, df, name))
         token, name, n = token[order], name[order], n[order].astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
@@ -131,18 +142,20 @@ def index(docs, words, percent, buckets):
         return pa.table({"token": token[keep].view(np.int64), "set_id": name[keep],
                          "n": n[keep].astype(np.int32), "pos": pos[keep].astype(np.int32)})
 
-    return (docs.mapInArrow(by_token, "bucket int, token binary, name binary, n binary")
-            .groupBy("bucket").applyInArrow(shared, "bucket int, token binary, name binary, n binary, df binary")
+    runs = "name binary, n binary, run binary"
+    return (docs.mapInArrow(by_token, f"bucket int, token binary, {runs}")
+            .groupBy("bucket").applyInArrow(shared, f"bucket int, token binary, df binary, {runs}")
             .groupBy("bucket").applyInArrow(leading, "token long, set_id long, n int, pos int"))
 
 
 def wanted_sets(docs, named, wanted, words):
-    """``set_id``, ``tokens`` of the sets in ``wanted``, each from its first document.
+    """``set_id``, ``tokens``, ``n`` of the sets in ``wanted`` (``set_id`` and more), each from its first document.
 
     A bit map of fixed size (2**26 bits) of the wanted documents' ids keeps other texts from being
     hashed; the join after it is exact.
     """
-    ids = stored(named.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    firsts = named.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    ids = stored(wanted.join(firsts, "set_id"), "wanted")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
     rows = bit_map(ids, "doc_id").toArrow()  # 2**20 rows at most
     bits = np.zeros(1 << 20, np.int64)
@@ -163,15 +176,21 @@ def wanted_sets(docs, named, wanted, words):
 
     found = (docs.withColumn("place", place)
              .mapInArrow(run, "doc_id long, set_id long, tokens array<long>"))
-    return stored(found.join(ids, ["doc_id", "set_id"]).dropDuplicates(["set_id"])
-                  .select("set_id", "tokens", F.size("tokens").alias("n")), "sets")
+    more = [c for c in wanted.columns if c != "set_id"]
+    return stored(found.join(ids, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+                  .select("set_id", "tokens", F.size("tokens").alias("n"), *more), "sets")
 
 
 def compared(pairs, sets):
     """``pairs`` (``a``, ``b`` and more) with ``both``, the size of the overlap, ``na`` and ``nb``."""
     a = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    return overlaps(pairs.join(a, "a"), sets)
+
+
+def overlaps(pairs, sets):
+    """The same for ``pairs`` that bring the first set, ``ta`` and ``na``."""
     b = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    return (pairs.join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
             .drop("ta", "tb"))
 
 
@@ -235,14 +254,19 @@ def join(docs, words=WORDS, percent=PERCENT):
     rows = stored(index(docs, words, percent, buckets), "index")
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "set_id")).alias("p"))
     met = stored(rows.join(lists.filter("m > 1").select("token", F.col("p.set_id").alias("pivot")), "token"), "met")
-    sets = wanted_sets(docs, named, met.select("set_id").distinct(), words)
 
     # Stars: the pivot met most often. Positions fall along a chain of pivots only by chance, so a
     # set hooks onto a smaller name only, and the larger of two that chose each other onto the other.
     votes = met.filter("pivot <> set_id").groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "pivot")).alias("v")).select(
-        F.col("set_id").alias("a"), F.col("v.pivot").alias("b"))
-    tested = stored(compared(best, sets).select("a", "b", distance().alias("d"), linked(percent).alias("ok")), "tested")
+        "set_id", F.col("v.pivot").alias("pivot"))
+    wanted = met.select("set_id").distinct().join(best, "set_id", "left")
+    known = wanted_sets(docs, named, wanted, words)
+    sets = known.drop("pivot")
+    # A set is stored with the name of its pivot: only it travels to the pivot's set.
+    pairs = known.filter("pivot IS NOT NULL").select(
+        F.col("set_id").alias("a"), F.col("pivot").alias("b"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    tested = stored(overlaps(pairs, sets).select("a", "b", distance().alias("d"), linked(percent).alias("ok")), "tested")
     ties = tested.filter("ok").select("a", "b")
     star = components(ties)
     if star is None:

@@ -50,6 +50,7 @@ def made_up(seed, n=300):
 def test_equals_scoring_everything(spark, monkeypatch, seed, k):
     rows = made_up(seed)
     monkeypatch.setattr(search, "SHARD_POSTINGS", 900)      # many shards
+    monkeypatch.setattr(search, "COMMON", 8)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, score int, rank string").repartition(3)
     queries = [(i, t) for i, t in rows if i is not None and i % 9 == 0] + [(-1, "unknown words"), (-2, None)]
     found = search.search(search.build_index(docs), spark.createDataFrame(queries, "query_id long, text string"), k)
@@ -65,22 +66,25 @@ def test_query_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(rows, queries, 10)
 
 
-def test_blocks_below_the_threshold_are_not_opened(monkeypatch):
-    """The pruning skips blocks, and what it skips cannot be among the best."""
+def test_blocks_below_the_threshold_are_skipped():
+    """What is skipped cannot be among the best, and the threshold does skip."""
     import numpy as np
     rng = np.random.default_rng(1)
-    n = 3200
-    lengths = np.full(n, 20, np.int32)
-    held = {1: np.arange(n), 2: np.sort(rng.choice(n, 40, False))}
-    docs = np.concatenate([held[1], held[2]]).astype(np.int32)
-    row = dict(doc_ids=np.arange(n).tobytes(), lengths=lengths.tobytes(), terms=np.array([1, 2], np.uint64).tobytes(),
-               starts=np.array([0, n, n + 40]).tobytes(), docs=docs.tobytes(), tfs=np.ones(len(docs), np.int32).tobytes())
-    shard = search.Shard(row, np.array([1, 2], np.uint64), np.array([0.01, 5.0]), 20.0)
-    opened = []
-    real = np.bincount
-    monkeypatch.setattr(search.np, "bincount", lambda x, w=None, m=0: (opened.append(len(x)), real(x, w, m))[1])
-    numbers, _ = shard.best(np.array([0, 1]), 3)
-    assert set(numbers) <= set(held[2].tolist()) and sum(opened[1:]) < len(docs) / 2
+    n = 3205
+    lengths = rng.integers(5, 60, n).astype(np.int32)
+    held = [np.sort(rng.choice(n, size, False)) for size in (n, n // 2, 40, 7)]
+    docs = np.concatenate(held).astype(np.int32)
+    row = dict(doc_ids=np.arange(n).tobytes(), lengths=lengths.tobytes(), terms=np.arange(4, dtype=np.uint64).tobytes(),
+               starts=np.cumsum([0, *map(len, held)]).tobytes(), docs=docs.tobytes(), tfs=rng.integers(1, 5, len(docs)).astype(np.int32).tobytes())
+    shard = search.Shard(row, np.arange(4, dtype=np.uint64), np.array([0.1, 0.7, 4.0, 6.0]), lengths.mean())
+    everything = np.bincount(shard.docs, shard.value, n)
+    order = np.lexsort((np.arange(n), -everything))[:5]
+    for floor in (1.0, everything[order[4]]):
+        numbers, scores = shard.best(np.arange(4), 5, floor)
+        assert sorted(numbers) == sorted(order) and sorted(scores) == sorted(everything[order])
+    assert len(shard.best(np.arange(4), 5, everything.max() + 1)[0]) == 0
+    numbers, scores = shard.best(np.arange(4), 5, few=20)
+    assert (scores == everything[numbers]).all() and min(scores) <= everything[order[4]]
 
 
 def test_empty_tables(spark):
