@@ -1,38 +1,47 @@
-"""Long draws to vectors: the wire scan and the assembly of a run."""
+"""Long draws to vectors: the wire scan and the assembly of runs."""
 
 from pyspark.sql import functions as F
 
 from drawfield.schema import CELL, MONTH, PREDICTION_PREFIX
 
-SLOTS = 128     # draws gathered per aggregate; wider vectors are gathered in blocks of this
 
+def with_declared(draws, headers):
+    """Draws with the ``sample_count`` of their shard's header; shards without header are left out."""
+    return draws.join(headers.select("run_id", "shard", "sample_count"), ["run_id", "shard"])
 
-def to_vectors(draws, width, keys=("target", MONTH, CELL)):
-    """``(…keys, sample, value)`` rows to one ``draws`` vector per key, placed by ``sample``.
 
-    Each slot of the vector is its own aggregate, so rows are combined before the shuffle (a
-    shard stores a cell's draws together: one row per cell travels, not one per draw) and the
-    buffer has ``width`` slots however many copies of a draw arrive. A missing draw stays NULL.
-    Copies of one draw keep the smallest; the duplicate gate reports them.
+def to_vectors(draws, keys=("target", MONTH, CELL), strict=True):
+    """``(…keys, sample, value, sample_count)`` rows to one ``draws`` vector per key, placed by ``sample``.
+
+    The vector has ``sample_count`` slots, as the shard's header declares, whatever the rows hold: a draw
+    beyond them, or two declarations for one key, is an error. A slot without draw is an error too, or
+    NULL if not ``strict``; copies of one draw are an error, or keep the smallest. Draws of a key are
+    gathered map-side, so one row per key and task travels; run the gates first, they hold a key's
+    rows to ``sample_count``. Sorting and placing take time in proportion to the draws.
     """
-    sample = F.col("sample")
-    if width <= SLOTS:
-        return draws.groupBy(*keys).agg(_slots("sample", width).alias("draws"))
-    blocks = -(-width // SLOTS)
-    inside = draws.filter((sample >= 0) & (sample < width))
-    part = inside.groupBy(*keys, F.floor(sample / SLOTS).cast("int").alias("block")).agg(
-        _slots(f"pmod(sample, {SLOTS})", SLOTS).alias("part"))
-    empty = F.array_repeat(F.lit(None).cast(part.schema["part"].dataType.elementType), SLOTS)
-    # At most `blocks` rows per key reach this step.
-    by_block = part.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("block", "part"))).alias("m"))
-    whole = F.flatten(F.array(*[F.coalesce(F.element_at("m", b), empty) for b in range(blocks)]))
-    return by_block.select(*keys, F.slice(whole, 1, width).alias("draws"))
-
-
-def _slots(position, width):
-    """One aggregate per slot. Stated as text: hundreds of Column objects are slow to build."""
-    return F.expr(f"array({', '.join(f'min(CASE WHEN {position} = {i} THEN value END)' for i in range(width))})")
+    declared = F.col("sample_count")
+    inside = F.when((F.col("sample") >= 0) & (F.col("sample") < declared), F.col("sample")).otherwise(
+        F.raise_error(F.concat(F.lit("draw "), F.col("sample").cast("string"), F.lit(" of declared "),
+                               F.coalesce(declared.cast("string"), F.lit("none")))))
+    gathered = draws.groupBy(*keys).agg(
+        F.collect_list(F.struct(inside.cast("int").alias("sample"), "value")).alias("rows"),
+        F.min(declared).alias("low"), F.max(declared).alias("high"))
+    rows = gathered.withColumn("rows", F.array_sort("rows"))
+    whole = (F.size("rows") == F.col("high")) & F.forall(
+        F.transform("rows", lambda x, i: x["sample"] == i), lambda ok: ok)
+    if strict:
+        rest = F.raise_error(F.lit("a draw is missing or repeated")).cast(f"array<{_kind(draws)}>")
+    else:
+        first = F.filter("rows", lambda x, i: (i == 0) | (F.get("rows", i - 1)["sample"] != x["sample"]))
+        placed = F.map_from_entries(first)
+        rest = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: F.element_at(placed, i.cast("int")))
+    return rows.select(*keys, F.when(F.col("low") != F.col("high"), F.raise_error(F.lit(
+        "shards of one cell declare different numbers of draws")).cast(f"array<{_kind(draws)}>"))
+        .when(whole, F.transform("rows", lambda x: x["value"])).otherwise(rest).alias("draws"))
+
+
+def _kind(draws):
+    return draws.schema["value"].dataType.simpleString()
 
 
 def widen(vectors, targets, keys=(MONTH, CELL)):
@@ -43,13 +52,16 @@ def widen(vectors, targets, keys=(MONTH, CELL)):
         F.element_at("m", t).alias(PREDICTION_PREFIX + t) for t in targets])
 
 
-def zero_fill(frame, columns, width):
-    """A target absent from a populated row becomes ``width`` zeros."""
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
+def zero_fill(frame, columns):
+    """A target absent from a populated row becomes as many zeros as the row's other targets have draws."""
+    widths = [F.size(c) for c in columns]
+    width = F.greatest(*widths) if len(widths) > 1 else widths[0]
+    zeros = F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0).cast("float"))
     return frame.withColumns({c: F.coalesce(F.col(c), zeros) for c in columns})
 
 
-def assemble_run(draws, sidecar, targets, width):
-    """All shards of one run as a posterior table with its geography joined on."""
-    wide = widen(to_vectors(draws, width), targets)
-    return zero_fill(wide, [PREDICTION_PREFIX + t for t in targets], width).join(sidecar, CELL, "left")
+def assemble_run(draws, headers, sidecar, targets, keys=(MONTH, CELL), strict=True):
+    """All shards of a run (or, with ``run_id`` in ``keys``, of many) as a posterior table with geography."""
+    vectors = to_vectors(with_declared(draws, headers), ("target", *keys), strict)
+    wide = widen(vectors, targets, keys)
+    return zero_fill(wide, [PREDICTION_PREFIX + t for t in targets]).join(sidecar, CELL, "left")

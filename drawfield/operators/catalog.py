@@ -42,9 +42,20 @@ def page(catalog, limit=25, offset=0, text=""):
 
 
 def new_artifacts(incoming, stored):
-    """Incoming artifacts whose content, and then whose filename, is not stored yet."""
+    """Incoming artifacts whose content, and then whose filename, is not stored yet.
+
+    Of equal contents, and then of equal names, in one batch the oldest is kept.
+    """
     unseen = incoming.join(stored.select("file_hash").distinct(), "file_hash", "left_anti")
-    return unseen.join(stored.select("filename").distinct(), "filename", "left_anti")
+    return _first(_first(unseen, "file_hash").join(stored.select("filename").distinct(), "filename", "left_anti"),
+                  "filename")
+
+
+def _first(catalog, key):
+    """The oldest artifact of each ``key``: by creation time, then by file id. NULL keys are all kept."""
+    oldest = catalog.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*_AGE_ORDER)).alias("kept"))
+    both = catalog.join(oldest, key, "left")
+    return both.filter(F.col("kept").isNull() | (F.struct(*_AGE_ORDER) == F.col("kept"))).select(*catalog.columns)
 
 
 # --- selection ---------------------------------------------------------------------
@@ -63,8 +74,13 @@ def without(catalog, quarantined):
 
 
 def only(catalog, approved=None):
-    """With an approval list, only its ids; without one (None), everything."""
-    return catalog if approved is None else catalog.join(approved.select("file_id"), "file_id", "left_semi")
+    """With an approval list, only its ids; without one (None) or with an empty one, everything."""
+    if approved is None:
+        return catalog
+    ids = approved.select("file_id").distinct().withColumn("approved", F.lit(True))
+    unrestricted = approved.agg(F.count("*") == 0).scalar()
+    return (catalog.join(ids, "file_id", "left").filter(F.col("approved").isNotNull() | unrestricted)
+            .select(*catalog.columns))
 
 
 def latest_manifest(catalog, by=()):

@@ -18,6 +18,8 @@ GATES = {
     "declares_expectations": True,
     "self_consistent": False,
     "missing_artifacts": True,
+    "repeated_entries": True,
+    "unlisted": True,
     "identifiable": False,
     "header": False,
     "cell_count": False,
@@ -38,31 +40,33 @@ class Run:
     ``headers``  run_id, shard, header_target, header_month, sample_count, ensemble
     ``manifest`` run_id, contract_version, targets, expected_months, expected_cell_count, shards, sidecar
     ``sidecar``  priogrid_id and geography
-    ``width``    the largest number of draws a vector may have
     """
 
     draws: DataFrame
     headers: DataFrame
     manifest: DataFrame
     sidecar: DataFrame
-    width: int
 
 
 # --- profiles ----------------------------------------------------------------
 
 def cell_profile(run):
-    """Per (shard, cell): number of rows, range of the draw numbers, number of distinct ones."""
-    words = range(-(-run.width // 64))
+    """Per (shard, cell): number of rows, and whether the draw numbers are exactly 0..rows-1.
+
+    64 draw numbers are one BIGINT of marks, combined map-side; no width is assumed. The second
+    grouping sees one row per cell and 64 draws.
+    """
+    keys = ("run_id", "shard", "target", MONTH, CELL)
     sample = F.col("sample")
-    marks = [F.bit_or(F.when(F.floor(sample / 64) == w, F.expr("shiftleft(1L, int(pmod(sample, 64)))")))
-             for w in words]
-    profile = run.draws.groupBy("run_id", "shard", "target", MONTH, CELL).agg(
+    words = run.draws.groupBy(*keys, F.floor(sample / 64).alias("word")).agg(
         F.count("*").alias("rows"), F.min(sample).alias("low"), F.max(sample).alias("high"),
-        *[m.alias(f"bits{w}") for w, m in zip(words, marks)])
-    distinct = sum((F.coalesce(F.bit_count(f"bits{w}"), F.lit(0)) for w in words), F.lit(0))
-    return profile.select("run_id", "shard", "target", MONTH, CELL, "rows",
-                          ((F.col("low") == 0) & (F.col("high") == F.col("rows") - 1)
-                           & (distinct == F.col("rows"))).alias("ordered"))
+        F.bit_or(F.expr("shiftleft(1L, int(pmod(sample, 64)))")).alias("marks"))
+    profile = words.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum(F.bit_count("marks")).alias("distinct"))
+    return profile.select(*keys, "rows", F.coalesce(
+        (F.col("low") == 0) & (F.col("high") == F.col("rows") - 1) & (F.col("distinct") == F.col("rows")),
+        F.lit(False)).alias("ordered"))
 
 
 def shard_profile(run):
@@ -215,6 +219,27 @@ def missing_artifacts_gate(run):
     return run.manifest.select("run_id").join(missing, "run_id", "left").fillna(0, "problems")
 
 
+def repeated_entries_gate(run):
+    """No shard name is listed twice."""
+    names = manifest_shards(run.manifest).groupBy("run_id").agg(
+        (F.count("shard") - F.countDistinct("shard")).alias("problems"))
+    return run.manifest.select("run_id").join(names, "run_id", "left").fillna(0, "problems")
+
+
+def unlisted_gate(run):
+    """Every delivered shard is listed in the manifest."""
+    listed = manifest_shards(run.manifest).select("run_id", "shard").distinct()
+    extra = (shard_profile(run).join(listed, ["run_id", "shard"], "left_anti").groupBy("run_id")
+             .agg(F.countDistinct("shard").alias("problems")))
+    return run.manifest.select("run_id").join(extra, "run_id", "left").fillna(0, "problems")
+
+
+def listed_draws(run):
+    """Only the draws of shards that the manifest lists: what assembly may read."""
+    listed = manifest_shards(run.manifest).select("run_id", "shard").distinct()
+    return run.draws.join(listed, ["run_id", "shard"], "left_semi")
+
+
 def loaded_vs_listed(run):
     """Full outer comparison of delivered and listed shard names."""
     delivered = run.draws.select("run_id", "shard").distinct().withColumn("loaded", F.lit(True))
@@ -270,8 +295,12 @@ def gate_rows(run):
     by_shard = cells.groupBy("run_id", "shard", "target", MONTH).agg(
         F.count("*").alias("cells"), F.min("rows").alias("s_min"), F.max("rows").alias("s_max"),
         F.count_if(~F.col("ordered")).alias("out_of_order"))
+    listed = (manifest_shards(run.manifest).select("run_id", "shard").distinct()
+              .withColumn("listed", F.lit(True)))
     shards = (by_shard.join(run.headers, ["run_id", "shard"], "left")
+              .join(listed, ["run_id", "shard"], "left")
               .join(wanted, "run_id").groupBy("run_id").agg(
+        F.count_if(F.col("listed").isNull()).alias("unlisted"),
         F.size(F.collect_set(MONTH)).alias("run_months"), F.sum("out_of_order").alias("out_of_order"),
         F.count_if(F.col("cells") != F.col("expected_cell_count")).alias("wrong_cells"),
         F.count_if(~F.col("s_min").eqNullSafe(F.col("sample_count"))
@@ -279,10 +308,11 @@ def gate_rows(run):
     facts = (shape.join(shards, "run_id").join(wanted, "run_id")
              .withColumn("flags", F.map_from_arrays(
         F.array(*map(F.lit, ("cell_count", "sample_count", "sample_order", "uniform_s",
-                             "duplicates", "coverage", "rectangular"))),
+                             "duplicates", "coverage", "unlisted", "rectangular"))),
         F.array(F.col("wrong_cells") == 0, F.col("wrong_s") == 0,
                 (F.col("disordered") == 0) & (F.col("out_of_order") == 0),
                 F.col("s_min") == F.col("s_max"), F.col("repeats") == 0, F.col("uncovered") == 0,
+                F.col("unlisted") == 0,
                 (F.col("fewest_months") == F.col("run_months"))
                 & (F.col("most_months") == F.col("run_months"))
                 & (F.col("fewest") == F.col("run_targets"))
@@ -293,6 +323,7 @@ def gate_rows(run):
                        ("declares_expectations", expectations_gate),
                        ("self_consistent", self_consistent_gate),
                        ("missing_artifacts", missing_artifacts_gate),
+                       ("repeated_entries", repeated_entries_gate),
                        ("identifiable", identifiable_gate), ("header", header_gate)):
         rows = gate(run).select("run_id", F.lit(name).alias("gate"),
                                 (F.col("problems") == 0).alias("passed"))

@@ -18,23 +18,15 @@ def months_of(frame):
     return frame.agg(F.sort_array(F.collect_set(MONTH))).scalar()
 
 
-def through_last_complete_month(frame):
-    """The rows up to the latest month in which every cell is present."""
-    cells = frame.agg(F.countDistinct(CELL)).scalar()
-    per_month = frame.groupBy(MONTH).agg(F.countDistinct(CELL).alias("n"))
-    last = per_month.filter(F.col("n") == cells).agg(F.max(MONTH)).scalar()
-    return frame.filter(F.col(MONTH) <= last)
-
-
 def missing_pairs(frame, entities="last"):
     """The (month, cell) pairs the grid lacks.
 
     ``last``: the cells of the last month define the grid, and a cell absent from it is an
     error when the rows are read. ``all``: every cell ever seen does.
     """
-    keys = frame.select(MONTH, CELL)
-    months = months_of(keys)
-    have = keys.groupBy(CELL).agg(F.collect_set(MONTH).alias("have"))
+    have = frame.groupBy(CELL).agg(F.collect_set(MONTH).alias("have"))
+    # The months come from the same profile, so that Spark reuses its shuffle and reads the keys once.
+    months = have.select(F.explode("have").alias(MONTH)).agg(F.sort_array(F.collect_set(MONTH))).scalar()
     holes = F.array_except(months, F.col("have"))
     if entities == "last":
         absent = F.raise_error(F.concat(
@@ -52,7 +44,7 @@ def complete_grid(frame, fill, entities="last"):
         kind = frame.schema[column].dataType
         if not is_vector(frame, column):
             return F.lit(fill).cast(kind)
-        width = frame.select(F.size(column)).limit(1).scalar()
+        width = frame.agg(F.max(F.size(column))).scalar()
         return F.array_repeat(F.lit(fill).cast(kind.elementType), width)
 
     filled = missing_pairs(frame, entities).select(
@@ -60,9 +52,9 @@ def complete_grid(frame, fill, entities="last"):
     return frame.select(MONTH, CELL, *values).unionByName(filled)
 
 
-def dense_fill(frame, fill=0.0):
-    """Every month x every cell of the last month; a recreated row holds ``fill``."""
-    return complete_grid(frame, fill, "last")
+def dense_fill(frame, fill=0.0, entities="last"):
+    """Every month x every cell of the last month (or of any month); a recreated row holds ``fill``."""
+    return complete_grid(frame, fill, entities)
 
 
 def entities_absent_last_step(frame):
@@ -113,11 +105,12 @@ def target_frames(frame, targets):
     return frame.select(F.expr(f"stack({len(targets)}, {pairs}) as (target, draws)"), MONTH, CELL)
 
 
-def integrity_roundtrip(frame, targets, width):
+def integrity_roundtrip(frame, targets):
     """Take the vectors apart, put them together again, and count the rows that differ."""
     before = target_frames(frame, targets)
-    long = before.select("target", MONTH, CELL, F.posexplode("draws").alias("sample", "value"))
-    after = to_vectors(long, width).withColumnRenamed("draws", "rebuilt")
+    long = before.select("target", MONTH, CELL, F.size("draws").alias("sample_count"),
+                         F.posexplode("draws").alias("sample", "value"))
+    after = to_vectors(long).withColumnRenamed("draws", "rebuilt")
     both = before.join(after, ["target", MONTH, CELL], "full_outer")
     return both.groupBy("target").agg(
         F.count("*").alias("rows"),

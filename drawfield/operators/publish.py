@@ -80,10 +80,11 @@ def json_clean(frame):
 
 
 def unwrap_single(frame, columns):
-    """Vectors of exactly one draw in every row may be shown as scalars."""
-    return frame.withColumns({c: F.when(F.size(c) == 1, F.get(c, F.lit(0))) for c in columns})
+    """Vectors of exactly one draw in every row shown as scalars; a longer one is an error."""
+    return frame.withColumns({c: F.when(F.size(c) <= 1, F.get(c, F.lit(0))).when(
+        F.size(c) > 1, F.raise_error(F.lit(f"{c} holds more than one draw"))) for c in columns})
 
 
 def json_rows(frame):
-    """One JSON text per row."""
-    return json_clean(frame).select(F.to_json(F.struct("*")).alias("json"))
+    """One JSON text per row; a NULL field keeps its key."""
+    return json_clean(frame).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

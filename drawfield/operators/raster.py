@@ -1,9 +1,10 @@
 """The data half of a map: reduced values, their common range, and raster positions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drawfield.functions.draws import reduce_draws, transform_values
-from drawfield.schema import CELL, LAT_RANGE, LON_RANGE
+from drawfield.schema import CELL
 
 
 def value_column(frame, exclude=()):
@@ -32,30 +33,25 @@ def shared_range(frames, column, how="mean", transform="log1p"):
         F.col("vmin") == F.col("vmax"), F.col("vmin") + 1e-9).otherwise(F.col("vmax")))
 
 
-def _axis(geo, column, bounds):
-    """Smallest coordinate and median spacing of the distinct coordinates of an axis.
+def _axis(geo, column):
+    """Smallest coordinate and median spacing of the distinct coordinates of an axis, as scalars.
 
-    The coordinates of an axis are few (360 or 720 on the half-degree grid), whatever the number
-    of cells; ``collect_set`` combines them map-side. A finer grid than 0.005 degrees is refused.
+    Coordinates are compared with the one before them within one degree, and the ends of the degrees
+    (360 at most) with each other, so no task sees a whole axis however fine the grid is.
     """
-    xs = F.sort_array(F.collect_set(column))
-    most = int((bounds[1] - bounds[0]) / 0.005)
-    coordinates = geo.agg(xs.alias("xs")).select(F.when(F.size("xs") <= most, F.col("xs")).otherwise(
-        F.raise_error(F.lit(f"more than {most} distinct values of {column}"))).alias("xs"))
-    gaps = F.sort_array(F.zip_with(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))),
-                                   F.slice("xs", 1, F.greatest(F.size("xs") - 1, F.lit(0))),
-                                   lambda b, a: b - a))
-    n = F.size(gaps)
-    middle = (F.get(gaps, F.floor((n - 1) / 2).cast("int")) + F.get(gaps, F.floor(n / 2).cast("int"))) / 2
-    return coordinates.select(F.struct(
-        F.array_min("xs").alias("low"), F.array_max("xs").alias("high"),
-        F.when(n > 0, middle).otherwise(0.1).alias("step"))).scalar()
+    x = F.col("x")
+    points = geo.select(F.col(column).alias("x")).filter(x.isNotNull()).distinct().withColumn("degree", F.floor("x"))
+    inside = points.select((x - F.lag("x").over(Window.partitionBy("degree").orderBy("x"))).alias("gap"))
+    ends = points.groupBy("degree").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("degree"))).alias("gap"))
+    gaps = inside.unionByName(between).filter("gap IS NOT NULL")
+    return (points.agg(F.min("x")).scalar(),
+            gaps.agg(F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.1))).scalar())
 
 
 def raster_index(geo):
     """Row and column of each cell by absolute position, so that gaps in the grid stay gaps."""
-    x, y = _axis(geo, "pg_xcoord", LON_RANGE), _axis(geo, "pg_ycoord", LAT_RANGE)
-    return geo.select(CELL, x.alias("x"), y.alias("y"), "pg_xcoord", "pg_ycoord").select(
-        CELL,
-        F.rint((F.col("pg_ycoord") - F.col("y.low")) / F.col("y.step")).cast("int").alias("row"),
-        F.rint((F.col("pg_xcoord") - F.col("x.low")) / F.col("x.step")).cast("int").alias("col"))
+    (left, across), (low, up) = _axis(geo, "pg_xcoord"), _axis(geo, "pg_ycoord")
+    return geo.select(
+        CELL, F.rint((F.col("pg_ycoord") - low) / up).cast("int").alias("row"),
+        F.rint((F.col("pg_xcoord") - left) / across).cast("int").alias("col"))

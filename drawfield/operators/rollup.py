@@ -14,9 +14,14 @@ BLOCK = 128     # sums per row; generated code for many more is no longer compil
 
 
 def with_unit(frame, geo, level, drop_codes=()):
-    """Each row with its unit code; rows of a cell without a code are left out, never pooled."""
+    """Each row with its unit code; rows of a cell without a code are left out, never pooled.
+
+    A cell listed twice counts once, and with two different codes it is an error.
+    """
     code = F.col(level_column(level))
-    units = geo.select(CELL, code.alias("unit")).filter(code.isNotNull())
+    units = geo.filter(code.isNotNull()).groupBy(CELL).agg(F.min(code).alias("low"), F.max(code).alias("high")).select(
+        CELL, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.concat(
+            F.lit("cell "), F.col(CELL).cast("string"), F.lit(f" has more than one {level} code")))).alias("unit"))
     if dict(units.dtypes)["unit"] in ("double", "float"):
         units = units.filter(~F.isnan("unit")).withColumn("unit", F.col("unit").cast("long"))
     if drop_codes:

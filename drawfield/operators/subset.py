@@ -6,7 +6,7 @@ from drawfield.functions.draws import pick_draws
 from drawfield.operators.normalize import is_vector
 from drawfield.schema import CELL, GEO_COLUMNS, LEVEL_NAMES, MONTH, level_column
 
-INLINE_IDS = 1000    # a longer list of ids is better passed as a table
+INLINE_IDS = 1000    # a longer list of ids is joined instead of compared one by one
 
 
 def _listed(values):
@@ -14,14 +14,15 @@ def _listed(values):
 
 
 def keep_ids(frame, column, ids):
-    """Rows whose id is wanted: a list becomes a pushed-down filter, a DataFrame a semi join."""
+    """Rows whose id is wanted: a short list becomes a pushed-down filter, any other a semi join."""
     if ids is None:
         return frame
     if hasattr(ids, "columns"):
         return frame.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
     wanted = _listed(ids)
     if len(wanted) > INLINE_IDS:
-        raise ValueError(f"{len(wanted)} ids in a list; pass more than {INLINE_IDS} as a DataFrame")
+        table = frame.sparkSession.createDataFrame([(i,) for i in wanted], frame.select(column).schema)
+        return frame.join(table.distinct(), column, "left_semi")
     return frame.filter(F.col(column).isin(*wanted)) if wanted else frame.limit(0)
 
 
@@ -62,8 +63,13 @@ def require_known(frame, column, ids):
         raise KeyError(f"unknown {column}: {missing}")
 
 
-def subset_ordered(frame, requested, column=CELL):
-    """Rows of the requested ids with ``position``, the place of the id in the request."""
+def subset_ordered(frame, requested, column=CELL, strict=False):
+    """Rows of the requested ids with ``position``, the place of the id in the request.
+
+    Unknown ids match no row, or are an error if ``strict``.
+    """
+    if strict:
+        require_known(frame, column, requested.select("id"))
     return frame.join(requested.select(F.col("position"), F.col("id").alias(column)), column)
 
 
@@ -98,11 +104,12 @@ def unit_encoding(geo, level):
         "code", (F.col("position") + 1).alias("unit_id"))
 
 
-def parse_requests(requests, column):
-    """Parse comma lists of integers: ``ids`` NULL means all, ``valid`` false an odd element."""
+def parse_requests(requests, column, kind="long"):
+    """Parse comma lists of integers, or of texts with ``kind="string"``: ``ids`` NULL means all,
+    ``valid`` false an odd element."""
     text = F.trim(F.coalesce(F.col(column), F.lit("")))
     parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
-    numbers = F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("long"))
+    numbers = F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast(kind))
     everything = (text == "") | text.isin("[]", "null", "None")
     return requests.withColumns({
         "selects_all": everything,
@@ -111,6 +118,17 @@ def parse_requests(requests, column):
     })
 
 
+def answer_requests(frame, requests, column, keys):
+    """Rows of ``frame`` for every valid request of ids, all requests in one join.
+
+    requests: ``keys`` and what :func:`parse_requests` adds. A request of everything is answered by the
+    frame itself and not multiplied out here. An id asked twice in a request answers once.
+    """
+    asked = (requests.filter("valid AND NOT selects_all")
+             .select(*keys, F.explode(F.array_distinct("ids")).alias(column)))
+    return asked.join(frame, column)
+
+
 def coverage(frame, geo):
     """Per month and country: rows, and distinct cells."""
     return (frame.join(geo.select(CELL, "country_iso_a3"), CELL, "left")

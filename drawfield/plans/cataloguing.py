@@ -58,8 +58,10 @@ def catalog_page(spark, sf_dir):
 
 
 @query("dedup_by_hash", f"""{_C}, stored AS (SELECT * FROM c WHERE value < 0.1), incoming AS (SELECT * FROM c WHERE value >= 0.1)
-SELECT {_SHOWN} FROM incoming WHERE file_hash NOT IN (SELECT file_hash FROM stored)
-  AND filename NOT IN (SELECT filename FROM stored)""")
+, unseen AS (SELECT * FROM incoming WHERE file_hash NOT IN (SELECT file_hash FROM stored)),
+by_hash AS (SELECT * FROM unseen QUALIFY file_hash IS NULL OR row_number() OVER (PARTITION BY file_hash ORDER BY created_at, file_id) = 1),
+fresh AS (SELECT * FROM by_hash WHERE filename NOT IN (SELECT filename FROM stored))
+SELECT {_SHOWN} FROM fresh QUALIFY filename IS NULL OR row_number() OVER (PARTITION BY filename ORDER BY created_at, file_id) = 1""")
 def dedup_by_hash(spark, sf_dir):
     """Artifacts of the smallest values are stored already, all others arrive."""
     every = tables.catalog(spark, sf_dir)

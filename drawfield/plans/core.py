@@ -76,12 +76,8 @@ _TABLES = {
            sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END) AS lr_ged_ns,
            sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0.0 END) AS lr_ged_os
     FROM lineitem GROUP BY 1, 2""",
-    "hc": """
-    SELECT * FROM h WHERE month_id <= (
-        SELECT max(month_id) FROM (SELECT month_id FROM h GROUP BY month_id
-            HAVING count(DISTINCT priogrid_id) = (SELECT count(DISTINCT priogrid_id) FROM h)))""",
     "hgeo": """
-    SELECT s.s_suppkey AS priogrid_id, n_regionkey AS r, n_nationkey AS n,
+    SELECT s.s_suppkey AS priogrid_id, n_regionkey AS r, n_nationkey AS n, s.s_suppkey % 50 AS g2,
            ['AAA','BBB','CCC','DDD','EEE'][n_regionkey + 1] AS country_iso_a3
     FROM supplier s JOIN nation ON n_nationkey = s_nationkey""",
     "c": """
@@ -98,7 +94,7 @@ _TABLES = {
            event_id, user_id, value
     FROM events""",
 }
-_NEEDS = {"geo_u": ("geo",), "hc": ("h",)}
+_NEEDS = {"geo_u": ("geo",)}
 
 
 def with_tables(*names):

@@ -29,16 +29,21 @@ lw AS (SELECT 'run_' || run AS run_id, {_NAME} AS shard, target, month_id,
          CASE WHEN run = 'dup' AND {first} AND sample = {DRAWS - 1} THEN 0 ELSE sample END AS sample, value
        FROM ld),
 w AS (SELECT * FROM lw UNION ALL SELECT * REPLACE (shard || 'b' AS shard) FROM lw
-      WHERE run_id = 'run_twice' AND target = 'lr_ged_os' AND month_id = 260),
+      WHERE run_id = 'run_twice' AND target = 'lr_ged_os' AND month_id = 260
+      UNION ALL SELECT * REPLACE (shard || 'x' AS shard, month_id + 1 AS month_id) FROM lw
+      WHERE run_id = 'run_extra' AND month_id = 262),
 listed0 AS (SELECT 'run_' || run AS run_id, run, {_NAME} AS shard, target, month_id
   FROM (SELECT unnest({list(runs)}) AS run), (SELECT unnest({[f'lr_ged_{s}' for s in SERIES]}) AS target),
        (SELECT unnest({list(MONTHS)}) AS month_id)),
 listed AS (SELECT * FROM listed0 UNION ALL SELECT * REPLACE (shard || 'b' AS shard) FROM listed0
   WHERE run = 'twice' AND target = 'lr_ged_os' AND month_id = 260),
+entries AS (SELECT run_id, shard FROM listed UNION ALL SELECT run_id, shard FROM listed0
+  WHERE run = 'again' AND target = 'lr_ged_os' AND month_id = 260),
 headers AS (SELECT run_id, shard, target AS header_target, {DRAWS} AS sample_count,
     CASE WHEN run = 'header' AND target = 'lr_ged_sb' AND month_id = 258 THEN 259 ELSE month_id END AS header_month,
     CASE WHEN run = 'anon' THEN 'unknown' ELSE 'ensemble_a' END AS ensemble
-  FROM listed WHERE NOT (run = 'month' AND month_id = 262)),
+  FROM (SELECT * FROM listed UNION ALL SELECT * REPLACE (shard || 'x' AS shard, month_id + 1 AS month_id)
+        FROM listed0 WHERE run = 'extra' AND month_id = 262) WHERE NOT (run = 'month' AND month_id = 262)),
 manifest AS (SELECT 'run_' || run AS run_id, CASE WHEN run = 'version' THEN '2.0' ELSE '1.5' END AS contract_version,
     CASE WHEN run = 'declared' THEN {list(MONTHS[:-1])} ELSE {list(MONTHS)} END AS expected_months,
     (SELECT count(DISTINCT vec_id // 5) FROM embeddings) AS expected_cell_count
@@ -69,6 +74,9 @@ JOIN (SELECT run_id, count(DISTINCT month_id) AS all_months FROM w GROUP BY 1) U
     "declares_expectations": """SELECT run_id, CAST(CASE WHEN len(expected_months) > 0 AND expected_cell_count IS NOT NULL THEN 0 ELSE 1 END AS BIGINT) AS problems FROM manifest""",
     "self_consistent": """SELECT run_id, CAST(5 - len(expected_months) AS BIGINT) AS problems FROM manifest""",
     "identifiable": """SELECT run_id, CAST(sum(CASE WHEN ensemble IN ('', 'unknown') THEN 1 ELSE 0 END) AS BIGINT) AS problems FROM headers GROUP BY 1""",
+    "repeated_entries": """SELECT run_id, count(shard) - count(DISTINCT shard) AS problems FROM entries GROUP BY 1""",
+    "unlisted": """SELECT m.run_id, count(DISTINCT w.shard) AS problems FROM manifest m LEFT JOIN
+(SELECT * FROM w WHERE (run_id, shard) NOT IN (SELECT (run_id, shard) FROM listed)) w USING (run_id) GROUP BY 1""",
     "missing_artifacts": """SELECT l.run_id, count(*) - count(h.shard) AS problems FROM listed l LEFT JOIN headers h USING (run_id, shard) GROUP BY 1""",
 }
 
@@ -79,12 +87,13 @@ _FUNCTIONS = {
     "rectangular": gates.rectangular_gate, "contract_version": gates.contract_version_gate,
     "declares_expectations": gates.expectations_gate, "self_consistent": gates.self_consistent_gate,
     "identifiable": gates.identifiable_gate, "missing_artifacts": gates.missing_artifacts_gate,
+    "repeated_entries": gates.repeated_entries_gate, "unlisted": gates.unlisted_gate,
 }
 
 # These four say nothing about a table that grows; they are part of preflight_verdict, and the
 # rule of the first is checked over the catalog below.
 _MANIFEST_ONLY = ("contract_version", "declares_expectations", "self_consistent", "identifiable",
-                  "missing_artifacts", "header")
+                  "missing_artifacts", "header", "repeated_entries")
 
 for _name, _gate in _FUNCTIONS.items():
     if _name in _MANIFEST_ONLY:
@@ -134,7 +143,8 @@ FROM (SELECT run_id, target, month_id, priogrid_id, map(list(sample), list(value
 def wire_to_arrays(spark, sf_dir):
     """A draw that was not delivered stays NULL in its place."""
     run = tables.wire_runs(spark, sf_dir, ("ok", "gap"))
-    return vectors_as_text(assemble.to_vectors(run.draws, DRAWS, ("run_id", "target", MONTH, CELL)))
+    declared = assemble.with_declared(run.draws, run.headers)
+    return vectors_as_text(assemble.to_vectors(declared, ("run_id", "target", MONTH, CELL), strict=False))
 
 
 @query("assemble_run", f"""{with_tables('g', 'geo')}
@@ -142,7 +152,23 @@ SELECT month_id, priogrid_id, {_ALL_TEXT}, geo.* EXCLUDE (priogrid_id)
 FROM g LEFT JOIN geo USING (priogrid_id)""")
 def assemble_run(spark, sf_dir):
     run = tables.wire_runs(spark, sf_dir, ("ok",))
-    return vectors_as_text(assemble.assemble_run(run.draws, run.sidecar, [f"lr_ged_{s}" for s in SERIES], DRAWS))
+    return vectors_as_text(assemble.assemble_run(
+        gates.listed_draws(run), run.headers, run.sidecar, [f"lr_ged_{s}" for s in SERIES]))
+
+
+_HALF = DRAWS // 2
+
+
+@query("assemble_mixed_widths", f"""{with_tables('g', 'geo')},
+pair AS (SELECT 'run_half' AS run_id, month_id, priogrid_id, {', '.join(f"{t}[1:{_HALF}] AS {t}" for t in TARGETS_SQL)} FROM g
+         UNION ALL SELECT 'run_ok', month_id, priogrid_id, {', '.join(TARGETS_SQL)} FROM g)
+SELECT run_id, month_id, priogrid_id, {_ALL_TEXT}, geo.* EXCLUDE (priogrid_id)
+FROM pair LEFT JOIN geo USING (priogrid_id)""")
+def assemble_mixed_widths(spark, sf_dir):
+    """Two runs of different numbers of draws in one job: each shard's header says how many it has."""
+    run = tables.wire_runs(spark, sf_dir, ("ok", "half"))
+    return vectors_as_text(assemble.assemble_run(
+        gates.listed_draws(run), run.headers, run.sidecar, [f"lr_ged_{s}" for s in SERIES], ("run_id", MONTH, CELL)))
 
 
 @query("ragged_zero_fill", f"""{with_tables('g')}
@@ -152,8 +178,9 @@ SELECT month_id, priogrid_id, {text_of('pred_lr_ged_sb')},
   END AS pred_lr_ged_ns, {text_of('pred_lr_ged_os')} FROM g""")
 def ragged_zero_fill(spark, sf_dir):
     run = tables.wire_runs(spark, sf_dir, ("short",))
-    wide = assemble.widen(assemble.to_vectors(run.draws, DRAWS), [f"lr_ged_{s}" for s in SERIES])
-    return vectors_as_text(assemble.zero_fill(wide, TARGETS_SQL, DRAWS))
+    vectors = assemble.to_vectors(assemble.with_declared(run.draws, run.headers))
+    wide = assemble.widen(vectors, [f"lr_ged_{s}" for s in SERIES])
+    return vectors_as_text(assemble.zero_fill(wide, TARGETS_SQL))
 
 
 @query("run_size_estimate", """
@@ -206,7 +233,7 @@ def _order_manifests(spark, sf_dir):
         F.lit(1).alias("sample_count"),
         F.when(F.col("l_suppkey") % 10 == 0, "unknown").when(F.col("l_suppkey") % 10 == 1, "")
         .otherwise("ensemble").alias("ensemble"))
-    return gates.Run(lines, headers, manifest, lines, 1)
+    return gates.Run(lines, headers, manifest, lines)
 
 
 _ORDERS = """WITH li AS (SELECT 'run_' || l_orderkey AS run_id,

@@ -10,28 +10,25 @@ from drawfield.sources import tables
 from drawfield.sources.tables import OBSERVED, TARGETS
 
 
-def _complete(spark, sf_dir):
-    return grid.through_last_complete_month(tables.observed(spark, sf_dir))
-
-
 _PRODUCT = """p AS (SELECT month_id, priogrid_id FROM (SELECT DISTINCT month_id FROM {0}),
                 (SELECT DISTINCT priogrid_id FROM {0}))"""
 
 
-@query("dense_fill", f"""{with_tables('hc')}, {_PRODUCT.format('hc')}
+@query("dense_fill", f"""{with_tables('h')}, {_PRODUCT.format('h')}
 SELECT month_id, priogrid_id, {', '.join(f'coalesce({t}, 0.0) AS {t}' for t in OBSERVED)}
-FROM p LEFT JOIN hc USING (month_id, priogrid_id)""")
+FROM p LEFT JOIN h USING (month_id, priogrid_id)""")
 def dense_fill(spark, sf_dir):
-    return grid.dense_fill(_complete(spark, sf_dir))
+    """All of the history: the cells of any month, as the last months are not complete."""
+    return grid.dense_fill(tables.observed(spark, sf_dir), entities="all")
 
 
-@query("dense_fill_vectors", f"""{with_tables('hc')}, {_PRODUCT.format('hc')}
+@query("dense_fill_vectors", f"""{with_tables('h')}, {_PRODUCT.format('h')}
 SELECT month_id, priogrid_id, CASE WHEN lr_ged_sb IS NULL THEN '-1,-1,-1' ELSE
   CAST(lr_ged_sb AS BIGINT) || ',' || CAST(lr_ged_ns AS BIGINT) || ',' || CAST(lr_ged_os AS BIGINT) END AS draws
-FROM p LEFT JOIN hc USING (month_id, priogrid_id)""")
+FROM p LEFT JOIN h USING (month_id, priogrid_id)""")
 def dense_fill_vectors(spark, sf_dir):
-    vectors = _complete(spark, sf_dir).select(MONTH, CELL, F.array(*OBSERVED).alias("draws"))
-    return vectors_as_text(grid.dense_fill(vectors, -1.0))
+    vectors = tables.observed(spark, sf_dir).select(MONTH, CELL, F.array(*OBSERVED).alias("draws"))
+    return vectors_as_text(grid.dense_fill(vectors, -1.0, entities="all"))
 
 
 @query("entities_absent_last_step", f"""{with_tables('h')}
@@ -82,7 +79,7 @@ def grid_profile_approximate(spark, sf_dir):
     return grid.grid_profile(tables.posterior(spark, sf_dir), TARGETS, approximate=True)
 
 
-@query("geo_backfill", f"""{with_tables('hc', 'hgeo')},
+@query("geo_backfill", f"""{with_tables('h', 'hgeo')},
 r AS (SELECT month_id, priogrid_id, lr_ged_sb,
         CASE WHEN (month_id + priogrid_id) % 3 = 0 THEN country_iso_a3 || month_id END AS iso,
         CASE WHEN (month_id + priogrid_id) % 4 <> 0 THEN n + month_id END AS code

@@ -30,7 +30,8 @@ def history_geography(spark, sf_dir):
     return supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(
         F.col("s_suppkey").alias(CELL), iso.alias("country_iso_a3"),
         F.col("n_regionkey").cast("long").alias("admin1_gaul0_code"),
-        F.col("n_nationkey").cast("long").alias("admin1_gaul1_code"))
+        F.col("n_nationkey").cast("long").alias("admin1_gaul1_code"),
+        (F.col("s_suppkey") % 50).cast("long").alias("admin2_gaul2_code"))
 
 
 for _level, _column in LEVELS.items():
@@ -64,7 +65,9 @@ FROM w LEFT JOIN names USING (unit)""")(_aggregated)
 names AS (SELECT {_column} AS unit{NAMES_SQL[_level]} FROM geo GROUP BY {_column})
 SELECT p.*{''.join(', names.' + c for c in LEVEL_NAMES[_level])} FROM p LEFT JOIN names USING (unit)""")(_summary)
 
-for _level, _column in (("country", "country_iso_a3"), ("gaul0", "r"), ("gaul1", "n")):
+HISTORY_LEVELS = {"country": "country_iso_a3", "gaul0": "r", "gaul1": "n", "gaul2": "g2"}
+
+for _level, _column in HISTORY_LEVELS.items():
     def _observed(spark, sf_dir, level=_level):
         return rollup.observed_rollup(tables.observed(spark, sf_dir),
                                       history_geography(spark, sf_dir), level, OBSERVED)
@@ -117,18 +120,20 @@ def constant_columns(spark, sf_dir):
                                    ["country_iso_a3", "admin1_gaul1_name", "pg_ycoord"])
 
 
-@query("observed_summary_country", f"""{with_tables('h', 'hgeo')},
-s AS (SELECT month_id, country_iso_a3 AS unit, {', '.join(f'sum({t}) AS {t}' for t in OBSERVED)}
+for _level, _column in HISTORY_LEVELS.items():
+    def _observed_summary(spark, sf_dir, level=_level):
+        return summarize.summarize_observed(tables.observed(spark, sf_dir), history_geography(spark, sf_dir),
+                                            level, OBSERVED, with_geo=False)
+
+    query(f"observed_summary_{_level}", f"""{with_tables('h', 'hgeo')},
+s AS (SELECT month_id, {_column if _level == 'country' else f'CAST({_column} AS BIGINT)'} AS unit, {', '.join(f'sum({t}) AS {t}' for t in OBSERVED)}
       FROM h JOIN hgeo USING (priogrid_id) GROUP BY ALL)
 SELECT month_id, unit{''.join(
     f", {t} AS {t}_map, {t} AS {t}_hdi50_lower, {t} AS {t}_hdi50_upper, {t} AS {t}_hdi90_lower,"
     f" {t} AS {t}_hdi90_upper, {t} AS {t}_hdi95_lower, {t} AS {t}_hdi95_upper,"
     f" {t} AS {t}_severe_scenario, CAST(0 AS DOUBLE) AS {t}_bimodality_flag,"
     f" CAST({t} > 25 AS DOUBLE) AS {t}_p_gt25, CAST({t} > 100 AS DOUBLE) AS {t}_p_gt100,"
-    f" CAST({t} > 1000 AS DOUBLE) AS {t}_p_gt1000" for t in OBSERVED)} FROM s""")
-def observed_summary_country(spark, sf_dir):
-    return summarize.summarize_observed(tables.observed(spark, sf_dir),
-                                        history_geography(spark, sf_dir), "country", OBSERVED)
+    f" CAST({t} > 1000 AS DOUBLE) AS {t}_p_gt1000" for t in OBSERVED)} FROM s""")(_observed_summary)
 
 
 # --- statistics of single vectors ---------------------------------------------------------

@@ -134,6 +134,28 @@ def parse_requests(spark, sf_dir):
     return vectors_as_text(subset.parse_requests(requests, "request"))
 
 
+_TEXT_REQUEST = "CASE event_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'AAA, CCC,AAA' ELSE 'ZZZ,BBB' END"
+
+
+@query("answer_requests", f"""{with_tables('h', 'hgeo')},
+asked AS (SELECT DISTINCT event_id, unnest(CASE event_id % 3 WHEN 1 THEN ['AAA', 'CCC'] WHEN 2 THEN ['ZZZ', 'BBB'] ELSE [] END) AS country_iso_a3
+          FROM events WHERE event_id % 3 > 0),
+units AS (SELECT month_id, country_iso_a3, sum(lr_ged_sb) AS lr_ged_sb FROM h JOIN hgeo USING (priogrid_id) GROUP BY 1, 2),
+latest AS (SELECT * FROM units WHERE month_id = (SELECT max(month_id) FROM units))
+SELECT event_id, country_iso_a3, month_id, lr_ged_sb FROM asked JOIN latest USING (country_iso_a3)""")
+def answer_requests(spark, sf_dir):
+    """Text lists of countries, each answered with its newest month."""
+    from drawfield.operators import rollup
+    from drawfield.plans.rollups import history_geography
+    requests = tables.table(spark, sf_dir, "events").select("event_id", F.expr(_TEXT_REQUEST).alias("request"))
+    parsed = subset.parse_requests(requests.withColumn("request", F.nullif("request", F.lit("all"))), "request", "string")
+    units = rollup.observed_rollup(tables.observed(spark, sf_dir), history_geography(spark, sf_dir), "country",
+                                   ["lr_ged_sb"]).withColumnRenamed("unit", "country_iso_a3")
+    latest = units.filter(F.col(MONTH) == units.agg(F.max(MONTH)).scalar())
+    return subset.answer_requests(latest, parsed, "country_iso_a3", ["event_id"]).select(
+        "event_id", "country_iso_a3", MONTH, "lr_ged_sb")
+
+
 @query("latest_run_rows", f"""{with_tables('g')}, runs AS (SELECT 'run_' || month_id AS run_id, max(priogrid_id) AS made FROM g
   WHERE month_id <> 262 GROUP BY 1)
 SELECT month_id, priogrid_id, {text_of('pred_lr_ged_sb')} FROM g

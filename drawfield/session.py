@@ -26,9 +26,14 @@ def configure(builder):
 def shared_dir(spark, purpose):
     """A fresh path below the cluster's shared folder, ``spark.checkpoint.dir``.
 
-    A session without that setting (a local test) gets a temporary folder instead.
+    Without that setting the folder lies on the cluster's default file system. If that is the local disk,
+    only a session of one machine may use it; others would write where no other machine can read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="drawfield-")
+        store = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        local = store.startswith("file:")
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.gettempdir() + "/drawfield" if local else f"{store.rstrip('/')}/tmp/drawfield"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -8,19 +8,30 @@ READERS = ("parquet", "csv", "json")
 
 
 def _head(spark, path):
-    """The first bytes of one file below a path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    first = found.filter(F.col("length") > 0).select(F.substring("content", 1, 4).alias("head")).first()
-    return bytes(first["head"]) if first else b""
+    """The first four bytes of the first file below a path that has as many."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return b""
+    files = system.listFiles(where, True)
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() >= 4 and not file.getPath().getName().startswith(("_", ".")):
+            stream = system.open(file.getPath())
+            try:
+                return bytes(stream.read() for _ in range(4))
+            finally:
+                stream.close()
+    return b""
 
 
 def format_of(path, head=b""):
-    """Parquet by magic or extension, CSV and JSON by extension; pickle is refused."""
+    """Parquet by its first bytes, whatever the name says, or by extension; CSV and JSON by extension; pickle is refused."""
     name = path.rstrip("/").lower()
-    if name.endswith((".pkl", ".pickle")):
-        raise ValueError("pickled data is not read")
     if head == b"PAR1":
         return "parquet"
+    if name.endswith((".pkl", ".pickle")):
+        raise ValueError("pickled data is not read")
     for kind in READERS:
         if name.endswith("." + kind) or name.endswith("/" + kind):
             return kind
@@ -33,12 +44,7 @@ def read_any(spark, path, schema=None):
     A file that starts as parquet is read as parquet only: if it is damaged that is an error,
     not a reason to try another format.
     """
-    try:
-        kind = format_of(path)
-    except ValueError:
-        if path.rstrip("/").lower().endswith((".pkl", ".pickle")):
-            raise
-        kind = format_of(path, _head(spark, path))
+    kind = format_of(path, _head(spark, path))
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         return reader.option("header", True).option("encoding", "UTF-8").option("mode", "FAILFAST").csv(path)
@@ -68,15 +74,20 @@ def read_manifests(spark, path):
 
 
 def content_hashes(spark, path):
-    """Name and SHA-256 of every file below a path."""
+    """Directory, name and SHA-256 of every file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("directory"),
+                        F.element_at(F.split("path", "/"), -1).alias("name"),
                         F.sha2("content", 256).alias("actual"))
 
 
 def verify_hashes(listed, hashes):
-    """``verified``, ``mismatch``, ``missing``, or ``unverified`` where no hash was declared."""
-    joined = listed.join(hashes, "name", "left")
+    """``verified``, ``mismatch``, ``missing``, or ``unverified`` where no hash was declared.
+
+    Files are told apart by run directory and name where ``listed`` names both.
+    """
+    keys = [k for k in ("directory", "name") if k in listed.columns]
+    joined = listed.join(hashes.select(*keys, "actual"), keys, "left")
     return joined.withColumn("verdict", F.when(F.col("actual").isNull(), "missing")
                              .when(F.coalesce(F.col("sha256"), F.lit("")) == "", "unverified")
                              .when(F.lower("sha256") == F.col("actual"), "verified")

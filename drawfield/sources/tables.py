@@ -111,7 +111,7 @@ def observed(spark, sf_dir):
 # --- delivered runs ----------------------------------------------------------
 
 RUNS = ("ok", "dup", "gap", "header", "short", "width", "geo", "month", "version", "anon", "twice",
-        "declared")
+        "declared", "extra", "again")
 
 
 def _shard_name(run, target, month):
@@ -120,7 +120,8 @@ def _shard_name(run, target, month):
 
 
 def wire_runs(spark, sf_dir, runs=RUNS):
-    """Runs of the posterior in long form. ``ok`` is whole, each other one has a single fault."""
+    """Runs of the posterior in long form. ``ok`` is whole, ``half`` (not in ``RUNS``) is whole with half
+    as many draws, each other one has a single fault."""
     run, target, month = F.col("run"), F.col("target"), F.col(MONTH)
     cell, sample = F.col(CELL), F.col("sample")
     first = (cell == 0) & (month == 258)
@@ -133,6 +134,7 @@ def wire_runs(spark, sf_dir, runs=RUNS):
     lost = (((run == "gap") & sb & first & (sample == DRAWS - 1))
             | ((run == "short") & ns & (month == 259) & (cell == 0))
             | ((run == "width") & os_ & (month == 260) & (sample >= DRAWS // 2))
+            | ((run == "half") & (sample >= DRAWS // 2))
             | ((run == "month") & (month == 262)))
     delivered = long.filter(~lost).select(
         F.concat(F.lit("run_"), run).alias("run_id"),
@@ -144,6 +146,9 @@ def wire_runs(spark, sf_dir, runs=RUNS):
         F.when((run == "dup") & sb & first & (sample == DRAWS - 1), F.lit(0))
         .otherwise(sample).alias("sample"),
         "value")
+    # Shards that no manifest lists, of one more month.
+    delivered = delivered.unionByName(delivered.filter((F.col("run_id") == "run_extra") & (month == 262)).withColumns(
+        {"shard": F.concat("shard", F.lit("x")), MONTH: F.lit(263)}))
     cells = table(spark, sf_dir, "embeddings").agg(
         F.countDistinct(F.floor(F.col("vec_id") / 5)).alias("expected_cell_count"))
     plan = (cells.withColumn("run", F.explode(F.array(*map(F.lit, runs))))
@@ -156,6 +161,7 @@ def wire_runs(spark, sf_dir, runs=RUNS):
         F.concat(_shard_name(run, F.lit("lr_ged_os"), F.lit(260)), F.lit("b")).alias("name"),
         F.lit("lr_ged_os").alias("target"), F.lit(260).alias("time_id"),
         F.lit(None).cast("string").alias("sha256")))
+    again = F.filter(listed, lambda s: (s["target"] == "lr_ged_os") & (s["time_id"] == 260))
     manifest = plan.select(
         "run_id",
         F.when(run == "version", F.lit("2.0")).otherwise(F.lit("1.5")).alias("contract_version"),
@@ -163,18 +169,22 @@ def wire_runs(spark, sf_dir, runs=RUNS):
         F.when(run == "declared", F.array(*map(F.lit, MONTHS[:-1])))
         .otherwise(F.array(*map(F.lit, MONTHS))).alias("expected_months"),
         "expected_cell_count",
-        F.when(run == "twice", F.concat(listed, extra)).otherwise(listed).alias("shards"),
+        F.when(run == "twice", F.concat(listed, extra)).when(run == "again", F.concat(listed, again))
+        .otherwise(listed).alias("shards"),
         F.struct(F.concat(F.lit("run_"), run, F.lit("__sidecar")).alias("name"),
                  F.lit(None).cast("string").alias("sha256")).alias("sidecar"))
+    unlisted = F.transform(F.filter(listed, lambda s: s["time_id"] == 262), lambda s: s.withField(
+        "name", F.concat(s["name"], F.lit("x"))).withField("time_id", F.lit(263)))
     shards = plan.select("run_id", "run", F.explode(
-        F.when(run == "twice", F.concat(listed, extra)).otherwise(listed)).alias("s"))
+        F.when(run == "twice", F.concat(listed, extra)).when(run == "extra", F.concat(listed, unlisted))
+        .otherwise(listed)).alias("s"))
     headers = shards.filter(~((run == "month") & (F.col("s.time_id") == 262))).select(
         "run_id", F.col("s.name").alias("shard"), F.col("s.target").alias("header_target"),
         F.when((run == "header") & (F.col("s.target") == "lr_ged_sb") & (F.col("s.time_id") == 258),
                F.lit(259)).otherwise(F.col("s.time_id")).alias("header_month"),
-        F.lit(DRAWS).alias("sample_count"),
+        F.when(run == "half", F.lit(DRAWS // 2)).otherwise(F.lit(DRAWS)).alias("sample_count"),
         F.when(run == "anon", F.lit("unknown")).otherwise(F.lit("ensemble_a")).alias("ensemble"))
-    return Run(delivered, headers, manifest, geography(spark, sf_dir), DRAWS)
+    return Run(delivered, headers, manifest, geography(spark, sf_dir))
 
 
 # --- artifact catalog --------------------------------------------------------

@@ -1,5 +1,7 @@
 """Writing tables, and publishing runs so that readers only ever see whole ones."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from drawfield.operators.validate import require_unique_keys
@@ -39,15 +41,15 @@ def publish_run(frame, run_id, base, expected_rows=None):
     spark = frame.sparkSession
     if is_published(spark, base, run_id):
         return False
-    attempt = f"{base}/runs/{run_id}"
-    frame.write.mode("overwrite").parquet(attempt)
+    attempt = f"{base}/runs/{run_id}/{uuid.uuid4().hex}"
+    frame.write.parquet(attempt)
     written = spark.read.parquet(attempt)
     rows = written.count()
     if expected_rows is not None and rows != expected_rows:
         raise ValueError(f"run {run_id} has {rows} rows on disk, expected {expected_rows}")
     require_unique_keys(written)
-    entry = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(rows).cast("long").alias("rows"),
-                                  F.current_timestamp().alias("published_at"))
+    entry = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("path"),
+                                  F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("published_at"))
     entry.write.mode("append").parquet(f"{base}/published")
     return True
 
@@ -56,7 +58,7 @@ def published(spark, base):
     """The list of published runs, empty before the first."""
     path = f"{base}/published"
     if not _exists(spark, path):
-        return spark.createDataFrame([], "run_id string, rows long, published_at timestamp")
+        return spark.createDataFrame([], "run_id string, path string, rows long, published_at timestamp")
     return spark.read.parquet(path)
 
 
@@ -66,9 +68,11 @@ def is_published(spark, base, run_id):
 
 def read_published(spark, base, run_id):
     """The rows of a run, if it is published."""
-    if not is_published(spark, base, run_id):
+    first = (published(spark, base).filter(F.col("run_id") == run_id)
+             .orderBy("published_at", "path").select("path").first())
+    if first is None:
         raise ValueError(f"run {run_id} is not published")
-    return spark.read.parquet(f"{base}/runs/{run_id}")
+    return spark.read.parquet(first["path"])
 
 
 def _exists(spark, path):
@@ -76,5 +80,7 @@ def _exists(spark, path):
     try:
         spark.read.parquet(path).schema
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False

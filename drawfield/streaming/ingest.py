@@ -3,14 +3,17 @@
 from pyspark.sql import functions as F
 
 from drawfield.operators.assemble import assemble_run
-from drawfield.operators.gates import evaluated, gate_rows, verdict
+from drawfield.operators.gates import evaluated, gate_rows, listed_draws, verdict
 from drawfield.schema import MANIFEST_SCHEMA
 from drawfield.sources.writers import publish_run
 
+MANIFESTS_PER_BATCH = 1000   # a backlog is split into batches of this size; nothing is dropped
+
 
 def manifest_stream(spark, path):
     """A stream of manifests as they are delivered, one row each."""
     return (spark.readStream.schema(MANIFEST_SCHEMA).option("multiLine", True)
+            .option("maxFilesPerTrigger", MANIFESTS_PER_BATCH)
             .option("pathGlobFilter", "*.json").json(path))
 
 
@@ -22,15 +25,19 @@ def ingest_manifests(manifests, load_runs, base):
     the driver, and each servable run is then one distributed write. Publication is idempotent by
     run id, so a batch repeated after a lost driver changes nothing.
     """
-    manifests = manifests.dropDuplicates(["run_id"])
+    # One manifest a run, the same one whenever this is evaluated: the smallest by its JSON text. The
+    # whole document decides, so manifests that differ are never mixed.
+    text = F.to_json(F.struct(*manifests.columns))
+    manifests = manifests.groupBy("run_id").agg(F.min_by(F.struct(*[c for c in manifests.columns if c != "run_id"]), text)
+                                                .alias("m")).select("run_id", "m.*")
     runs = load_runs(manifests)
     verdicts = verdict(evaluated(gate_rows(runs))).select("run_id", "verdict")
     decided = manifests.select("run_id", "targets").join(verdicts, "run_id", "left").collect()
     for row in decided:
         if row["verdict"] != "SERVABLE":
             continue
-        draws = runs.draws.filter(F.col("run_id") == row["run_id"])
-        publish_run(assemble_run(draws, runs.sidecar, row["targets"], runs.width), row["run_id"], base)
+        draws = listed_draws(runs).filter(F.col("run_id") == row["run_id"])
+        publish_run(assemble_run(draws, runs.headers, runs.sidecar, row["targets"]), row["run_id"], base)
     return {row["run_id"]: row["verdict"] or "NOT SERVABLE" for row in decided}
 
 

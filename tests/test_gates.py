@@ -14,6 +14,7 @@ FAILS = {
     "run_width": {"sample_count", "uniform_s"}, "run_geo": {"coverage"},
     "run_month": {"missing_artifacts"}, "run_version": {"contract_version"}, "run_anon": {"identifiable"},
     "run_twice": {"duplicates"}, "run_declared": {"self_consistent"},
+    "run_extra": {"unlisted"}, "run_again": {"repeated_entries"},
 }
 
 
@@ -75,20 +76,41 @@ def test_find_manifest(spark):
     assert got == {"a": "x.json", "b": "two" + MANIFEST_SUFFIX, "c": None}
 
 
+LONG = "target string, month_id int, priogrid_id long, sample int, value float, sample_count int"
+
+
 @pytest.mark.parametrize("width", [4, 130, 260])
 def test_vectors_of_any_width(spark, width):
-    rows = [("t", 1, c, s, float(1000 * c + s)) for c in (1, 2) for s in reversed(range(width)) if (c, s) != (2, 1)]
-    long = spark.createDataFrame(rows + rows[:3], "target string, month_id int, priogrid_id long, sample int, value float")
-    got = {r["priogrid_id"]: r["draws"] for r in assemble.to_vectors(long, width).collect()}
+    rows = [("t", 1, c, s, float(1000 * c + s), width) for c in (1, 2) for s in reversed(range(width)) if (c, s) != (2, 1)]
+    long = spark.createDataFrame(rows + rows[:3], LONG)
+    got = {r["priogrid_id"]: r["draws"] for r in assemble.to_vectors(long, strict=False).collect()}
     assert got[1] == [1000.0 + s for s in range(width)]
     assert got[2] == [None if s == 1 else 2000.0 + s for s in range(width)]
+    one = spark.createDataFrame([r for r in rows if r[2] == 1], LONG)
+    assert assemble.to_vectors(one).first()["draws"] == got[1]
+
+
+@pytest.mark.parametrize("samples, declared, message", [
+    ((0, 1, 2), (2, 2, 2), "declared"), ((0, 1), (4, 4), "missing or repeated"), ((0, 1, 1), (3, 3, 3), "missing or repeated"),
+    ((0, 1, -1), (3, 3, 3), "declared"), ((0, 1), (2, 3), "different numbers"), ((0, 1), (None, None), "declared")])
+def test_a_wrong_width_neither_cuts_nor_pads(spark, samples, declared, message):
+    long = spark.createDataFrame([("t", 1, 1, s, 0.5, d) for s, d in zip(samples, declared)], LONG)
+    with pytest.raises(Exception, match=message):
+        assemble.to_vectors(long).collect()
+
+
+def test_order_of_any_number_of_draws(spark):
+    """Draw numbers are marked without a declared width."""
+    rows = [("r", "s", "t", 1, c, s) for c, n in ((1, 300), (2, 300), (3, 1)) for s in range(n) if (c, s) != (2, 150)]
+    rows += [("r", "s", "t", 1, 2, 151), ("r", "s", "t", 1, 4, -1), ("r", "s", "t", 1, 4, 0)]
+    draws = spark.createDataFrame(rows, "run_id string, shard string, target string, month_id int, priogrid_id long, sample int")
+    got = {r["priogrid_id"]: (r["rows"], r["ordered"]) for r in gates.cell_profile(gates.Run(draws, None, None, None)).collect()}
+    assert got == {1: (300, True), 2: (300, False), 3: (1, True), 4: (2, False)}
 
 
-def test_many_copies_of_a_draw_stay_one_row(spark):
+def test_many_copies_of_a_draw_are_one_mark(spark):
     """A third of all rows being copies of one draw costs a counter, not a list."""
     copies = spark.range(20000).select(F.lit("r").alias("run_id"), F.lit("s").alias("shard"), F.lit("t").alias("target"),
                                        F.lit(1).alias("month_id"), F.lit(1).cast("long").alias("priogrid_id"),
                                        F.lit(0).alias("sample"), F.lit(1.0).alias("value"))
-    assert assemble.to_vectors(copies, 2).first()["draws"] == [1.0, None]
-    run = gates.Run(copies, None, None, None, 2)
-    assert gates.shard_profile(run).first()["disordered"] == 1
+    assert gates.shard_profile(gates.Run(copies, None, None, None)).first()["disordered"] == 1

@@ -59,20 +59,20 @@ def test_dataset_roundtrip(spark, posterior, geo):
 
 
 def test_incremental_ingest(spark, sf_dir):
-    runs = tables.wire_runs(spark, sf_dir, ("ok", "dup", "anon"))
+    runs = tables.wire_runs(spark, sf_dir, ("ok", "dup", "anon", "extra"))
     base, inbox = shared_dir(spark, "ingest"), shared_dir(spark, "inbox")
 
     def load(manifests):
         ids = manifests.select("run_id")
         return type(runs)(runs.draws.join(ids, "run_id", "left_semi"),
-                          runs.headers.join(ids, "run_id", "left_semi"), manifests, runs.sidecar, runs.width)
+                          runs.headers.join(ids, "run_id", "left_semi"), manifests, runs.sidecar)
 
     def deliver(*names):
         runs.manifest.filter(F.col("run_id").isin(*names)).coalesce(1).write.mode("append").json(inbox)
         query = start_ingest(spark, inbox, load, base, f"{base}/progress")
         query.awaitTermination()
 
-    deliver("run_dup", "run_ok")
+    deliver("run_dup", "run_ok", "run_extra")
     assert [r["run_id"] for r in writers.published(spark, base).collect()] == ["run_ok"]
     deliver("run_anon", "run_ok")      # delivered again: nothing is published twice
     assert [r["run_id"] for r in writers.published(spark, base).collect()] == ["run_ok"]
