@@ -22,7 +22,7 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 BUCKETS = 2048
 GRAM = 3
 MOST_LABELLED = 4096
-STEPS, RATE, SHRINK = 24, 1.5, 1e-4
+STEPS, RATE, SHRINK = 32, 1.5, 1e-4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
