@@ -187,7 +187,18 @@ class Vocabulary(dict):
                 for e in self.tokenizer.encode_batch_fast(pieces[at:at + 2048], add_special_tokens=False)]
 
 
-def vocabulary(path, keep_blank):
+def give_back():
+    """Return freed memory to the system: Python workers live on, and the next task may need it in the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def vocabulary(path, keep_blank, most=1_200_000):
     """One per Python worker, kept with the library's module: workers live on from task to task."""
     import os
 
@@ -195,7 +206,7 @@ def vocabulary(path, keep_blank):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     loaded = vars(tokenizers).setdefault("_kept_vocabularies", {})
     if (path, keep_blank) not in loaded:
-        loaded[path, keep_blank] = Vocabulary(path, keep_blank)
+        loaded[path, keep_blank] = Vocabulary(path, keep_blank, most)
     return loaded[path, keep_blank]
 
 

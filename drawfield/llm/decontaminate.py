@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, table, text_bytes, travels
+from drawfield.llm.common import give_back, query, table, text_bytes, travels
 from drawfield.llm.shingles import SIGNS, mix, pieces, word_hashes
 
 travels(__name__)
@@ -71,6 +71,7 @@ def grams(words, n):
 def count_words(docs, known):
     """Occurrences of the ``known`` words, and of all words, in all documents."""
     def run(batches):
+        give_back()
         members, total, found = Members(known), 0, np.zeros(len(known), np.int64)
         for batch in batches:
             for part in pieces(batch):
@@ -191,6 +192,7 @@ def leaks(docs, benchmark, least=SCORE):
 
 def _search(items, least):
     def run(batches):
+        give_back()
         for batch in batches:
             out = []
             for part in pieces(batch):

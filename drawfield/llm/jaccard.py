@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import bit_map, query, stored, table, text_bytes, travels
+from drawfield.llm.common import bit_map, give_back, query, stored, table, text_bytes, travels
 from drawfield.llm.shingles import pieces, set_ids, shingle_sets
 
 travels(__name__)
@@ -57,6 +57,7 @@ def named_sets(docs, words=WORDS):
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(names), pa.array([len(s) for s in sets], pa.int32())],
                 names=["doc_id", "set_id", "n"])
+        give_back()
     return docs.mapInArrow(run, "doc_id long, set_id long, n int")
 
 
@@ -110,8 +111,10 @@ def index(docs, words, percent, buckets):
                 held, size = [], 0
         if held:
             yield flush()
+        give_back()
 
     def shared(group):
+        give_back()
         token = _unpacked(group, "token", np.uint64)
         name, n = _runs(group, ("name", np.int64), ("n", np.int32))
         order = np.lexsort((name, token))
@@ -130,6 +133,7 @@ def index(docs, words, percent, buckets):
         return pa.Table.from_batches([packed])
 
     def leading(group):
+        give_back()
         token, df = _unpacked(group, "token", np.uint64), _unpacked(group, "df", np.int32)
         name, n = _runs(group, ("name", np.int64), ("n", np.int32))
         order = np.lexsort((token, df, name))
@@ -173,6 +177,7 @@ def wanted_sets(docs, named, wanted, words):
                     yield pa.RecordBatch.from_arrays(
                         [doc_ids, pa.array(names), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                         names=["doc_id", "set_id", "tokens"])
+        give_back()
 
     found = (docs.withColumn("place", place)
              .mapInArrow(run, "doc_id long, set_id long, tokens array<long>"))

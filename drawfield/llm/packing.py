@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, table, text_bytes, tokenizer_path, travels, vocabulary
+from drawfield.llm.common import give_back, query, table, text_bytes, tokenizer_path, travels, vocabulary
 
 travels(__name__)
 
@@ -29,6 +29,7 @@ WINDOW = 4096
 SENTENCE, INSIDE, STRIDE, APART = 8, 40, 32, 16
 STRETCH = 192 * WINDOW
 RANGE_BYTES = 8 << 20
+KNOWN_WORDS = 700_000
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
           "offset long")
@@ -142,7 +143,8 @@ def pack(docs, path, end_id=2, window=WINDOW, range_bytes=RANGE_BYTES, sentence_
     ranges = max(1, math.ceil(size / range_bytes))
 
     def run(batches):
-        words = vocabulary(path, keep_blank=False)
+        give_back()
+        words = vocabulary(path, keep_blank=False, most=KNOWN_WORDS)
         vocab = words.tokenizer.get_vocab()
         is_end = np.zeros(max(vocab.values()) + 1, bool)
         is_end[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in sentence_marks]] = True

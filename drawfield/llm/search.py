@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes, travels
+from drawfield.llm.common import give_back, query, stored, table, text_bytes, travels
 from drawfield.llm.shingles import SIGNS, pieces, word_hashes
 
 travels(__name__)
@@ -84,6 +84,8 @@ def build_index(docs):
                     ids, held, size = [], [], 0
         if held:
             yield shard(ids, held)
+        ids, held = [], []
+        give_back()
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "n_docs int, " + ", ".join(f"{n} binary" for n in names[1:])
@@ -267,6 +269,8 @@ def _searcher(held, mean, k, few=None):
                         out.append((np.full(len(numbers), ids[q]), shard.doc_ids[numbers], scores / SCALE))
                 columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+                del shard, out, columns
+                give_back()
     return run
 
 

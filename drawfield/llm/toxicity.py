@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, travels
+from drawfield.llm.common import give_back, query, stored, table, travels
 
 travels(__name__)
 
@@ -150,6 +150,7 @@ def score(docs, model, categories=CATEGORIES):
             yield pa.RecordBatch.from_arrays(
                 [*[batch[f.name] for f in keep], *[pa.array(before[:, k]) for k in range(len(names))]],
                 names=[*[f.name for f in keep], *names])
+        give_back()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"{c} double" for c in names])
     return docs.select("text", *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
