@@ -188,11 +188,15 @@ class Vocabulary(dict):
 
 
 def give_back():
-    """Return freed memory to the system: Python workers live on, and the next task may need it in the JVM."""
+    """Return memory to the system: Python workers live on, and the next task may need it in the JVM.
+
+    Words that an earlier tokenizing task kept are dropped too; tasks that tokenize don't call this first.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
+    vars(sys.modules.get("tokenizers", gc)).get("_kept_vocabularies", {}).clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     ctypes.CDLL(None).malloc_trim(0)

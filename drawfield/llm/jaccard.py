@@ -53,6 +53,7 @@ def _sets(batches, words):
 def named_sets(docs, words=WORDS):
     """``doc_id``, ``set_id``, ``n``: each document's set, by name and size."""
     def run(batches):
+        give_back()
         for ids, names, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(names), pa.array([len(s) for s in sets], pa.int32())],

@@ -45,7 +45,8 @@ def features(text):
 
 def _extract(docs):
     def run(batches):
-        for batch in batches:
+        give_back()
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found = [sorted(features(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.drop_columns(["text"]).columns, pa.array(found, pa.list_(pa.string()))],
@@ -137,7 +138,8 @@ def score(docs, model, categories=CATEGORIES):
     keep = [f for f in docs.schema.fields if f.name != "text" and f.name not in names]
 
     def run(batches):
-        for batch in batches:
+        give_back()
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = batch["text"].to_pylist()
             found = [[number[f] for f in number.keys() & features(t)] for t in texts]
             columns = np.array([i for f in found for i in f], np.int64)
