@@ -145,13 +145,15 @@ def test_empty_selection_keeps_its_columns(posterior, geo):
 
 
 def test_only_the_roll_up_shuffles_draws(spark, posterior, geo):
-    """A small stored geography is broadcast; the draws move once, already summed map-side."""
+    """A small stored geography is checked per cell and broadcast; the draws move once, summed map-side."""
     base = shared_dir(spark, "plan")
     posterior.write.parquet(f"{base}/rows")
     geo.write.parquet(f"{base}/geo")
     posterior, geo = spark.read.parquet(f"{base}/rows"), spark.read.parquet(f"{base}/geo")
     plan = rollup.joint_sum(posterior, geo, "country", SB, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan
+    assert plan.count("Exchange hashpartitioning(month_id") == 1 and "partial_sum" in plan
+    # The other exchange is the geography's: a cell and its code, no draws.
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(priogrid_id") + 1 == 2
     cells = summarize.summarize_cells(posterior, SB)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in cells
 
