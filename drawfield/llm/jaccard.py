@@ -260,6 +260,8 @@ def join(docs, words=WORDS, percent=PERCENT):
     rows = stored(index(docs, words, percent, buckets), "index")
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "set_id")).alias("p"))
     met = stored(rows.join(lists.filter("m > 1").select("token", F.col("p.set_id").alias("pivot")), "token"), "met")
+    if not met.limit(1).count():  # no list of two sets, so no link
+        return _named_components(named, None)
 
     # Stars: the pivot met most often. Positions fall along a chain of pivots only by chance, so a
     # set hooks onto a smaller name only, and the larger of two that chose each other onto the other.
@@ -275,8 +277,8 @@ def join(docs, words=WORDS, percent=PERCENT):
     tested = stored(overlaps(pairs, sets).select("a", "b", distance().alias("d"), linked(percent).alias("ok")), "tested")
     ties = tested.filter("ok").select("a", "b")
     star = components(ties)
-    if star is None:
-        return _named_components(named, None)
+    if star is None:  # no star: every set stands for itself, and step 4 compares them
+        star = ties.select(F.col("a").alias("node"), F.col("b").alias("root"))
     near = tested.filter("ok").select(F.col("a").alias("set_id"), F.col("b").alias("near"), F.col("d").alias("to_near"))
     placed = stored(met.join(star.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
                     .join(near, "set_id", "left")

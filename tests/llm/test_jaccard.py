@@ -81,6 +81,19 @@ def test_no_links_and_no_rows(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_pivot_that_links_with_nothing(spark):
+    """Two texts link with each other, but the pivot of all their lists, a third one, with neither."""
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+    common, licence = words("c", 123), words("l", 60)
+    texts = [common + words("a", 10), common + words("b", 10), common + licence, *[words(x, 400) + licence for x in "xyz"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert [c for _, _, c in want] == [0, 0, 2, 3, 4, 5]
+    assert sorted(map(tuple, jaccard.join(docs).collect())) == want
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(4, "a b c d e"), (4, "a b c d e"), (None, "a b c d e"), (None, None)], "doc_id long, text string")
     got = [tuple(r) for r in jaccard.join(docs).collect()]
