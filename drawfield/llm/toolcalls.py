@@ -1,20 +1,24 @@
 """Tool-call linking: calls meet their results by id, get a place in topological order, are validated
 against schemas and serialised as canonical JSON. DataFrame and SQL functions only.
 
-* Calls and results are first reduced to one row an id (combined map-side, so an id that is repeated
-  over and over costs one row a task), then hash-joined.
+* Calls meet results by (``conv_id``, ``call_id``) where results bring a ``conv_id``: an id then belongs to its
+  conversation. Results without that column meet calls by ``call_id`` alone, which must then be unique everywhere.
+* Calls and results are first reduced to one row a key (combined map-side, so an id that is repeated over and
+  over costs one row a task), then hash-joined. The rows left over are found by their own row number, so a hot
+  id does not gather them in one task; each keeps its row and gets a status of its own.
 * A call may use another call's result (``parent_id``). Its level is its distance from a call without
   parent, found by pointer doubling: after k rounds every call knows its 2**k-th ancestor, so a chain
   of a million calls takes twenty joins. Calls sorted by (``conv_id``, ``topo_level``, ``turn``,
   ``call_id``) are in topological order. Calls on a cycle, or below one, have no level.
 * Arguments are parsed as VARIANT, whose JSON form has sorted keys and no blanks.
 
-Status, the first that holds: ``orphan_result`` (a result without call; its other columns are null),
-``cycle``, ``invalid`` (``errors`` says why), ``unanswered``, ``linked``. A null id links nothing: such
-rows are dropped as they cannot be referred to; null names are unknown tools; null or broken arguments
-are errors. Of calls or results that repeat an id the smallest (by conversation, turn, text) counts. A
-parent that does not exist counts as none. Empty tables give an empty result; extra columns are not
-read; long texts are kept whole.
+Status, the first that holds: ``no_id`` (a null in the key links nothing), ``duplicate_call`` and
+``duplicate_result`` (of rows that repeat a key the smallest, by conversation, turn, text, is linked, these are
+the others), ``orphan_result`` (a result without call), ``cycle``, ``invalid`` (``errors`` says why),
+``unanswered``, ``linked``. Rows of a result alone have null in all other columns; calls left over have no level.
+``link_all`` gives every call and result; ``link`` leaves no_id and duplicates out. Null names are
+unknown tools; null or broken arguments are errors. A parent that does not exist (in the conversation, where the
+key has one) counts as none. Empty tables give an empty result; extra columns are not read; long texts are kept whole.
 """
 
 from pyspark.sql import functions as F
@@ -30,19 +34,22 @@ SCHEMAS = {
 _KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
 
 
-def levels(calls):
-    """``call_id``, ``topo_level`` (null on or below a cycle) from ``call_id``, ``parent_id``, ids unique."""
-    known = calls.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("exists"))
-    start = calls.select("call_id", "parent_id").join(known, "parent_id", "left")
-    nodes = stored(start.select("call_id", F.when(F.col("exists"), F.col("parent_id")).alias("up"),
+def levels(calls, scope=()):
+    """``scope``, ``call_id``, ``topo_level`` (null on or below a cycle) from ``scope``, ``call_id``, ``parent_id``.
+
+    ``scope``: columns within which an id is unique and a parent is looked for; none for all calls.
+    """
+    known = calls.select(*scope, F.col("call_id").alias("parent_id"), F.lit(True).alias("exists"))
+    start = calls.select(*scope, "call_id", "parent_id").join(known, [*scope, "parent_id"], "left")
+    nodes = stored(start.select(*scope, "call_id", F.when(F.col("exists"), F.col("parent_id")).alias("up"),
                                 F.when(F.col("exists"), 1).otherwise(0).cast("long").alias("steps")), "levels")
     reach, total = 1, nodes.count()
     while reach <= total and nodes.filter("up IS NOT NULL").limit(1).count():
-        above = nodes.select(F.col("call_id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        nodes = stored(nodes.join(above, "up", "left").select(
-            "call_id", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "levels")
+        above = nodes.select(*scope, F.col("call_id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
+        nodes = stored(nodes.join(above, [*scope, "up"], "left").select(
+            *scope, "call_id", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "levels")
         reach *= 2
-    return nodes.select("call_id", F.when(F.col("up").isNull(), F.col("steps").cast("int")).alias("topo_level"))
+    return nodes.select(*scope, "call_id", F.when(F.col("up").isNull(), F.col("steps").cast("int")).alias("topo_level"))
 
 
 def errors_of(name, arguments, value, schemas=SCHEMAS):
@@ -66,32 +73,59 @@ def errors_of(name, arguments, value, schemas=SCHEMAS):
     return F.filter(faults, lambda x: x.isNotNull())
 
 
-def link(calls, results, schemas=SCHEMAS):
+def _numbered(rows, purpose):
+    """The rows with ``row``, a number of their own that stays the same as they are stored."""
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), purpose)
+
+
+def _apart(rows, key, purpose):
+    """``(one, surplus)``: the smallest row of each key without nulls, and all other rows."""
+    rest = [c for c in rows.columns if c not in key]
+    whole = rows.dropna(subset=key)
+    one = stored(whole.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*"), purpose)
+    return one, rows.join(one.select("row"), "row", "left_anti")
+
+
+def link_all(calls, results, schemas=SCHEMAS):
     """``call_id``, ``conv_id``, ``turn``, ``parent_id``, ``topo_level``, ``status``, ``errors``, ``canonical``.
 
     calls: ``call_id``, ``conv_id``, ``turn``, ``name``, ``arguments`` (JSON text), ``parent_id``.
-    results: ``call_id``, ``content``.
+    results: ``call_id``, ``content`` and, where ids belong to a conversation, ``conv_id``.
+    Every call gives one row, and so does every result that does not stand in its call's row.
     """
-    one_call = (calls.filter("call_id IS NOT NULL").groupBy("call_id")
-                .agg(F.min(F.struct("conv_id", "turn", "name", "arguments", "parent_id")).alias("c")))
-    one_call = stored(one_call.select("call_id", "c.*"), "calls")
-    one_result = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min("content").alias("content"), F.lit(True).alias("answered"))
-    both = (one_call.withColumn("called", F.lit(True)).join(levels(one_call), "call_id")
-            .join(one_result, "call_id", "full"))
-    value = F.try_parse_json("arguments")
-    rows = both.withColumn("value", value).withColumn(
+    scope = ["conv_id"] if "conv_id" in results.columns else []
+    key = [*scope, "call_id"]
+    calls = _numbered(calls.select("call_id", "conv_id", "turn", "name", "arguments", "parent_id"), "calls")
+    one_call, more_calls = _apart(calls, key, "calls")
+    one_result, more_results = _apart(_numbered(results.select(*key, "content"), "results"), key, "results")
+    surplus = F.when(F.expr(" OR ".join(f"{k} IS NULL" for k in key)), "no_id")
+    called, answered = F.lit(True).alias("called"), F.lit(True).alias("answered")
+    answers = one_result.select(*key, "content", answered)
+    both = (one_call.select("*", called).join(levels(one_call, scope), key)
+            .withColumn("surplus", F.lit(None).cast("string")).join(answers, key, "full"))
+    left = (more_calls.select("*", called, surplus.otherwise("duplicate_call").alias("surplus"))
+            .unionByName(more_results.select(*key, "content", answered, surplus.otherwise("duplicate_result").alias("surplus")),
+                         allowMissingColumns=True))
+    rows = both.unionByName(left, allowMissingColumns=True).withColumn("value", F.try_parse_json("arguments")).withColumn(
         "errors", F.when(F.col("called"), errors_of(F.col("name"), F.col("arguments"), F.col("value"), schemas)))
-    status = (F.when(F.col("called").isNull(), "orphan_result").when(F.col("topo_level").isNull(), "cycle")
+    status = (F.when(F.col("surplus").isNotNull(), F.col("surplus"))
+              .when(F.col("called").isNull(), "orphan_result").when(F.col("topo_level").isNull(), "cycle")
               .when(F.size("errors") > 0, "invalid").when(F.col("answered").isNull(), "unanswered").otherwise("linked"))
     record = F.struct(F.col("value").alias("arguments"), F.col("call_id").alias("id"), "name",
                       F.col("parent_id").alias("parent"), F.col("content").alias("result"))
-    return rows.select("call_id", "conv_id", "turn", "parent_id", "topo_level", status.alias("status"), "errors",
+    return rows.select("call_id", F.when(F.col("called"), F.col("conv_id")).alias("conv_id"), "turn", "parent_id",
+                       "topo_level", status.alias("status"), "errors",
                        F.to_json(record, {"ignoreNullFields": "false"}).alias("canonical"))
 
 
+def link(calls, results, schemas=SCHEMAS):
+    """The rows of ``link_all`` that have a key and are the first of it."""
+    return link_all(calls, results, schemas).filter("status NOT IN ('no_id', 'duplicate_call', 'duplicate_result')")
+
+
 def _id(turn):
-    return F.md5(F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string")))
+    """Null where the conversation or the turn is: such turns have nothing to be told apart by."""
+    return F.md5(F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string")))
 
 
 def calls_in(conversations):
@@ -111,7 +145,7 @@ def calls_in(conversations):
         _id(F.col("turn")).alias("call_id"), "conv_id", "turn", name.alias("name"), arguments.alias("arguments"),
         _id(F.col("turn") - 2).alias("parent_id"))
     results = conversations.filter("role = 'assistant'").select(
-        _id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+        _id(F.col("turn") - 1).alias("call_id"), "conv_id", F.col("text").alias("content"))
     return calls, results
 
 
@@ -147,5 +181,5 @@ FROM placed p FULL JOIN results r ON p.id = r.id
 
 @query("op10_tool_calls", SQL)
 def op10_tool_calls(spark, sf_dir):
-    rows = link(*calls_in(table(spark, sf_dir, "conversations")))
+    rows = link_all(*calls_in(table(spark, sf_dir, "conversations")))
     return rows.withColumn("errors", F.array_join("errors", ", "))

@@ -201,6 +201,34 @@ def test_tool_calls(spark):
     assert toolcalls.link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_every_call_and_result_keeps_a_row(spark):
+    """Ids of their conversation only, repeated and null ones."""
+    key = '{"key":"k"}'
+    calls = spark.createDataFrame(
+        [("call_1", c, 0, "lookup", key, None) for c in (1, 2, 3)] + [("call_2", c, 2, "lookup", key, "call_1") for c in (1, 2)]
+        + [("call_1", 1, 0, "lookup", key, None), ("call_1", 1, 4, "lookup", key, None), (None, 1, 6, "lookup", key, None),
+           ("call_1", None, 0, "lookup", key, None), ("call_9", 3, 8, "lookup", key, "call_2")],
+        "call_id string, conv_id int, turn int, name string, arguments string, parent_id string")
+    results = spark.createDataFrame([("call_1", 1, "r1"), ("call_1", 2, "r2"), ("call_1", 2, "s2"), ("call_2", 3, "lost"), (None, 1, "n")],
+                                    "call_id string, conv_id int, content string")
+    got = toolcalls.link_all(calls, results).collect()
+    text = {(r.conv_id, r.turn, r.status): json.loads(r.canonical)["result"] for r in got}
+    want = {(1, 0, "linked"): "r1", (2, 0, "linked"): "r2", (3, 0, "unanswered"): None, (1, 2, "unanswered"): None, (2, 2, "unanswered"): None,
+            (1, 0, "duplicate_call"): None, (1, 4, "duplicate_call"): None, (1, 6, "no_id"): None, (None, 0, "no_id"): None, (3, 8, "unanswered"): None,
+            (None, None, "duplicate_result"): "s2", (None, None, "orphan_result"): "lost", (None, None, "no_id"): "n"}
+    assert text == want and len(got) == len(want)
+    assert {(r.conv_id, r.turn): r.topo_level for r in got if r.status in ("linked", "unanswered")} == {
+        (1, 0): 0, (2, 0): 0, (3, 0): 0, (1, 2): 1, (2, 2): 1, (3, 8): 0}
+    assert toolcalls.link(calls, results).count() == 7
+
+
+def test_turns_without_conversation_stay_apart(spark):
+    turns = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "c"), (1, 0, "user", "d"), (1, 0, "user", "e"), (1, 1, "assistant", "f")]
+    talk = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    got = sorted(r.status for r in toolcalls.link_all(*toolcalls.calls_in(talk)).collect())
+    assert got == ["duplicate_call", "linked", "no_id", "no_id", "no_id"]
+
+
 def test_long_chains_take_few_rounds(spark):
     n = 300
     calls = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(n)], "call_id string, parent_id string")
