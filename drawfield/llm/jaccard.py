@@ -157,7 +157,8 @@ def wanted_sets(docs, named, wanted, words):
     """``set_id``, ``tokens``, ``n`` of the sets in ``wanted`` (``set_id`` and more), each from its first document.
 
     A bit map of fixed size (2**26 bits) of the wanted documents' ids keeps other texts from being
-    hashed; the join after it is exact.
+    hashed; the join after it is exact. A null id counts as an id: it stands for sets that no other
+    document holds, and each task tells such a set once.
     """
     firsts = named.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     ids = stored(wanted.join(firsts, "set_id"), "wanted")
@@ -169,21 +170,28 @@ def wanted_sets(docs, named, wanted, words):
 
     def run(batches):
         bit_map = held.value.view(np.uint64)
+        told = set()
         for batch in batches:
             place = batch["place"].to_numpy()
             hit = (bit_map[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
             if batch.num_rows:
                 for doc_ids, names, sets in _sets([batch], words):
+                    new = np.ones(len(names), bool)
+                    for i in np.flatnonzero(doc_ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+                        new[i] = names[i] not in told
+                        told.add(names[i])
                     yield pa.RecordBatch.from_arrays(
                         [doc_ids, pa.array(names), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                        names=["doc_id", "set_id", "tokens"])
+                        names=["doc_id", "set_id", "tokens"]).filter(pa.array(new))
         give_back()
 
     found = (docs.withColumn("place", place)
              .mapInArrow(run, "doc_id long, set_id long, tokens array<long>"))
     more = [c for c in wanted.columns if c != "set_id"]
-    return stored(found.join(ids, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+    ids = ids.withColumnsRenamed({"doc_id": "id", "set_id": "name"})
+    same = (F.col("set_id") == F.col("name")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    return stored(found.join(ids, same).dropDuplicates(["doc_id", "set_id"])
                   .select("set_id", "tokens", F.size("tokens").alias("n"), *more), "sets")
 
 

@@ -100,6 +100,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(got, key=str) == sorted([(4, 2, 4), (4, 2, 4), (None, 2, 4), (None, 0, None)], key=str)
 
 
+def test_null_id_joins_two_documents(spark):
+    """A set held by null ids alone links with two documents that do not link with each other."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, [f"a{i}" for i in range(12)] + words), (None, words), (None, words), (2, words + [f"z{i}" for i in range(12)]), (3, ["other", "words", "of", "its", "own"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert [c for _, _, c in brute([(i, " ".join(t)) for i, t in texts if i])] == [1, 2, 3]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (2, 1), (3, 3)], key=str)
+
+
 def test_sizes_of_hashed_sets():
     texts = [t for _, t in made_up(4)]
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
