@@ -7,7 +7,7 @@ packing, the last, returns the pieces of the training sequences.
 from pyspark.sql import functions as F
 
 from drawfield.llm import decontaminate, jaccard, packing, toxicity
-from drawfield.llm.common import stored, table, tokenizer_path, without_ids
+from drawfield.llm.common import bit_map, bit_place, stored, table, tokenizer_path, without_ids
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -20,10 +20,34 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies, the one with the smallest id: five-word shingles, a
-    similarity of 0.8 or more. Documents without words are no copies of each other."""
-    groups = jaccard.join(docs, words=5, percent=80)
-    return without_ids(docs, stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies"))
+    """One row of each group of near copies, one with the smallest id (a null only where all are null):
+    five-word shingles, a similarity of 0.8 or more.
+
+    Rows are told apart by id and text (a hash of 64 bits), so a text that shares its id with a copy stays,
+    and of rows equal in both one stays. Documents without words are no copies of each other: only rows
+    with the same id and text are one, and all with a null id stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccard.join(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    rows = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.groupBy(F.col("doc_id").alias("__key")).agg(
+        F.min("component_id").alias("component"), F.min("n_shingles").alias("n"))
+    known = stored(groups.join(rows, "__key"), "groups")
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("f"))
+    first = known.join(first.select("f.__key"), "__key", "left_semi")
+    repeated = stored(first.filter("rows > 1 AND NOT (n = 0 AND id IS NULL)").select("__key"), "repeated")
+    gone = stored(known.join(first.select("__key"), "__key", "left_anti").select("__key").unionByName(repeated), "copies")
+    kept = without_ids(keyed, gone, "__key").select(*docs.columns)
+    return kept.unionByName(_one_of_each(keyed, repeated, docs.columns))
+
+
+def _one_of_each(keyed, keys, columns):
+    """The smallest row of each key listed. A bit map keeps most other rows from being shuffled."""
+    word, bit = bit_place("__key")
+    marks = F.broadcast(bit_map(keys, "__key").withColumnsRenamed({"w": "__w", "b": "__b"}))
+    some = keyed.withColumn("__w", word).join(marks, "__w").filter(F.col("__b").bitwiseAND(bit) != 0)
+    rows = some.groupBy("__key").agg(F.min(F.struct(*columns)).alias("r"))
+    return rows.join(keys, "__key", "left_semi").select("r.*")
 
 
 def drop_contaminated(spark, docs, sf_dir):

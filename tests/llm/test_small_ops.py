@@ -387,3 +387,15 @@ def test_pipeline_stages(spark, sf_dir):
             assert max(plain_alignment(t, words) / (2 * len(t)) for t in tests) >= decontaminate.SCORE
     packed = corpus_pipeline.pack(spark, fresh, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_near_copies_leave_one_row_of_each_group(spark):
+    """Repeated rows, null ids, and an id that stands for two texts."""
+    def text(x):
+        return " ".join(f"{x}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a") + " more"), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c")),
+            (5, ""), (5, ""), (6, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "l") for i, t in rows], "doc_id long, text string, lang string")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()]
+    want = [(1, text("a")), (2, text("b")), (None, text("c")), (5, ""), (6, None), (None, ""), (None, "")]
+    assert sorted(kept, key=str) == sorted([(i, t, "l") for i, t in want], key=str)
