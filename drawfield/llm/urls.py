@@ -3,8 +3,8 @@
 Only DataFrame and SQL functions are used. Host and path are cut from the url by text functions; their
 n-grams (``h:`` and ``p:`` in front, ``^`` and ``$`` around) are hashed into ``BUCKETS`` buckets. The
 model is one weight a bucket. It is trained by gradient steps, each one aggregate over a small labelled
-url table of at most ``MOST_LABELLED`` rows (the rows with the smallest hash of the url, a documented
-bound); only the ``BUCKETS`` sums of a step come to the driver. Scoring is row by row, without a shuffle.
+url table of at most ``MOST_LABELLED`` different rows (those with the smallest hash of the url, a documented
+bound; each counts as often as it occurs); only the ``BUCKETS`` sums of a step come to the driver. Scoring is row by row, without a shuffle.
 
 A null url, or one without ``://``, has an empty host and path; no rule fits it and the model scores its
 empty features. Repeated urls get equal verdicts. Very long urls are used whole. Extra columns are not
@@ -65,16 +65,17 @@ def probability(features, weights, bias):
 
 
 def train(labelled, steps=STEPS, rate=RATE, size=BUCKETS, most=MOST_LABELLED):
-    """Weights and bias from ``url``, ``block`` (0 or 1), by gradient steps over at most ``most`` rows."""
-    few = labelled.filter("url IS NOT NULL").orderBy(F.xxhash64("url"), "url", "block").limit(most)
+    """Weights and bias from ``url``, ``block`` (0 or 1), by gradient steps over at most ``most`` different rows."""
+    each = labelled.filter("url IS NOT NULL").groupBy("url", "block").agg(F.count(F.lit(1)).alias("times"))
+    few = each.orderBy(F.xxhash64("url"), "url", "block").limit(most)
     host, path = split_url(F.col("url"))
-    rows = stored(few.select(buckets(host, path, size).alias("features"), F.col("block").cast("double").alias("y")),
+    rows = stored(few.select(buckets(host, path, size).alias("features"), F.col("block").cast("double").alias("y"), "times"),
                   "labelled-urls")
     weights, bias = [0.0] * size, 0.0
-    n = rows.count()
-    spread = max(1.0, rows.agg(F.avg(F.size("features"))).first()[0] or 1.0)
+    n, held = rows.agg(F.sum("times"), F.sum(F.col("times") * F.size("features"))).first()
+    spread = max(1.0, held / n) if n else 1.0
     for _ in range(steps if n else 0):
-        miss = rows.select("features", (probability(F.col("features"), weights, bias) - F.col("y")).alias("miss"))
+        miss = rows.select("features", ((probability(F.col("features"), weights, bias) - F.col("y")) * F.col("times")).alias("miss"))
         # One row a bucket, and -1 for the bias.
         sums = (miss.select(F.explode(F.concat("features", F.array(F.lit(-1)))).alias("bucket"), "miss")
                 .groupBy("bucket").agg(F.sum("miss").alias("slope")).collect())

@@ -88,6 +88,13 @@ def test_url_filter_without_labels_and_rows(spark):
     assert urls.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_copies_of_a_url_leave_room_for_others(spark):
+    """A bound of three different urls takes in all three, though each is there twelve times."""
+    labelled = spark.createDataFrame([(f"http://{h}.org/x", b) for h, b in (("one", 1), ("two", 0), ("three", 1))] * 12, "url string, block int")
+    bounded, whole = urls.train(labelled, steps=2, most=3), urls.train(labelled, steps=2)
+    assert np.allclose(bounded[0], whole[0]) and abs(bounded[1] - whole[1]) < 1e-9
+
+
 def test_url_model_learns(spark):
     """Held out: urls whose label it was not shown."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
