@@ -37,10 +37,18 @@ def joint_sum(frame, geo, level, targets, width=None, drop_codes=()):
     not hold exactly ``width`` draws is an error.
     """
     width = sample_width(frame, targets[0]) if width is None else width
+    rows = with_unit(_of_width(frame, targets, width), geo, level, drop_codes)
+    return sum_draws(stack_targets(rows, [MONTH, "unit"], targets), [MONTH, "unit", "target"], width)
+
+
+def stack_targets(frame, keys, targets):
+    """``keys``, ``target``, ``draws``: one row per target."""
     pairs = ", ".join(f"'{t}', `{t}`" for t in targets)
-    rows = (with_unit(_of_width(frame, targets, width), geo, level, drop_codes)
-            .select(MONTH, "unit", F.expr(f"stack({len(targets)}, {pairs}) as (target, draws)")))
-    keys = [MONTH, "unit", "target"]
+    return frame.select(*keys, F.expr(f"stack({len(targets)}, {pairs}) as (target, draws)"))
+
+
+def sum_draws(rows, keys, width):
+    """``keys`` and ``draws``: vectors of ``width`` draws summed position by position in DOUBLE."""
     if width <= BLOCK:
         return rows.groupBy(*keys).agg(_sums("draws", width).alias("draws"))
     last = -(-width // BLOCK) - 1

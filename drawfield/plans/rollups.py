@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from drawfield.functions.draws import (all_missing, clean, exceedance, expected_shortfall,
                                        reduce_draws)
 from drawfield.functions.ladder import collapse, hdi_single
-from drawfield.operators import rollup, summarize
+from drawfield.operators import crosslevel, rollup, summarize
 from drawfield.plans.core import (TARGETS_SQL, joint_sum_sql, ladder_sql, pivot_sql, query, stacked,
                                   text_of, unit_rows, vectors_as_text, with_tables)
 from drawfield.schema import CELL, LEVEL_NAMES, LEVELS, MONTH, stat_names
@@ -65,6 +65,41 @@ FROM w LEFT JOIN names USING (unit)""")(_aggregated)
 names AS (SELECT {_column} AS unit{NAMES_SQL[_level]} FROM geo GROUP BY {_column})
 SELECT p.*{''.join(', names.' + c for c in LEVEL_NAMES[_level])} FROM p LEFT JOIN names USING (unit)""")(_summary)
 
+_EVERY_UNIT = f"""all_units AS ({' UNION ALL '.join(
+    f"SELECT s.month_id, '{level}' AS level, CAST(geo_.{column} AS VARCHAR) AS unit, s.target, s.draws "
+    f"FROM stacked_rows s JOIN %s geo_ USING (priogrid_id) WHERE geo_.{column} IS NOT NULL" for level, column in LEVELS.items())})"""
+_LEVEL_KEYS = "month_id, level, unit, target"
+
+
+def _all_levels(geo):
+    return f"""{with_tables('g', *dict.fromkeys(('geo', geo)))}, stacked_rows AS ({stacked('g', 'month_id, priogrid_id')}),
+{_EVERY_UNIT.replace('%s', geo)}, {joint_sum_sql('all_units', _LEVEL_KEYS)}"""
+
+
+@query("joint_sum_all_levels", f"""{_all_levels('geo_u')},
+w AS (SELECT month_id, level, unit, {', '.join(f"max(CASE WHEN target = '{t}' THEN draws END) AS {t}" for t in TARGETS_SQL)} FROM summed GROUP BY ALL)
+SELECT month_id, level, unit, {SHOWN_TARGETS} FROM w""")
+def joint_sum_all_levels(spark, sf_dir):
+    """All levels from one sum of leaves, over a geography where countries cut through other units and cells lack codes."""
+    geo = tables.geography(spark, sf_dir, unmapped=True, sentinel=True)
+    summed = crosslevel.joint_sum_levels(tables.posterior(spark, sf_dir), geo, TARGETS, width=DRAWS)
+    return vectors_as_text(summed.groupBy(MONTH, "level", "unit").agg(*[
+        F.first(F.when(F.col("target") == t, F.col("draws")), ignorenulls=True).alias(t) for t in TARGETS]))
+
+
+_CARRIED = list(dict.fromkeys(c for level in LEVELS for c in LEVEL_NAMES[level]))
+
+
+@query("summary_all_levels", f"""{_all_levels('geo')},
+{ladder_sql('summed', _LEVEL_KEYS)}, p AS ({pivot_sql('stats', 'month_id, level, unit')}),
+names AS ({' UNION ALL '.join(f"SELECT '{level}' AS level, CAST({column} AS VARCHAR) AS unit, " + ', '.join(
+    (f'min({c})' if c in LEVEL_NAMES[level] else 'NULL') + f' AS {c}' for c in _CARRIED) + f' FROM geo GROUP BY {column}'
+    for level, column in LEVELS.items())})
+SELECT p.*, {', '.join('names.' + c for c in _CARRIED)} FROM p LEFT JOIN names USING (level, unit)""")
+def summary_all_levels(spark, sf_dir):
+    return crosslevel.summarize_levels(tables.posterior(spark, sf_dir), tables.geography(spark, sf_dir), TARGETS, width=DRAWS)
+
+
 HISTORY_LEVELS = {"country": "country_iso_a3", "gaul0": "r", "gaul1": "n", "gaul2": "g2"}
 
 for _level, _column in HISTORY_LEVELS.items():
