@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, stored, table, text_bytes, tokenizer_path, travels, vocabulary
+from drawfield.llm.common import query, stored, table, text_bytes, tokenizer_path, travels
+from drawfield.llm.shingles import pieces
+from drawfield.llm.wordtable import word_table
 from drawfield.session import shared_dir
 
 travels(__name__)
@@ -135,11 +137,6 @@ class Code:
         return out.T[back][np.arange(EVERY) < each[:, None]]
 
 
-def _split(raw, sizes):
-    ends = np.cumsum(sizes).tolist()
-    return [raw[e - s:e] for e, s in zip(ends, sizes.tolist())]
-
-
 def _checkpoints(counts):
     """Positions among a block's ids where decoding may begin."""
     lanes = (counts + EVERY - 1) // EVERY
@@ -149,37 +146,62 @@ def _checkpoints(counts):
 
 # --- writing and reading ---------------------------------------------------------------
 
+TOKENS = ("file_no int, block_no int, first long, doc_ids array<long>, counts array<long>, ids binary, "
+          "tally array<struct<id:long,n:long>>")
+
+
 def tokenize(docs, path, end_id):
-    """``doc_id``, ``ids`` (little-endian, 16 bits each): the ids of each text and the end id."""
+    """Blocks of the ids (little-endian, 16 bits each) of ``docs``, in their order in each partition: a text's ids and
+    the end id. A partition's last row has a ``tally`` instead: how often each id occurs in it."""
     def run(batches):
-        words = vocabulary(path, keep_blank=True)
-        end = np.uint16(end_id).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [x.astype("<u2").tobytes() + end for x in words.encode(some["text"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "ids"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+        words = word_table(path, keep_blank=True)
+        file_no, block_no, first, held, n = TaskContext.get().partitionId(), 0, 0, [], 0
+        tally = np.zeros(1 << 16, np.int64)
 
+        def row(*values):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], k) for x, k in zip((file_no, *values), (
+                    pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(),
+                    pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))))],
+                names=["file_no", "block_no", "first", "doc_ids", "counts", "ids", "tally"])
+
+        def block():
+            doc_ids, counts, ids = zip(*held)
+            return row(block_no, first, [i for some in doc_ids for i in some], np.concatenate(counts), b"".join(ids), None)
 
-def count_ids(tokens):
-    """How often each id occurs in all documents: at most a row per id of the vocabulary."""
-    def run(batches):
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=1 << 16)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for some in pieces(batch, 1 << 19):
+                ids, counts = words.encode(some["text"])
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                tally += np.bincount(ids, minlength=1 << 16)
+                held.append((some["doc_id"].to_pylist(), counts + 1, ids.tobytes()))
+                n += len(ids)
+                if n >= BLOCK:
+                    yield block()
+                    block_no, first, held, n = block_no + 1, first + n, [], 0
+        if held:
+            yield block()
+        seen = np.flatnonzero(tally)
+        yield row(None, None, None, None, None, [{"id": i, "n": c} for i, c in zip(seen.tolist(), tally[seen].tolist())])
+    return docs.mapInArrow(run, TOKENS)
 
 
 def write_ids(docs, path, tokenizer, end_id=2, file_bytes=FILE_BYTES):
-    """Encode all texts and write them below ``path`` in the format above."""
+    """Encode all texts and write them below ``path`` in the format above.
+
+    Texts are dealt into files by ranges of ``doc_id``; equal ids (and nulls) may be dealt over several by the hash of
+    the text and a number. Only texts are shuffled, tokenized once in their final order.
+    """
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, tokenizer, end_id), "tokens")
-    rows = count_ids(tokens).orderBy("id").collect()  # a row per id of the vocabulary
+    _, size = text_bytes(docs)
+    files = max(1, math.ceil(size / file_bytes))
+    order = ["doc_id", "hash", "number"]
+    ordered = (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+               .withColumn("number", F.monotonically_increasing_id())
+               .repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text"))
+    tokens = stored(tokenize(ordered, tokenizer, end_id), "tokens")
+    rows = (tokens.filter("tally IS NOT NULL").select(F.explode("tally").alias("t"))
+            .groupBy("t.id").agg(F.sum("t.n")).orderBy("id").collect())  # a row per id of the vocabulary
     ids, lengths = [r[0] for r in rows], code_lengths([r[1] for r in rows]).tolist()
     (spark.createDataFrame(list(zip(ids, lengths)), "id long, length long").coalesce(1)
      .write.parquet(f"{path}/code"))
@@ -187,50 +209,20 @@ def write_ids(docs, path, tokenizer, end_id=2, file_bytes=FILE_BYTES):
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                parts = [np.frombuffer(x.as_buffer(), "<u2") for x in some["ids"]]
-                counts = [len(p) for p in parts]
-                payload, sizes, marks = code.encode(np.concatenate(parts), counts)
-                bits = _split(payload, sizes)
-                marks = _split(marks, 4 * ((np.array(counts) + EVERY - 1) // EVERY))
+            for i in range(batch.num_rows):
+                some = batch.slice(i, 1)
+                ids = np.frombuffer(some["ids"][0].as_buffer(), "<u2")
+                payload, _, marks = code.encode(ids, some["counts"].flatten().to_numpy())
                 yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(counts, pa.int64()), pa.array(bits, pa.binary()),
-                     pa.array(marks, pa.binary())], names=["doc_id", "n", "bits", "marks"])
-
-    def blocks(batches):
-        file_no, block_no, first = TaskContext.get().partitionId(), 0, 0
-        held, n = [], 0
-
-        def block():
-            # Documents end at whole bytes, so a block is its documents' bytes and checkpoints in a row.
-            ids, counts, bits, marks = zip(*held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in (
-                    (file_no, pa.int32()), (block_no, pa.int32()), (first, pa.int64()),
-                    (ids, pa.list_(pa.int64())), (counts, pa.list_(pa.int64())),
-                    (b"".join(bits), pa.binary()), (b"".join(marks), pa.binary()))],
-                names=["file_no", "block_no", "first", "doc_ids", "counts", "payload", "marks"])
-
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "bits", "marks"))):
-                held.append(row)
-                n += row[1]
-                if n >= BLOCK:
-                    yield block()
-                    block_no, first, held, n = block_no + 1, first + n, [], 0
-        if held:
-            yield block()
+                    [*[some[c] for c in ("file_no", "block_no", "first", "doc_ids", "counts")],
+                     pa.array([payload], pa.binary()), pa.array([marks], pa.binary())],
+                    names=["file_no", "block_no", "first", "doc_ids", "counts", "payload", "marks"])
 
-    size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, math.ceil(size / file_bytes))
-    (tokens.mapInArrow(encode, "doc_id long, n long, bits binary, marks binary")
-     .repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "bits")
-     .mapInArrow(blocks, "file_no int, block_no int, first long, doc_ids array<long>, counts array<long>, "
-                         "payload binary, marks binary")
+    blocks = tokens.filter("ids IS NOT NULL").drop("tally")
+    (blocks.mapInArrow(encode, "file_no int, block_no int, first long, doc_ids array<long>, counts array<long>, "
+                               "payload binary, marks binary")
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
-    per_file = (spark.read.parquet(f"{path}/blocks")
-                .select("file_no", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    per_file = (blocks.select("file_no", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
                 .groupBy("file_no").agg(F.sum("n")).orderBy("file_no").collect())  # a row per file
     first, listed = 0, []
     for file_no, n in per_file:

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawfield.llm.common import give_back, query, stored, table, travels
-from drawfield.llm.shingles import SIGNS, pieces, word_hashes
+from drawfield.llm.shingles import SIGNS, binaries, pieces, word_hashes
 
 travels(__name__)
 
@@ -58,13 +58,6 @@ def _bags(texts):
     return number, np.concatenate([t for t, _ in found]), np.concatenate([n for _, n in found]), counts
 
 
-def _binaries(values, starts):
-    """Slices of an array as a binary column: ``starts`` has one place more than there are slices."""
-    values = np.ascontiguousarray(values)
-    offsets = (np.asarray(starts, np.int64) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-
-
 INDEX = "shard long, term long, n long, words long, docs binary, tfs binary, ids array<long>"
 
 
@@ -89,7 +82,7 @@ def _shard(shard, ids, held):
         edges = starts[run.start:run.stop + 1] - part.start
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(edges) - 1, shard)), pa.array(terms[run]), pa.array(np.diff(edges)),
-             pa.nulls(len(edges) - 1, pa.int64()), _binaries(docs[part], edges), _binaries(tfs[part], edges), none[run]],
+             pa.nulls(len(edges) - 1, pa.int64()), binaries(docs[part], edges), binaries(tfs[part], edges), none[run]],
             names=["shard", "term", "n", "words", "docs", "tfs", "ids"])
 
 

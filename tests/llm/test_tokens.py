@@ -3,12 +3,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from drawfield.llm import huffman, packing
-from drawfield.llm.common import Vocabulary, tokenizer_path
+from drawfield.llm.common import tokenizer_path
+from drawfield.llm.wordtable import WordTable
 
 ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "x \n y", "it's 's <|endoftext|> y", "a<|endoftext|>", "\tq", "ﬁ É  é",
        "Σας ΑΣ ΑΣ.", "a\x1cb c", "12 3 x,y ..!\nab\nc", "a　b c", "\r\n a", "\rA b", "ab\n", "!\x85 x", "thing.\nThe THING, 'it'",
@@ -17,7 +19,13 @@ ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "x \n y", "it's 's <|endoftext|>
 
 @pytest.fixture(scope="module", params=[("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def words(request):
-    return Vocabulary(tokenizer_path(request.param[0]), request.param[1], most=400)
+    return WordTable(tokenizer_path(request.param[0]), request.param[1], most=400)
+
+
+def _encoded(words, texts):
+    ids, counts = words.encode(pa.array(texts, pa.string()))
+    assert counts.sum() == len(ids) and len(counts) == len(texts)
+    return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 def _library(words, text):
@@ -26,14 +34,30 @@ def _library(words, text):
 
 def test_same_ids_as_library(words):
     for _ in range(2):
-        for text, ids in zip(ODD, words.encode(ODD)):
+        for text, ids in zip(ODD, _encoded(words, ODD)):
             assert ids.tolist() == _library(words, text), text
+    column = pa.array(["before", *ODD, "after"], pa.string()).slice(1, len(ODD))
+    ids, _ = words.encode(column)
+    assert ids.tolist() == [i for t in ODD for i in _library(words, t)]
+    assert len(words.encode(pa.array([None, ""], pa.string()))[0]) == 0
+
+
+def test_words_that_differ_in_one_byte_or_their_length(words):
+    texts = ["a" * n + c for n in range(30) for c in ("", "b", "\0", "é")] + ["x\0", "x", "x\0\0"]
+    for text, ids in zip(texts, _encoded(words, texts)):
+        assert ids.tolist() == _library(words, text), repr(text)
+
+
+def test_more_words_than_the_table_keeps(words):
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(12)]
+    for text, ids in zip(texts * 2, _encoded(words, texts * 2)):
+        assert ids.tolist() == _library(words, text)
 
 
-@settings(max_examples=120, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(texts=st.lists(st.text(st.sampled_from("aBé ß.\n,'s0ΣİǅÁ\t!")), max_size=5))
 def test_same_ids_on_random_texts(words, texts):
-    for text, ids in zip(texts, words.encode(texts)):
+    for text, ids in zip(texts, _encoded(words, texts)):
         assert ids.tolist() == _library(words, text), repr(text)
 
 
@@ -79,7 +103,7 @@ def test_ids_on_disk(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     huffman.write_ids(docs, path, tokenizer_path("byte_bpe_50k.json"))
     got = sorted(((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in huffman.read_ids(spark, path).collect()), key=lambda r: r[1])
-    words = Vocabulary(tokenizer_path("byte_bpe_50k.json"), True)
+    words = WordTable(tokenizer_path("byte_bpe_50k.json"), True)
     ordered = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
     start = 0
     for (doc_id, text), row in zip(ordered, got, strict=True):
@@ -98,7 +122,7 @@ def test_empty_tables(spark, docs, tmp_path):
 @pytest.mark.parametrize("window", [16, 64, 4096])
 def test_pieces_tile_documents_and_windows(docs, window):
     rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=window).collect()
-    words = Vocabulary(tokenizer_path("word_bpe_49k.json"), False)
+    words = WordTable(tokenizer_path("word_bpe_49k.json"), False)
     want = sorted((np.array(_library(words, t) + [2], "<u4").tobytes() for _, t in DOCS), key=len)
     by_doc, by_window = {}, {}
     for r in rows:
@@ -154,14 +178,14 @@ def test_little_padding(spark, sf_dir):
 def test_queries_agree_with_library(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
-    words = Vocabulary(tokenizer_path("byte_bpe_50k.json"), True)
+    words = WordTable(tokenizer_path("byte_bpe_50k.json"), True)
     start = 0
     got = {r.doc_id: r for r in huffman.op7_token_ids(spark, sf_dir).collect()}
     for doc_id in sorted(text):
         ids = np.array(_library(words, text[doc_id]) + [2], "<u4")
         assert tuple(got[doc_id]) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    words = Vocabulary(tokenizer_path("word_bpe_49k.json"), False)
+    words = WordTable(tokenizer_path("word_bpe_49k.json"), False)
     pieces = packing.op8_packing(spark, sf_dir).collect()
     for r in pieces:
         ids = np.array(_library(words, text[r.doc_id]) + [2], "<u4")
