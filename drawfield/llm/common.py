@@ -1,9 +1,7 @@
-"""What several of the text operators share: the registry, tables, the shared folder, tokenizing."""
+"""What several of the text operators share: the registry, tables, the shared folder."""
 
-import re
 import sys
 
-import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -75,118 +73,6 @@ def without_ids(docs, ids, key="doc_id"):
     return marked.filter("NOT __hit").select(*columns).unionByName(doubtful.select(*columns))
 
 
-class Vocabulary(dict):
-    """Token ids of words by a tokenizer of the ``tokenizers`` library.
-
-    Both tokenizer families used here never let a token cross a single blank that stands between two
-    other characters, so a text's ids are those of its words one after the other. ``keep_blank`` tells
-    whether a word's ids depend on the blank before it (byte-level BPE) or white space is dropped. A
-    text whose white space is not of that plain kind is encoded as one piece. Known words are kept, up
-    to ``most``; then the memory starts empty again, which changes speed only.
-    """
-
-    RUNS = ("  ", "\n\n", " \n", "\n ", "\r", "<|")
-    #: A line's start or a text's, Latin letters, signs of ASCII but the apostrophe.
-    LETTERS_SIGNS = re.compile(r"([\n\r]?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
-    OTHER_SPACE = re.compile(r"\s|[\x1c-\x1f\x85]")
-
-    def __init__(self, path, keep_blank, most=1_200_000):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.keep_blank, self.most = keep_blank, most
-        self.spaced = set()
-
-    def encode(self, texts):
-        """For each text (None counts as empty) its ids as an array of uint32."""
-        texts = [t or "" for t in texts]
-        glue = " \n" if self.keep_blank else " "
-        parts = [self._same(t).replace("\n", glue).split(" ") if self._plain(t) else None for t in texts]
-        if self.keep_blank:
-            for words in parts:
-                if words:  # the first word of a text has no blank before it
-                    words[0] = "\r" + words[0]
-        missing = set()
-        for words in filter(None, parts):
-            missing.update(words)
-        missing = [w for w in missing if w not in self]
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            self.spaced.clear()
-            missing = list(set().union(*filter(None, parts)))
-        if missing:
-            self.spaced.update(w for w in missing if self.OTHER_SPACE.search(w, w[:1] in ("\n", "\r")))
-            self._learn(missing)
-        if self.spaced:
-            parts = [w if w and self.spaced.isdisjoint(w) else None for w in parts]
-        odd = iter(self._bytes([t for t, w in zip(texts, parts) if w is None]))
-        get = self.__getitem__
-        return [np.frombuffer(next(odd) if words is None else b"".join(map(get, words)), "<u2").astype("<u4")
-                for words in parts]
-
-    def _plain(self, text):
-        return (text and text[0] not in " \n" and text[-1] not in " \n"
-                and not any(run in text for run in self.RUNS))
-
-    def _same(self, text):
-        """Lower case where the tokenizer itself makes it and letters are Latin-1 (one to one)."""
-        if self.keep_blank:
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-    def _piece(self, word):
-        if not self.keep_blank or word[:1] == "\n":
-            return word
-        return word[1:] if word[:1] == "\r" else " " + word
-
-    def _learn(self, words):
-        """Ids of new words. Letters and the signs after them never share a token, so most words are
-        put together from their parts; unknown parts are encoded many in one string, told apart by a
-        mark that no token crosses."""
-        parts = {}
-        for word in words:
-            found = self.LETTERS_SIGNS.fullmatch(word)
-            if found and word not in self.spaced:
-                first, letters, signs = found.groups()
-                if not self.keep_blank:
-                    parts[word] = (letters, signs)
-                elif first == "\n":
-                    parts[word] = ("\n", "\r" + letters, "\r" + signs) if signs else ("\n", "\r" + letters)
-                elif signs:
-                    parts[word] = (first + letters, "\r" + signs)
-        unknown = {p for some in parts.values() for p in some if p not in self}
-        unknown.update(w for w in words if w not in parts)
-        self._encode_words([w for w in unknown if w not in self])
-        get = self.__getitem__
-        self.update((word, b"".join(map(get, some))) for word, some in parts.items())
-
-    def _encode_words(self, words):
-        mark = "\n" if self.keep_blank else " \x01 "
-        ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        simple = [w for w in words if w and w[0] not in "\n\r" and w not in self.spaced]
-        for at in range(0, len(simple), 1024):
-            some = simple[at:at + 1024]
-            all_ids = np.array(self.tokenizer.encode(mark.join(map(self._piece, some)),
-                                                     add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(all_ids == ids[0])
-            if len(ids) == 1 and len(ends) == len(some) - 1:
-                raw = all_ids.tobytes()
-                first = [0, *(2 * ends + 2).tolist()]
-                last = [*(2 * ends).tolist(), len(raw)]
-                self.update(zip(some, [raw[a:b] for a, b in zip(first, last)]))
-        words = [w for w in words if w not in self]
-        self.update(zip(words, self._bytes([self._piece(w) for w in words])))
-
-    def _bytes(self, pieces):
-        return [np.array(e.ids, "<u2").tobytes()
-                for at in range(0, len(pieces), 2048)
-                for e in self.tokenizer.encode_batch_fast(pieces[at:at + 2048], add_special_tokens=False)]
-
-
 def give_back():
     """Return memory to the system: Python workers live on, and the next task may need it in the JVM.
 
@@ -202,18 +88,6 @@ def give_back():
     ctypes.CDLL(None).malloc_trim(0)
 
 
-def vocabulary(path, keep_blank, most=1_200_000):
-    """One per Python worker, kept with the library's module: workers live on from task to task."""
-    import os
-
-    import tokenizers
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    loaded = vars(tokenizers).setdefault("_kept_vocabularies", {})
-    if (path, keep_blank) not in loaded:
-        loaded[path, keep_blank] = Vocabulary(path, keep_blank, most)
-    return loaded[path, keep_blank]
-
-
 def tokenizer_path(name):
     import public_tokenizers
     return public_tokenizers.path(name)

@@ -3,14 +3,16 @@
 Documents keep their order (``doc_id``). Their ids form one stream per range of ``doc_id``; the stream
 is cut into windows of at most ``window`` ids. A cut costs the padding it leaves in the window, plus a
 penalty: none at the end of a document, ``SENTENCE`` at the end of a sentence inside one, ``INSIDE``
-elsewhere (offered every ``STRIDE`` ids where no better cut is near). The cheapest cuts are
+elsewhere (offered every ``STRIDE`` ids where no better cut is near). All ends of documents and sentences are
+offered. The cheapest cuts are
 
     cost[j] = penalty[j] + window - p[j] + min(cost[i] + p[i]  for p[j] - window <= p[i] < p[j])
 
 and the minimum over that sliding range comes from a monotone queue, so a stretch takes linear time.
 
-Null and empty texts are documents of the end id alone. Repeated rows and equal ``doc_id`` are packed
-one after the other, each as a document of its own. An empty table gives no row. Extra columns are
+Null and empty texts are documents of the end id alone. Repeated rows and equal ``doc_id`` (null is one) are
+packed one after the other, ordered by the hash of their texts, each as a document of its own; very many of
+them may be dealt over several ranges. An empty table gives no row. Extra columns are
 not read. One partially filled window per range is the only loss at range ends.
 """
 
@@ -21,15 +23,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from drawfield.llm.common import query, table, text_bytes, tokenizer_path, travels, vocabulary
+from drawfield.llm.common import query, table, text_bytes, tokenizer_path, travels
+from drawfield.llm.shingles import pieces
+from drawfield.llm.wordtable import word_table
 
 travels(__name__)
 
 WINDOW = 4096
-SENTENCE, INSIDE, STRIDE, APART = 8, 40, 32, 16
+SENTENCE, INSIDE, STRIDE = 8, 40, 32
 STRETCH = 192 * WINDOW
 RANGE_BYTES = 8 << 20
-KNOWN_WORDS = 700_000
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
           "offset long")
@@ -64,8 +67,7 @@ def cut(positions, penalties, window):
 def candidates(ids, ends, is_sentence_end, window):
     """Positions where a stretch may be cut, and what each costs. ``ends``: ends of documents."""
     sentence = np.flatnonzero(is_sentence_end[ids]) + 1
-    kept = sentence[np.concatenate([[True], np.diff(sentence // APART) > 0])] if len(sentence) else sentence
-    at = np.unique(np.concatenate([[0, len(ids)], kept, ends]))
+    at = np.unique(np.concatenate([[0, len(ids)], sentence, ends]))
     gaps = np.diff(at)
     stride = min(STRIDE, window)
     wide = np.flatnonzero(gaps > stride)
@@ -75,7 +77,7 @@ def candidates(ids, ends, is_sentence_end, window):
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
         at = np.sort(np.concatenate([at, start + step * stride]))
     cost = np.full(len(at), INSIDE)
-    cost[np.isin(at, kept)] = SENTENCE
+    cost[np.isin(at, sentence)] = SENTENCE
     cost[np.isin(at, ends)] = 0
     cost[0] = 0
     return at, cost
@@ -143,23 +145,27 @@ def pack(docs, path, end_id=2, window=WINDOW, range_bytes=RANGE_BYTES, sentence_
     ranges = max(1, math.ceil(size / range_bytes))
 
     def run(batches):
-        words = vocabulary(path, keep_blank=False, most=KNOWN_WORDS)
+        words = word_table(path, keep_blank=False)
         vocab = words.tokenizer.get_vocab()
         is_end = np.zeros(max(vocab.values()) + 1, bool)
         is_end[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in sentence_marks]] = True
         stream = Stream(TaskContext.get().partitionId() << 32, is_end, window)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), words.encode(some["text"].to_pylist())):
-                    stream.add(doc_id, np.append(ids, np.uint32(end_id)))
+            for some in pieces(batch, 1 << 19):
+                ids, counts = words.encode(some["text"])
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                for doc_id, part in zip(some["doc_id"].to_pylist(), np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1])):
+                    stream.add(doc_id, part)
                 if len(stream.rows):
                     yield stream.taken()
         stream.flush(last=True)
         yield stream.taken()
 
-    ordered = (docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(ranges, "doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    order = ["doc_id", "hash", "number"]
+    ordered = (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+               .withColumn("number", F.monotonically_increasing_id())
+               .repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text"))
     return ordered.mapInArrow(run, PIECES)
 
 
