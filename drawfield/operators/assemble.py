@@ -34,12 +34,17 @@ def to_vectors(draws, keys=("target", MONTH, CELL), strict=True):
     else:
         first = F.filter("rows", lambda x, i: (i == 0) | (F.get("rows", i - 1)["sample"] != x["sample"]))
         placed = F.map_from_entries(first)
-        rest = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: F.element_at(placed, i.cast("int")))
+        rest = F.transform(_upto(F.col("high")), lambda i: F.element_at(placed, i.cast("int")))
     return rows.select(*keys, F.when(F.col("low") != F.col("high"), F.raise_error(F.lit(
         "shards of one cell declare different numbers of draws")).cast(f"array<{_kind(draws)}>"))
         .when(whole, F.transform("rows", lambda x: x["value"])).otherwise(rest).alias("draws"))
 
 
+def _upto(n):
+    """0 to ``n`` - 1; nothing for 0, where a sequence alone would count down."""
+    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+
+
 def _kind(draws):
     return draws.schema["value"].dataType.simpleString()
 
@@ -56,7 +61,7 @@ def zero_fill(frame, columns):
     """A target absent from a populated row becomes as many zeros as the row's other targets have draws."""
     widths = [F.size(c) for c in columns]
     width = F.greatest(*widths) if len(widths) > 1 else widths[0]
-    zeros = F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0).cast("float"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
     return frame.withColumns({c: F.coalesce(F.col(c), zeros) for c in columns})
 
 

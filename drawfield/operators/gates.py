@@ -261,16 +261,16 @@ def run_size(manifest, headers):
 
 # --- all gates in one pass ----------------------------------------------------
 
-def gate_rows(run):
+def gate_rows(run, profile=None):
     """``(run_id, gate, step, passed, terminal)`` for every gate of every run.
 
     The draws are read once: the four shard gates, the duplicate, coverage and shape gates all
-    come from one (shard, cell) profile.
+    come from one (shard, cell) profile, which may be given.
     """
     sidecar = run.sidecar.select(CELL, F.lit(True).alias("covered"))
     wanted = run.manifest.select(
         "run_id", "expected_cell_count", F.size("targets").alias("run_targets"))
-    cells = cell_profile(run)
+    cells = cell_profile(run) if profile is None else profile
     # One shuffle by (run, cell) serves the three groupings below: each contains both columns.
     # A (run, cell) has one row per shard, never more than the manifest's months x targets.
     by_target = cells.repartition("run_id", CELL).groupBy("run_id", CELL, MONTH, "target").agg(

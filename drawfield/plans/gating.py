@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from drawfield.operators import assemble, gates
+from drawfield.operators import assemble, fused, gates
 from drawfield.plans.core import TARGETS_SQL, query, stacked, text_of, vectors_as_text, with_tables
 from drawfield.schema import CELL, MANIFEST_SUFFIX, MONTH, SERIES
+from drawfield.session import shared_dir
 from drawfield.sources import tables
 from drawfield.sources.tables import DRAWS, MONTHS, RUNS
 
@@ -115,16 +116,25 @@ def preflight_gates(spark, sf_dir):
     return gates.gate_rows(tables.wire_runs(spark, sf_dir))
 
 
-@query("preflight_verdict", f"""{runs_sql()}, every AS ({_EVERY}),
+_VERDICT_SQL = f"""{runs_sql()}, every AS ({_EVERY}),
 seen AS (SELECT * FROM every e WHERE NOT EXISTS (
   SELECT 1 FROM every f WHERE f.run_id = e.run_id AND f.terminal AND NOT f.passed AND f.step < e.step))
 SELECT run_id, count(*) AS checked, CAST(count_if(NOT passed) AS BIGINT) AS failed,
   CASE WHEN count_if(NOT passed) > 0 THEN 'NOT SERVABLE' WHEN count(*) < {len(gates.GATES)} THEN 'INCOMPLETE'
-       ELSE 'SERVABLE' END AS verdict FROM seen GROUP BY 1""")
+       ELSE 'SERVABLE' END AS verdict FROM seen GROUP BY 1"""
+
+
+@query("preflight_verdict", _VERDICT_SQL)
 def preflight_verdict(spark, sf_dir):
     return gates.verdict(gates.evaluated(gates.gate_rows(tables.wire_runs(spark, sf_dir))))
 
 
+@query("fused_verdict", _VERDICT_SQL)
+def fused_verdict(spark, sf_dir):
+    """The same verdicts from pieces that one scan of the draws placed."""
+    return fused.Placed(tables.wire_runs(spark, sf_dir), shared_dir(spark, "placed")).verdicts()
+
+
 @query("loaded_vs_listed", f"""{runs_sql()}
 SELECT run_id, CAST(count_if(l.shard IS NULL) AS BIGINT) AS unlisted, CAST(count_if(d.shard IS NULL) AS BIGINT) AS unloaded
 FROM (SELECT DISTINCT run_id, shard FROM w) d FULL OUTER JOIN (SELECT DISTINCT run_id, shard FROM listed) l
@@ -159,6 +169,18 @@ def assemble_run(spark, sf_dir):
 _HALF = DRAWS // 2
 
 
+@query("fused_assembly", f"""{with_tables('g', 'geo')},
+pair AS (SELECT 'run_half' AS run_id, month_id, priogrid_id, {', '.join(f"{t}[1:{_HALF}] AS {t}" for t in TARGETS_SQL)} FROM g
+         UNION ALL SELECT 'run_ok', month_id, priogrid_id, {', '.join(TARGETS_SQL)} FROM g)
+SELECT run_id, month_id, priogrid_id, {_ALL_TEXT}, geo.* EXCLUDE (priogrid_id)
+FROM pair LEFT JOIN geo USING (priogrid_id)""")
+def fused_assembly(spark, sf_dir):
+    """Runs gated and assembled from one scan: only those whose verdict is good are read back."""
+    placed = fused.Placed(tables.wire_runs(spark, sf_dir, ("ok", "half", "gap", "dup")), shared_dir(spark, "placed"))
+    good = [r["run_id"] for r in placed.verdicts().filter("verdict = 'SERVABLE'").select("run_id").collect()]  # a row per run
+    return vectors_as_text(placed.assemble([f"lr_ged_{s}" for s in SERIES], good))
+
+
 @query("assemble_mixed_widths", f"""{with_tables('g', 'geo')},
 pair AS (SELECT 'run_half' AS run_id, month_id, priogrid_id, {', '.join(f"{t}[1:{_HALF}] AS {t}" for t in TARGETS_SQL)} FROM g
          UNION ALL SELECT 'run_ok', month_id, priogrid_id, {', '.join(TARGETS_SQL)} FROM g)
