@@ -20,6 +20,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from drawfield.llm.common import give_back, query, stored, table, travels
 
@@ -104,7 +105,7 @@ def train(docs, labels, categories=CATEGORIES):
         *[F.max(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in categories])
     few = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     names = [name for name, _ in categories]
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
     rows = stored(_extract(texts.select("text", "doc_id", *names)), "labelled")
     total = rows.agg(F.count(F.lit(1)), *[F.sum(F.col(c).cast("int")) for c in names]).first()
     n = total[0]
@@ -154,7 +155,7 @@ def score(docs, model, categories=CATEGORIES):
                 names=[*[f.name for f in keep], *names])
         give_back()
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"{c} double" for c in names])
+    schema = StructType(keep + [StructField(c, DoubleType()) for c in names])
     return docs.select("text", *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
 
 
