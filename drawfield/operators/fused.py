@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYS = ("run_id", "shard", "target", MONTH, CELL)
 CHUNK = 1 << 17
-PIECES = f"run_id string, shard string, target string, {MONTH} int, {CELL} long, rows long, draws array<%s>, loose array<struct<sample:int,value:%s>>"
+PIECES = f"run_id string, shard string, target string, {MONTH} int, {CELL} long, rows long, implausible long, draws array<%s>, loose array<struct<sample:int,value:%s>>"
 
 
 def _lists(values, sizes):
@@ -63,6 +63,8 @@ def _pieces(table, group, value_kind):
     if (np.diff(group) < 0).any() or (sample != place).any():
         order = np.lexsort((sample, group))
         sample = sample[order]
+    value = table["value"].combine_chunks().to_numpy(zero_copy_only=False)[order]
+    bad = ~((value >= 0) & np.isfinite(value))  # a missing draw is NaN here
     whole = np.logical_and.reduceat(sample == place, starts)
     loose_kind = pa.struct([("sample", pa.int32()), ("value", value_kind)])
     for some, is_whole in ((np.flatnonzero(whole), True), (np.flatnonzero(~whole), False)):
@@ -76,11 +78,13 @@ def _pieces(table, group, value_kind):
         else:
             entries = pa.StructArray.from_arrays([pa.array(sample[rows], pa.int32()), values], fields=list(loose_kind))
             draws, loose = pa.nulls(len(some), pa.list_(value_kind)), _lists(entries, size[some])
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(size[some]), draws, loose], names=[*KEYS, "rows", "draws", "loose"])
+        number = np.add.reduceat(bad[rows].astype(np.int64), np.cumsum(size[some]) - size[some])
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(size[some]), pa.array(number), draws, loose],
+                                         names=[*KEYS, "rows", "implausible", "draws", "loose"])
 
 
 def place(draws):
-    """The pieces of ``draws``: ``run_id, shard, target, month_id, priogrid_id, rows, draws, loose``. No shuffle.
+    """The pieces of ``draws``: ``run_id, shard, target, month_id, priogrid_id, rows, implausible, draws, loose``. No shuffle.
 
     Keys of the last batch are held over to the next ``CHUNK`` rows, so a key is cut only where a task ends or where its
     rows lie far apart.
@@ -127,8 +131,9 @@ class Placed:
         place(run.draws).write.parquet(f"{path}/pieces")
         self.run, self.pieces = run, spark.read.parquet(f"{path}/pieces")
         # Which pieces are whole is told by the vector's presence; only its null mark is read.
-        counted = self.pieces.select(*KEYS, "rows", F.col("draws").isNotNull().alias("whole")).groupBy(*KEYS).agg(
-            F.count("*").alias("pieces"), F.sum("rows").alias("rows"), F.bool_and("whole").alias("whole"))
+        counted = self.pieces.select(*KEYS, "rows", "implausible", F.col("draws").isNotNull().alias("whole")).groupBy(*KEYS).agg(
+            F.count("*").alias("pieces"), F.sum("rows").alias("rows"), F.sum("implausible").alias("implausible"),
+            F.bool_and("whole").alias("whole"))
         counted.write.parquet(f"{path}/counted")
         self.counted = spark.read.parquet(f"{path}/counted")
         self.counted.filter("pieces > 1").select(*KEYS).write.parquet(f"{path}/split")
@@ -149,7 +154,7 @@ class Placed:
 
     def profile(self):
         """What ``gates.cell_profile`` gives, from counts; only split cells are profiled by their draws."""
-        single = self.counted.filter("pieces = 1").select(*KEYS, "rows", F.col("whole").alias("ordered"))
+        single = self.counted.filter("pieces = 1").select(*KEYS, "rows", F.col("whole").alias("ordered"), "implausible")
         several = gates.cell_profile(gates.Run(self.split_draws(), self.run.headers, self.run.manifest, self.run.sidecar))
         return single.unionByName(several)
 

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawfield.operators.validate import geo_plausibility
 from drawfield.schema import CELL, CONTRACT_VERSION, MONTH
+from drawfield.sources.digests import artifact_states
 
 # name -> stops the checks that follow it when it fails, in the order they are evaluated
 GATES = {
@@ -20,6 +22,7 @@ GATES = {
     "missing_artifacts": True,
     "repeated_entries": True,
     "unlisted": True,
+    "content_hash": False,
     "identifiable": False,
     "header": False,
     "cell_count": False,
@@ -29,6 +32,8 @@ GATES = {
     "duplicates": False,
     "coverage": False,
     "rectangular": False,
+    "plausible_draws": False,
+    "plausible_geography": False,
 }
 
 
@@ -40,12 +45,14 @@ class Run:
     ``headers``  run_id, shard, header_target, header_month, sample_count, ensemble
     ``manifest`` run_id, contract_version, targets, expected_months, expected_cell_count, shards, sidecar
     ``sidecar``  priogrid_id and geography
+    ``files``    run_id, name, actual (SHA-256) of delivered files, if they were listed
     """
 
     draws: DataFrame
     headers: DataFrame
     manifest: DataFrame
     sidecar: DataFrame
+    files: DataFrame | None = None
 
 
 # --- profiles ----------------------------------------------------------------
@@ -60,13 +67,19 @@ def cell_profile(run):
     sample = F.col("sample")
     words = run.draws.groupBy(*keys, F.floor(sample / 64).alias("word")).agg(
         F.count("*").alias("rows"), F.min(sample).alias("low"), F.max(sample).alias("high"),
-        F.bit_or(F.expr("shiftleft(1L, int(pmod(sample, 64)))")).alias("marks"))
+        F.bit_or(F.expr("shiftleft(1L, int(pmod(sample, 64)))")).alias("marks"),
+        (F.count_if(~plausible(F.col("value"))) if "value" in run.draws.columns else F.lit(0).cast("long")).alias("implausible"))
     profile = words.groupBy(*keys).agg(
         F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.sum(F.bit_count("marks")).alias("distinct"))
+        F.sum(F.bit_count("marks")).alias("distinct"), F.sum("implausible").alias("implausible"))
     return profile.select(*keys, "rows", F.coalesce(
         (F.col("low") == 0) & (F.col("high") == F.col("rows") - 1) & (F.col("distinct") == F.col("rows")),
-        F.lit(False)).alias("ordered"))
+        F.lit(False)).alias("ordered"), "implausible")
+
+
+def plausible(value):
+    """A draw is there, finite and not negative."""
+    return F.coalesce((value >= 0) & ~F.isnan(value) & (value < float("inf")), F.lit(False))
 
 
 def shard_profile(run):
@@ -208,10 +221,16 @@ def escapes(name):
 
 
 def missing_artifacts(run):
-    """Listed shards that were not delivered, or whose name leaves the run directory."""
+    """Listed shards that were not delivered, or whose name leaves the run directory; the sidecar too, where files were listed."""
     delivered = run.headers.select("run_id", "shard").distinct().withColumn("delivered", F.lit(True))
     joined = manifest_shards(run.manifest).join(delivered, ["run_id", "shard"], "left")
-    return joined.filter(F.col("delivered").isNull() | escapes(F.col("shard"))).select("run_id", "shard")
+    missing = joined.filter(F.col("delivered").isNull() | escapes(F.col("shard"))).select("run_id", "shard")
+    if run.files is None:
+        return missing
+    sidecar = run.manifest.select("run_id", F.col("sidecar.name").alias("shard"))
+    came = run.files.select("run_id", F.col("name").alias("shard")).distinct()
+    absent = sidecar.join(came, ["run_id", "shard"], "left_anti").unionByName(sidecar.filter(escapes(F.col("shard"))))
+    return missing.unionByName(absent.distinct())
 
 
 def missing_artifacts_gate(run):
@@ -219,6 +238,26 @@ def missing_artifacts_gate(run):
     return run.manifest.select("run_id").join(missing, "run_id", "left").fillna(0, "problems")
 
 
+def content_hash_gate(run):
+    """No delivered file differs from the hash its manifest gives; an artifact without hash is not held against a run."""
+    none = run.manifest.select("run_id", F.lit(0).cast("long").alias("problems"))
+    if run.files is None:
+        return none
+    wrong = artifact_states(run.manifest, run.files).filter("state = 'mismatch'").groupBy("run_id").agg(F.count("*").alias("problems"))
+    return none.select("run_id").join(wrong, "run_id", "left").fillna(0, "problems")
+
+
+def plausible_draws_gate(run):
+    """Every draw is finite and not negative."""
+    return _by_run(cell_profile(run), F.col("implausible"))
+
+
+def plausible_geography_gate(run):
+    """Coordinates of the sidecar lie on the globe and country codes have three letters."""
+    bad = geo_plausibility(run.sidecar).select(F.expr("bad_longitude + bad_latitude + bad_iso3")).scalar()
+    return run.manifest.select("run_id", bad.cast("long").alias("problems"))
+
+
 def repeated_entries_gate(run):
     """No shard name is listed twice."""
     names = manifest_shards(run.manifest).groupBy("run_id").agg(
@@ -294,7 +333,7 @@ def gate_rows(run, profile=None):
     # Reads the same columns of the profile as above, so that Spark reuses its shuffle.
     by_shard = cells.groupBy("run_id", "shard", "target", MONTH).agg(
         F.count("*").alias("cells"), F.min("rows").alias("s_min"), F.max("rows").alias("s_max"),
-        F.count_if(~F.col("ordered")).alias("out_of_order"))
+        F.count_if(~F.col("ordered")).alias("out_of_order"), F.sum("implausible").alias("implausible"))
     listed = (manifest_shards(run.manifest).select("run_id", "shard").distinct()
               .withColumn("listed", F.lit(True)))
     shards = (by_shard.join(run.headers, ["run_id", "shard"], "left")
@@ -302,17 +341,18 @@ def gate_rows(run, profile=None):
               .join(wanted, "run_id").groupBy("run_id").agg(
         F.count_if(F.col("listed").isNull()).alias("unlisted"),
         F.size(F.collect_set(MONTH)).alias("run_months"), F.sum("out_of_order").alias("out_of_order"),
+        F.sum("implausible").alias("implausible"),
         F.count_if(F.col("cells") != F.col("expected_cell_count")).alias("wrong_cells"),
         F.count_if(~F.col("s_min").eqNullSafe(F.col("sample_count"))
                    | ~F.col("s_max").eqNullSafe(F.col("sample_count"))).alias("wrong_s")))
     facts = (shape.join(shards, "run_id").join(wanted, "run_id")
              .withColumn("flags", F.map_from_arrays(
         F.array(*map(F.lit, ("cell_count", "sample_count", "sample_order", "uniform_s",
-                             "duplicates", "coverage", "unlisted", "rectangular"))),
+                             "duplicates", "coverage", "unlisted", "plausible_draws", "rectangular"))),
         F.array(F.col("wrong_cells") == 0, F.col("wrong_s") == 0,
                 (F.col("disordered") == 0) & (F.col("out_of_order") == 0),
                 F.col("s_min") == F.col("s_max"), F.col("repeats") == 0, F.col("uncovered") == 0,
-                F.col("unlisted") == 0,
+                F.col("unlisted") == 0, F.col("implausible") == 0,
                 (F.col("fewest_months") == F.col("run_months"))
                 & (F.col("most_months") == F.col("run_months"))
                 & (F.col("fewest") == F.col("run_targets"))
@@ -324,6 +364,7 @@ def gate_rows(run, profile=None):
                        ("self_consistent", self_consistent_gate),
                        ("missing_artifacts", missing_artifacts_gate),
                        ("repeated_entries", repeated_entries_gate),
+                       ("content_hash", content_hash_gate), ("plausible_geography", plausible_geography_gate),
                        ("identifiable", identifiable_gate), ("header", header_gate)):
         rows = gate(run).select("run_id", F.lit(name).alias("gate"),
                                 (F.col("problems") == 0).alias("passed"))

@@ -27,7 +27,8 @@ ld AS (SELECT * FROM lr WHERE NOT (
     OR (run = 'month' AND month_id = 262))),
 lw AS (SELECT 'run_' || run AS run_id, {_NAME} AS shard, target, month_id,
          CASE WHEN run = 'geo' AND priogrid_id = 0 THEN -1 ELSE priogrid_id END AS priogrid_id,
-         CASE WHEN run = 'dup' AND {first} AND sample = {DRAWS - 1} THEN 0 ELSE sample END AS sample, value
+         CASE WHEN run = 'dup' AND {first} AND sample = {DRAWS - 1} THEN 0 ELSE sample END AS sample,
+         CASE WHEN run = 'negative' AND {first} AND sample = 0 THEN -1 ELSE value END AS value
        FROM ld),
 w AS (SELECT * FROM lw UNION ALL SELECT * REPLACE (shard || 'b' AS shard) FROM lw
       WHERE run_id = 'run_twice' AND target = 'lr_ged_os' AND month_id = 260
@@ -49,6 +50,12 @@ manifest AS (SELECT 'run_' || run AS run_id, CASE WHEN run = 'version' THEN '2.0
     CASE WHEN run = 'declared' THEN {list(MONTHS[:-1])} ELSE {list(MONTHS)} END AS expected_months,
     (SELECT count(DISTINCT vec_id // 5) FROM embeddings) AS expected_cell_count
   FROM (SELECT unnest({list(runs)}) AS run)),
+files AS (SELECT run_id, shard AS name, sha256(CASE WHEN run_id = 'run_tamper' AND header_target = 'lr_ged_sb' AND header_month = 258
+    THEN shard || 'x' ELSE shard END) AS actual FROM headers
+  UNION ALL SELECT 'run_' || run, 'run_' || run || '__sidecar', sha256('run_' || run || '__sidecar')
+  FROM (SELECT unnest({list(runs)}) AS run) WHERE run <> 'bare'),
+artifacts AS (SELECT run_id, shard AS name, sha256(shard) AS declared FROM listed0 UNION ALL SELECT run_id, shard, NULL FROM listed WHERE suffix(shard, 'b')
+  UNION ALL SELECT 'run_' || run, 'run_' || run || '__sidecar', sha256('run_' || run || '__sidecar') FROM (SELECT unnest({list(runs)}) AS run)),
 cellp AS (SELECT run_id, shard, target, month_id, priogrid_id, count(*) AS rows,
     min(sample) = 0 AND max(sample) = count(*) - 1 AND count(DISTINCT sample) = count(*) AS ordered
   FROM w GROUP BY ALL)"""
@@ -78,7 +85,14 @@ JOIN (SELECT run_id, count(DISTINCT month_id) AS all_months FROM w GROUP BY 1) U
     "repeated_entries": """SELECT run_id, count(shard) - count(DISTINCT shard) AS problems FROM entries GROUP BY 1""",
     "unlisted": """SELECT m.run_id, count(DISTINCT w.shard) AS problems FROM manifest m LEFT JOIN
 (SELECT * FROM w WHERE (run_id, shard) NOT IN (SELECT (run_id, shard) FROM listed)) w USING (run_id) GROUP BY 1""",
-    "missing_artifacts": """SELECT l.run_id, count(*) - count(h.shard) AS problems FROM listed l LEFT JOIN headers h USING (run_id, shard) GROUP BY 1""",
+    "missing_artifacts": """SELECT run_id, CAST(sum(missing) AS BIGINT) AS problems FROM (
+  SELECT l.run_id, CASE WHEN h.shard IS NULL THEN 1 ELSE 0 END AS missing FROM listed l LEFT JOIN headers h USING (run_id, shard)
+  UNION ALL SELECT a.run_id, CASE WHEN f.name IS NULL THEN 1 ELSE 0 END FROM artifacts a LEFT JOIN files f USING (run_id, name)
+  WHERE suffix(a.name, '__sidecar')) GROUP BY 1""",
+    "content_hash": """SELECT a.run_id, CAST(count_if(f.actual <> a.declared) AS BIGINT) AS problems FROM artifacts a LEFT JOIN files f USING (run_id, name) GROUP BY 1""",
+    "plausible_draws": """SELECT run_id, CAST(count_if(NOT isfinite(value) OR value < 0) AS BIGINT) AS problems FROM w GROUP BY 1""",
+    "plausible_geography": """SELECT run_id, (SELECT CAST(count_if(abs(pg_xcoord) > 180) + count_if(abs(pg_ycoord) > 90)
+    + count_if(NOT regexp_full_match(country_iso_a3, '[A-Za-z]{3}|-99')) AS BIGINT) FROM geo) AS problems FROM manifest""",
 }
 
 _FUNCTIONS = {
@@ -89,12 +103,14 @@ _FUNCTIONS = {
     "declares_expectations": gates.expectations_gate, "self_consistent": gates.self_consistent_gate,
     "identifiable": gates.identifiable_gate, "missing_artifacts": gates.missing_artifacts_gate,
     "repeated_entries": gates.repeated_entries_gate, "unlisted": gates.unlisted_gate,
+    "content_hash": gates.content_hash_gate, "plausible_draws": gates.plausible_draws_gate,
+    "plausible_geography": gates.plausible_geography_gate,
 }
 
 # These four say nothing about a table that grows; they are part of preflight_verdict, and the
 # rule of the first is checked over the catalog below.
 _MANIFEST_ONLY = ("contract_version", "declares_expectations", "self_consistent", "identifiable",
-                  "missing_artifacts", "header", "repeated_entries")
+                  "missing_artifacts", "header", "repeated_entries", "content_hash", "plausible_geography")
 
 for _name, _gate in _FUNCTIONS.items():
     if _name in _MANIFEST_ONLY:

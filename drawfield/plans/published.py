@@ -8,7 +8,7 @@ from drawfield.plans.core import (TARGETS_SQL, joint_sum_sql, ladder_sql, pivot_
 from drawfield.schema import (CELL, IDENTITY, MONTH, SERIES, consumer_names,
                               published_columns, series_of_column, stat_names)
 from drawfield.session import shared_dir
-from drawfield.sources import readers, tables, writers
+from drawfield.sources import digests, readers, tables, writers
 from drawfield.sources.tables import DRAWS, OBSERVED, TARGETS
 
 _SERIES_STEM = dict(zip(TARGETS_SQL, SERIES))
@@ -217,19 +217,43 @@ def manifest_shards(spark, sf_dir):
     return unfold(spark.read.schema(readers.MANIFEST_SCHEMA).json(path))
 
 
-@query("content_hash")
+_LINE = "s_suppkey || '|' || s_name || '|' || s_nationkey || '|' || {half} || chr(10)"
+
+
+@query("content_hash", f"""
+WITH halves AS (SELECT s_suppkey, unnest([0, 1]) AS half, s_name, s_nationkey FROM supplier),
+files AS (SELECT 'run_' || (s_suppkey % 7) AS run_id, 's' || s_suppkey || '_' || half || '.txt' AS name, s_suppkey, half,
+  sha256(repeat({_LINE.format(half='half')}, CAST(CASE WHEN half = 1 THEN 1 + s_suppkey % 50 ELSE 1 END AS INTEGER))) AS actual FROM halves)
+SELECT run_id, name, CASE WHEN s_suppkey % 5 = 4 AND half = 1 THEN 'missing' WHEN s_suppkey % 5 = 2 THEN 'unverified'
+    WHEN s_suppkey % 5 = 1 THEN 'mismatch' ELSE 'verified' END AS state,
+  CASE WHEN NOT (s_suppkey % 5 = 4 AND half = 1) THEN actual END AS actual FROM files""")
 def content_hash(spark, sf_dir):
-    """Hashes of written shards against what was declared: right, wrong, absent, or not delivered.
+    """Two files a supplier, the larger one read in pieces, against what seven manifests declare: right, wrong, without hash, not delivered.
 
-    The declared hashes are read from the files first, so that the bytes are hashed twice.
+    SQL computes the hashes from the table; the query reads them from the files.
     """
-    path = shared_dir(spark, "hashed")
-    tables.observed(spark, sf_dir).repartition(8, MONTH).write.parquet(path)
-    actual = readers.content_hashes(spark, path).filter(F.col("name").endswith(".parquet"))
-    part = F.substring_index(F.substring_index("name", "-", 2), "-", -1).cast("int")
-    declared = actual.select("name", F.when(part % 4 == 0, F.upper("actual")).when(part % 4 == 1, F.lit("0" * 64))
-                             .when(part % 4 == 2, F.col("actual")).alias("sha256"))
-    return readers.verify_hashes(declared, actual).groupBy("verdict").agg(F.count("*").alias("files"))
+    half = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+    files = tables.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", half).withColumn(
+        "name", F.format_string("s%d_%d", F.col("s_suppkey").cast("long"), F.col("half"))).withColumn(
+        "line", F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"), F.col("half").cast("string")))
+    times = F.when(F.col("half") == 1, 1 + F.col("s_suppkey") % 50).otherwise(1).cast("int")
+    path, kind = shared_dir(spark, "hashed"), F.col("s_suppkey") % 5
+    delivered = files.filter(~((kind == 4) & (F.col("half") == 1)))
+    # One row a file, so a folder of the name holds one file of known content.
+    (delivered.select(F.array_join(F.array_repeat("line", times), "\n").alias("value"), "name")
+     .write.partitionBy("name").text(path))
+    found = digests.file_digests(spark, path, whole=200, piece=64).filter(F.col("name").startswith("part-"))
+    named = F.concat(F.substring_index("directory", "=", -1), F.lit(".txt"))
+    run = F.concat(F.lit("run_"), (F.substring_index(F.substring(named, 2, 20), "_", 1).cast("long") % 7).cast("string"))
+    found = found.select(run.alias("run_id"), named.alias("name"), "actual")
+    content = F.concat(F.array_join(F.array_repeat("line", times), "\n"), F.lit("\n"))
+    entry = F.struct(F.concat("name", F.lit(".txt")).alias("name"), F.lit("t").alias("target"), F.lit(1).alias("time_id"),
+                     F.when(kind == 1, F.sha2(F.concat(content, F.lit("x")), 256)).when(kind == 2, F.lit(None))
+                     .when(kind == 3, F.upper(F.sha2(content, 256))).otherwise(F.sha2(content, 256)).alias("sha256"))
+    # A manifest lists a few hundred files here.
+    manifest = files.groupBy(F.concat(F.lit("run_"), (F.col("s_suppkey") % 7).cast("string")).alias("run_id")).agg(
+        F.collect_list(entry).alias("shards")).withColumn("sidecar", F.lit(None).cast("struct<name:string,sha256:string>"))
+    return digests.artifact_states(manifest, found).join(found, ["run_id", "name"], "left")
 
 
 @query("integrity_roundtrip", """

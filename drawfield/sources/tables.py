@@ -111,7 +111,7 @@ def observed(spark, sf_dir):
 # --- delivered runs ----------------------------------------------------------
 
 RUNS = ("ok", "dup", "gap", "header", "short", "width", "geo", "month", "version", "anon", "twice",
-        "declared", "extra", "again")
+        "declared", "extra", "again", "tamper", "negative", "bare")
 
 
 def _shard_name(run, target, month):
@@ -119,6 +119,10 @@ def _shard_name(run, target, month):
                     F.lpad(month.cast("string"), 6, "0"))
 
 
+def _sidecar_name(run):
+    return F.concat(F.lit("run_"), run, F.lit("__sidecar"))
+
+
 def wire_runs(spark, sf_dir, runs=RUNS):
     """Runs of the posterior in long form. ``ok`` is whole, ``half`` (not in ``RUNS``) is whole with half
     as many draws, each other one has a single fault."""
@@ -145,7 +149,8 @@ def wire_runs(spark, sf_dir, runs=RUNS):
         F.when((run == "geo") & (cell == 0), F.lit(-1)).otherwise(cell).cast("long").alias(CELL),
         F.when((run == "dup") & sb & first & (sample == DRAWS - 1), F.lit(0))
         .otherwise(sample).alias("sample"),
-        "value")
+        F.when((run == "negative") & sb & first & (sample == 0), F.lit(-1.0)).otherwise(F.col("value"))
+        .cast(long.schema["value"].dataType).alias("value"))
     # Shards that no manifest lists, of one more month.
     delivered = delivered.unionByName(delivered.filter((F.col("run_id") == "run_extra") & (month == 262)).withColumns(
         {"shard": F.concat("shard", F.lit("x")), MONTH: F.lit(263)}))
@@ -171,8 +176,7 @@ def wire_runs(spark, sf_dir, runs=RUNS):
         "expected_cell_count",
         F.when(run == "twice", F.concat(listed, extra)).when(run == "again", F.concat(listed, again))
         .otherwise(listed).alias("shards"),
-        F.struct(F.concat(F.lit("run_"), run, F.lit("__sidecar")).alias("name"),
-                 F.lit(None).cast("string").alias("sha256")).alias("sidecar"))
+        F.struct(_sidecar_name(run).alias("name"), F.sha2(_sidecar_name(run), 256).alias("sha256")).alias("sidecar"))
     unlisted = F.transform(F.filter(listed, lambda s: s["time_id"] == 262), lambda s: s.withField(
         "name", F.concat(s["name"], F.lit("x"))).withField("time_id", F.lit(263)))
     shards = plan.select("run_id", "run", F.explode(
@@ -184,7 +188,12 @@ def wire_runs(spark, sf_dir, runs=RUNS):
                F.lit(259)).otherwise(F.col("s.time_id")).alias("header_month"),
         F.when(run == "half", F.lit(DRAWS // 2)).otherwise(F.lit(DRAWS)).alias("sample_count"),
         F.when(run == "anon", F.lit("unknown")).otherwise(F.lit("ensemble_a")).alias("ensemble"))
-    return Run(delivered, headers, manifest, geography(spark, sf_dir))
+    # A file's content is its name, but for one altered shard; one run's sidecar did not come.
+    altered = (F.col("run_id") == "run_tamper") & (F.col("header_target") == "lr_ged_sb") & (F.col("header_month") == 258)
+    files = headers.select("run_id", F.col("shard").alias("name"), F.sha2(
+        F.when(altered, F.concat("shard", F.lit("x"))).otherwise(F.col("shard")), 256).alias("actual")).unionByName(
+        plan.filter(run != "bare").select("run_id", _sidecar_name(run).alias("name"), F.sha2(_sidecar_name(run), 256).alias("actual")))
+    return Run(delivered, headers, manifest, geography(spark, sf_dir), files)
 
 
 # --- artifact catalog --------------------------------------------------------

@@ -1,6 +1,9 @@
 """Writing tables, and publishing runs so that readers only ever see whole ones."""
 
+import json
+import os
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -31,35 +34,118 @@ def write_bulk(table, path):
 
 
 # --- publication ---------------------------------------------------------------------
+#
+# The log of a base is a folder of numbered files, 0, 1, 2, ..., each the entries of one commit. A commit is the
+# creation of the next file, which fails if another publisher made it first: of two publishers of a run
+# one wins, and the other sees it in the log before it tries the next number. Rows are written, and
+# verified, before; what no entry names is never read.
+
+ENTRIES = "run_id string, path string, rows long, published_at timestamp"
 
-def publish_run(frame, run_id, base, expected_rows=None):
-    """Write a run, verify what was written, and only then list it as published.
 
-    A failure before the last step leaves files no reader looks at, so the run published before
-    stays live. Publishing a listed run again changes nothing.
+def publish_runs(frame, base, expected_rows=None):
+    """Write runs (``run_id`` and a posterior table), verify what was written, and only then list them as published.
+
+    All runs of the frame are one write, by run and month, and one commit. A failure before the commit leaves files
+    no reader looks at. A run that is listed already, or is listed by another publisher meanwhile, stays as it is.
+    ``expected_rows``: rows by run id. Returns the ids published by this call.
     """
     spark = frame.sparkSession
-    if is_published(spark, base, run_id):
+    frame = frame.join(published(spark, base).select("run_id"), "run_id", "left_anti")
+    attempt = f"{base}/runs/{uuid.uuid4().hex}"
+    # A month's rows go to one file, or to several where there are many: AQE splits and joins by size.
+    (frame.withColumn("run", F.concat(F.lit("run:"), "run_id")).hint("rebalance", "run_id", MONTH)
+     .write.partitionBy("run", MONTH).parquet(attempt))
+    # With its schema, as a write of no rows leaves nothing to infer it from.
+    written = spark.read.schema(frame.schema).parquet(attempt)
+    found = {r["run_id"]: r["rows"] for r in written.groupBy("run_id").agg(F.count("*").alias("rows")).collect()}  # a row per run
+    for run_id, rows in (expected_rows or {}).items():
+        if run_id in found and found[run_id] != rows:
+            raise ValueError(f"run {run_id} has {found[run_id]} rows on disk, expected {rows}")
+    require_unique_keys(written, ("run_id", MONTH, CELL))
+    return _commit(spark, base, attempt, found) if found else set()
+
+
+def publish_run(frame, run_id, base, expected_rows=None):
+    """The same for one run. False if it is listed already, or another publisher was faster."""
+    if is_published(frame.sparkSession, base, run_id):
         return False
-    attempt = f"{base}/runs/{run_id}/{uuid.uuid4().hex}"
-    frame.write.parquet(attempt)
-    written = spark.read.parquet(attempt)
-    rows = written.count()
-    if expected_rows is not None and rows != expected_rows:
-        raise ValueError(f"run {run_id} has {rows} rows on disk, expected {expected_rows}")
-    require_unique_keys(written)
-    entry = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("path"),
-                                  F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("published_at"))
-    entry.write.mode("append").parquet(f"{base}/published")
+    expected = None if expected_rows is None else {run_id: expected_rows}
+    return run_id in publish_runs(frame.withColumn("run_id", F.lit(run_id)), base, expected)
+
+
+def _commit(spark, base, attempt, found):
+    """Adds the runs that nobody has listed to the log; their ids."""
+    version = _next_version(spark, base)
+    while True:
+        listed = {r["run_id"] for r in published(spark, base).select("run_id").filter(F.col("run_id").isin(*found)).collect()}
+        mine = {run_id: rows for run_id, rows in found.items() if run_id not in listed}
+        if not mine:
+            return set()
+        now = datetime.now(timezone.utc).isoformat()
+        lines = [json.dumps({"run_id": r, "path": attempt, "rows": n, "published_at": now}) for r, n in mine.items()]
+        if create_once(spark, _log_file(base, version), "\n".join(lines) + "\n"):
+            return set(mine)
+        version += 1
+
+
+def _log_file(base, version):
+    return f"{base}/log/{version:020d}.json"
+
+
+def _next_version(spark, base):
+    """The first number without a file: numbers have no gaps, so it is found by doubling and halving."""
+    high = 1
+    while _there(spark, _log_file(base, high - 1)):
+        high *= 2
+    low = high // 2
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if _there(spark, _log_file(base, middle)) else (low, middle)
+    return low
+
+
+def _file_system(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _there(spark, path):
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def create_once(spark, path, text):
+    """Create a file with this content; False if it is there already, whoever made it.
+
+    The store decides: on HDFS and its like by creating without overwriting, on a local disk by an exclusive open.
+    """
+    system, where = _file_system(spark, path)
+    if system.getUri().getScheme() == "file":
+        local = where.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x", encoding="utf-8") as file:
+                file.write(text)
+            return True
+        except FileExistsError:
+            return False
+    try:
+        stream = system.create(where, False)
+    except Exception as error:  # the JVM's exception is told apart by its class
+        if "FileAlreadyExists" in str(error):
+            return False
+        raise
+    stream.write(text.encode("utf-8"))
+    stream.close()
     return True
 
 
 def published(spark, base):
-    """The list of published runs, empty before the first."""
-    path = f"{base}/published"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "run_id string, path string, rows long, published_at timestamp")
-    return spark.read.parquet(path)
+    """The list of published runs, replayed from the log; empty before the first."""
+    if not _there(spark, f"{base}/log"):
+        return spark.createDataFrame([], ENTRIES)
+    return spark.read.schema(ENTRIES).json(f"{base}/log")
 
 
 def is_published(spark, base, run_id):
@@ -68,19 +154,9 @@ def is_published(spark, base, run_id):
 
 def read_published(spark, base, run_id):
     """The rows of a run, if it is published."""
-    first = (published(spark, base).filter(F.col("run_id") == run_id)
-             .orderBy("published_at", "path").select("path").first())
+    first = published(spark, base).filter(F.col("run_id") == run_id).select("path").first()
     if first is None:
         raise ValueError(f"run {run_id} is not published")
-    return spark.read.parquet(first["path"])
-
-
-def _exists(spark, path):
-    from pyspark.errors import AnalysisException
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    rows = spark.read.parquet(first["path"])
+    columns = [F.col(c) for c in rows.columns if c not in ("run", "run_id", MONTH)]
+    return rows.filter(F.col("run") == f"run:{run_id}").select(F.col(MONTH).cast("int").alias(MONTH), *columns)
