@@ -33,6 +33,7 @@ WINDOW = 4096
 SENTENCE, INSIDE, STRIDE = 8, 40, 32
 STRETCH = 192 * WINDOW
 RANGE_BYTES = 8 << 20
+KNOWN_WORDS = 500_000  # a table of half the size beside what other tasks keep
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
           "offset long")
@@ -145,7 +146,7 @@ def pack(docs, path, end_id=2, window=WINDOW, range_bytes=RANGE_BYTES, sentence_
     ranges = max(1, math.ceil(size / range_bytes))
 
     def run(batches):
-        words = word_table(path, keep_blank=False)
+        words = word_table(path, keep_blank=False, most=KNOWN_WORDS)
         vocab = words.tokenizer.get_vocab()
         is_end = np.zeros(max(vocab.values()) + 1, bool)
         is_end[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in sentence_marks]] = True
