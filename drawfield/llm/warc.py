@@ -6,9 +6,13 @@ payload digest, and each record carries the digest of its own block. Ids are der
 response's, so a repeated run gives the same records. All of it is text functions: no shuffle.
 
 Null html is an empty payload, a null url an empty target; both still give two records. Repeated rows
-give repeated records. Very long pages are converted whole. Extra columns are not read.
+give repeated records. Very long pages are converted whole, malformed ones in linear time too: what is not
+closed reaches to the end of the page. Extra columns are not read.
 """
 
+from html import unescape
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from drawfield.llm.common import query, table
@@ -16,12 +20,20 @@ from drawfield.llm.common import query, table
 CRLF = "\r\n"
 DATE = "2026-01-01T00:00:00Z"  # the table of pages has no dates
 
-# Entities of HTML that are decoded, "&amp;" last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 # Elements whose content is not text, and elements that end a line.
-UNSEEN = ("script", "style", "noscript", "template", "head")
+UNSEEN = ("script", "style", "noscript", "template", "title")
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
+#: The names of HTML 4 and ``&apos;``, with the letters that the standard library gives them.
+NAMED = {**{name: unescape(f"&{name};") for name in (*name2codepoint, "apos")}, "nbsp": " "}
+
+# The rest of a tag after its name: a ">" inside a quoted value does not end it (up to 32 values; then any does), the page's end does.
+_REST = """[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,32}(?:>|\\z)"""
+#: One pass from left to right. What is not closed goes on to the end of the page, so each letter is read once.
+HIDDEN = "(?is)<(?:!--.*?(?:-->|\\z)|" + "|".join(
+    f"{name}(?:[\\s/]{_REST}|>).*?(?:</{name}[^>]*(?:>|\\z)|\\z)" for name in UNSEEN) + ")"
+LINE_ENDS = f"(?i)</?(?:{BREAKS})(?:[\\s/]{_REST}|>)"
+TAGS = f"<[A-Za-z/!?](?:{_REST}|[^>]*(?:>|\\z))"
+REFERENCE = "^(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]{1,8}));"
 
 
 def uuid_of(text):
@@ -36,19 +48,48 @@ def digest(text):
 
 
 def plain_text(html):
-    """Text of a page: comments and unseen elements go, block elements end lines, entities are decoded."""
-    text = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    for name in UNSEEN:
-        text = F.regexp_replace(text, f"(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>", " ")
-    text = F.regexp_replace(text, f"(?i)</?({BREAKS})(\\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, "<[A-Za-z/!][^>]*>", "")
-    for entity, letter in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(letter))
+    """Text of a page: comments and unseen elements go, block elements end lines, references are decoded.
+
+    A comment, unseen element or tag that is not closed reaches to the end of the page.
+    """
+    text = F.regexp_replace(html, HIDDEN, " ")
+    text = F.regexp_replace(text, LINE_ENDS, "\n")
+    text = F.regexp_replace(text, TAGS, "")
+    # Bound to a name, so that it is computed once.
+    text = F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t)), F.lit(0))
     text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(text, "^[ \\n]+|[ \\n]+$", "")
 
 
+def decoded(text):
+    """``&name;``, ``&#233;`` and ``&#xe9;`` as letters, once, from left to right; unknown ones stay as they are."""
+    names = F.map_from_arrays(F.array(*map(F.lit, NAMED)), F.array(*map(F.lit, NAMED.values())))
+
+    def found(part):
+        return F.struct(part.alias("part"), *[F.regexp_extract(part, REFERENCE, i).alias(n) for i, n in ((1, "number"), (2, "hexadecimal"), (3, "name"))])
+
+    def coded(ref):  # each step is bound to a name, so that it is computed once
+        code = F.when(ref["number"] != "", ref["number"].cast("int")).when(
+            ref["hexadecimal"] != "", F.conv(ref["hexadecimal"], 16, 10).cast("int"))
+        return F.struct(ref["part"].alias("part"), ref["name"].alias("name"), code.alias("code"))
+
+    def letter(ref):
+        code = ref["code"]
+        sign = (F.when(ref["name"] != "", F.try_element_at(names, ref["name"]))
+                .when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.struct(ref["part"].alias("part"), sign.alias("sign"))
+
+    def written(ref):
+        part = ref["part"]
+        return F.when(ref["sign"].isNull(), F.concat(F.lit("&"), part)).otherwise(
+            F.concat(ref["sign"], F.substr(part, F.instr(part, ";") + 1)))
+
+    parts = F.split(text, "&")
+    refs = F.transform(F.transform(F.transform(F.slice(parts, 2, 1 << 30), found), coded), letter)
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(refs, written), ""))
+
+
 def responses(pages):
     """Response records of a page table: ``page_id``, ``record_id``, ``target_uri``, ``date``, ``headers``,
     ``payload``, ``payload_digest``."""
@@ -97,13 +138,19 @@ def write_warc(records, path):
 
 
 def _plain_sql():
-    text = "regexp_replace(payload, '(?s)<!--.*?-->', ' ', 'g')"
-    for name in UNSEEN:
-        text = f"regexp_replace({text}, '(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>', ' ', 'g')"
-    text = f"regexp_replace({text}, '(?i)</?({BREAKS})(\\s[^>]*)?/?>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[A-Za-z/!][^>]*>', '', 'g')"
-    for entity, letter in ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, entity, letter.replace("'", "''"))
+    def quoted(pattern):
+        return pattern.replace("'", "''")
+    text = f"regexp_replace(payload, '{quoted(HIDDEN)}', ' ', 'g')"
+    text = f"regexp_replace({text}, '{quoted(LINE_ENDS)}', chr(10), 'g')"
+    text = f"regexp_replace({text}, '{quoted(TAGS)}', '', 'g')"
+    code = (f"coalesce(TRY_CAST(nullif(regexp_extract(x, '{REFERENCE}', 1), '') AS INTEGER), "
+            f"TRY_CAST(nullif('0x' || regexp_extract(x, '{REFERENCE}', 2), '0x') AS INTEGER))")
+    names = "MAP {" + ", ".join(f"'{n}': chr({ord(c)})" for n, c in NAMED.items()) + "}"
+    sign = (f"coalesce(CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) END, "
+            f"({names})[regexp_extract(x, '{REFERENCE}', 3)])")
+    parts = f"string_split({text}, '&')"
+    text = (f"(SELECT p[1] || array_to_string([coalesce({sign} || regexp_replace(x, '{REFERENCE}', ''), '&' || x) FOR x IN p[2:]], '') "
+            f"FROM (SELECT {parts} AS p))")
     text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
     text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
