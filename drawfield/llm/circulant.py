@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from drawfield.llm.common import give_back, query, stored, table, travels
-from drawfield.llm.jaccard import components, distance, linked, named_sets, needed, overlaps, prefix, wanted_sets
+from drawfield.llm.jaccard import components, distance, linked, named_sets, needed, overlaps, prefix, sql, wanted_sets
 from drawfield.llm.shingles import mix, pieces, set_ids, shingle_sets
 
 travels(__name__)
@@ -235,23 +235,6 @@ def _result(named, labels):
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def sql(words, percent, more=""):
-    """The same components in SQL by comparing all pairs of documents that share a shingle."""
-    span = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
-    return f"""
-    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-    s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {words} THEN [{span} FOR i IN range(1, len(w) - {words} + 2)]
-                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles FROM t),
-    g AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
-    e AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
-          GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
-    r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
-    f AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
-    SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id{more} FROM s JOIN f USING (doc_id)
-    """
-
-
 @query("op11_circulant_minhash", sql(WORDS, PERCENT, ", doc_id = component_id AS kept"))
 def op11_circulant_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
