@@ -129,6 +129,25 @@ def answer_requests(frame, requests, column, keys):
     return asked.join(frame, column)
 
 
+def summarize_requests(frame, requests, column, keys, value):
+    """One row for every valid request: ``rows``, the sum of ``value``, the first and last month of its answer.
+
+    A request of everything is answered by the whole frame, and one of unknown ids by no rows. Ids are
+    summarized once before they meet the requests, so no row of the frame is multiplied by the requests for it.
+    """
+    def summary(rows, total, first, last):
+        return [rows.cast("long").alias("rows"), total.alias(value), first.alias("first_month"), last.alias("last_month")]
+
+    per_id = frame.groupBy(column).agg(*summary(F.count("*"), F.sum(value), F.min(MONTH), F.max(MONTH)))
+    whole = per_id.agg(*summary(F.coalesce(F.sum("rows"), F.lit(0)), F.sum(value), F.min("first_month"), F.max("last_month")))
+    valid = requests.filter("valid")
+    asked = valid.filter("NOT selects_all").select(*keys, F.explode(F.array_distinct("ids")).alias(column))
+    some = asked.join(per_id, column, "left").groupBy(*keys).agg(
+        *summary(F.coalesce(F.sum("rows"), F.lit(0)), F.sum(value), F.min("first_month"), F.max("last_month")))
+    every = valid.filter("selects_all").select(*keys, *[whole.select(c).scalar().alias(c) for c in whole.columns])
+    return some.unionByName(every)
+
+
 def coverage(frame, geo):
     """Per month and country: rows, and distinct cells."""
     return (frame.join(geo.select(CELL, "country_iso_a3"), CELL, "left")

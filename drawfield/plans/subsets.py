@@ -76,14 +76,12 @@ def subset_ordered(spark, sf_dir):
     return vectors_as_text(subset.subset_ordered(rows, requested))
 
 
-@query("unknown_ids", """SELECT DISTINCT s_suppkey AS priogrid_id FROM supplier
-WHERE s_suppkey NOT IN (SELECT vec_id // 5 FROM embeddings WHERE label < 3)""")
+@query("unknown_ids", """SELECT DISTINCT o_custkey AS priogrid_id FROM orders
+WHERE o_custkey NOT IN (SELECT vec_id // 5 FROM embeddings)""")
 def unknown_ids(spark, sf_dir):
-    """Requested cells without a vector of one of the first labels."""
-    known = tables.table(spark, sf_dir, "embeddings").filter(F.col("label") < 3).select(
-        F.floor(F.col("vec_id") / 5).alias(CELL))
-    requested = tables.table(spark, sf_dir, "supplier").select("s_suppkey")
-    return subset.unknown_ids(known, CELL, requested)
+    """Customers of all orders as requested cells, without those that are cells of the posterior."""
+    requested = tables.table(spark, sf_dir, "orders").select("o_custkey")
+    return subset.unknown_ids(tables.posterior(spark, sf_dir), CELL, requested)
 
 
 @query("cells_of_unit", f"""{with_tables('geo')} SELECT priogrid_id FROM geo WHERE admin1_gaul1_code IN (3, 7, 999)""")
@@ -138,22 +136,22 @@ _TEXT_REQUEST = "CASE event_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'AAA, CCC,AAA'
 
 
 @query("answer_requests", f"""{with_tables('h', 'hgeo')},
-asked AS (SELECT DISTINCT event_id, unnest(CASE event_id % 3 WHEN 1 THEN ['AAA', 'CCC'] WHEN 2 THEN ['ZZZ', 'BBB'] ELSE [] END) AS country_iso_a3
+asked AS (SELECT DISTINCT event_id, unnest(CASE event_id % 3 WHEN 1 THEN ['AAA', 'CCC'] ELSE ['ZZZ', 'BBB'] END) AS country_iso_a3
           FROM events WHERE event_id % 3 > 0),
-units AS (SELECT month_id, country_iso_a3, sum(lr_ged_sb) AS lr_ged_sb FROM h JOIN hgeo USING (priogrid_id) GROUP BY 1, 2),
-latest AS (SELECT * FROM units WHERE month_id = (SELECT max(month_id) FROM units))
-SELECT event_id, country_iso_a3, month_id, lr_ged_sb FROM asked JOIN latest USING (country_iso_a3)""")
+units AS (SELECT month_id, country_iso_a3, sum(lr_ged_sb) AS lr_ged_sb FROM h JOIN hgeo USING (priogrid_id) GROUP BY 1, 2)
+SELECT event_id, count(month_id) AS rows, sum(lr_ged_sb) AS lr_ged_sb, min(month_id) AS first_month, max(month_id) AS last_month
+FROM asked LEFT JOIN units USING (country_iso_a3) GROUP BY event_id
+UNION ALL SELECT event_id, w.* FROM (SELECT DISTINCT event_id FROM events WHERE event_id % 3 = 0),
+  (SELECT count(*), sum(lr_ged_sb), min(month_id), max(month_id) FROM units) w""")
 def answer_requests(spark, sf_dir):
-    """Text lists of countries, each answered with its newest month."""
+    """Text lists of countries and requests of everything, each answered over all months."""
     from drawfield.operators import rollup
     from drawfield.plans.rollups import history_geography
     requests = tables.table(spark, sf_dir, "events").select("event_id", F.expr(_TEXT_REQUEST).alias("request"))
     parsed = subset.parse_requests(requests.withColumn("request", F.nullif("request", F.lit("all"))), "request", "string")
     units = rollup.observed_rollup(tables.observed(spark, sf_dir), history_geography(spark, sf_dir), "country",
                                    ["lr_ged_sb"]).withColumnRenamed("unit", "country_iso_a3")
-    latest = units.filter(F.col(MONTH) == units.agg(F.max(MONTH)).scalar())
-    return subset.answer_requests(latest, parsed, "country_iso_a3", ["event_id"]).select(
-        "event_id", "country_iso_a3", MONTH, "lr_ged_sb")
+    return subset.summarize_requests(units, parsed, "country_iso_a3", ["event_id"], "lr_ged_sb")
 
 
 @query("latest_run_rows", f"""{with_tables('g')}, runs AS (SELECT 'run_' || month_id AS run_id, max(priogrid_id) AS made FROM g
