@@ -9,7 +9,7 @@ holds most of the catalog costs one row per task, where a ranking window would s
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawfield.schema import FRESHNESS_SLA_DAYS, MANIFEST_TYPE, MODEL_TYPE
+from drawfield.schema import FRESHNESS_SLA_DAYS, MANIFEST_TYPE, MODEL_TYPE, SERVED_RUN_TEXT
 
 _AGE_ORDER = ("created_at", "file_id")
 
@@ -113,10 +113,12 @@ def lineage(lines, served, manifest, stored):
     """The record of each line: the served run laid over its manifest, or else the stored model.
 
     ``served`` carries line, file_id, mode, status, source, name, filename, created_at, run_id,
-    targets; the other two carry line and the provenance fields. A served wire run owns the whole
+    targets; the other two carry line and the ten provenance fields. A run's id is laid over the record,
+    category and methodology stay those of the record below. A served wire run owns the whole
     record, so nothing of an older artifact shows through.
     """
-    fields = ["file_id", "source", "created_at", "filename", "name", "targets", "description", "file_hash"]
+    fields = ["file_id", "source", "created_at", "filename", "name", "category", "targets", "description", "file_hash",
+              "methodology_version"]
     base = lines.select("line")
     for side, frame in (("m", manifest), ("o", stored)):
         base = base.join(frame.select("line", F.struct(*fields).alias(side)), "line", "left")
@@ -139,10 +141,11 @@ def lineage(lines, served, manifest, stored):
         F.coalesce(s("created_at"), b("created_at")).alias("created_at"),
         F.coalesce(s("filename"), F.when(wire, filled(s("run_id"))), b("filename")).alias("filename"),
         F.coalesce(s("name"), F.when(wire, filled(s("source"))), b("name")).alias("name"),
+        s("run_id").alias("run_id"), b("category").alias("category"), b("methodology_version").alias("methodology_version"),
         F.when(wire, s("targets")).otherwise(b("targets")).alias("targets"),
         F.when(~F.coalesce(wire, F.lit(False)), b("file_hash")).alias("file_hash"),
         F.when(wire & filled(s("run_id")).isNotNull(),
-               F.concat(F.lit("Sampled-forecast wire-contract run "), s("run_id")))
+               F.concat(F.lit(SERVED_RUN_TEXT), s("run_id")))
         .otherwise(b("description")).alias("description"))
 
 

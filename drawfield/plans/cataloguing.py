@@ -190,6 +190,7 @@ _LINE = "user_id"
 def _sides(spark, sf_dir):
     every = tables.catalog(spark, sf_dir).withColumn("line", F.col("user_id"))
     record = every.withColumn("source", catalog.declared_source(F.col("source"), F.col("pipeline")))
+    record = record.withColumn("methodology_version", F.concat(F.lit(METHOD + " "), "type"))
     manifest = catalog.newest(record.filter(F.col("type") == MANIFEST_TYPE), ["line"])
     stored = catalog.newest(record.filter(F.col("type") == "model"), ["line"])
     shard = catalog.newest(record.filter(F.col("type") == SHARD_TYPE), ["line"])
@@ -206,7 +207,8 @@ def _sides(spark, sf_dir):
 
 def _side_sql(kind):
     return f"""(SELECT user_id AS line, struct_pack(file_id := file_id, source := coalesce(source, pipeline, 'unknown'),
-    created_at := created_at, filename := filename, name := name, target := target, description := description,
+    created_at := created_at, filename := filename, name := name, category := category, target := target, description := description,
+    methodology_version := '{METHOD} ' || type,
     file_hash := file_hash) AS x FROM (SELECT *, row_number() OVER (PARTITION BY user_id
       ORDER BY created_at DESC, file_id DESC) AS rn FROM c WHERE type = '{kind}') WHERE rn = 1)"""
 
@@ -224,6 +226,7 @@ SELECT line, CASE WHEN s.mode IS NOT NULL THEN s.file_id ELSE x.file_id END AS a
   strftime(coalesce(s.created_at, x.created_at), '%Y-%m-%dT%H:%M:%S.%f') AS created_at,
   coalesce(s.filename, CASE WHEN s.mode = 'wire' THEN s.run_id END, x.filename) AS filename,
   coalesce(s.name, CASE WHEN s.mode = 'wire' THEN s.source END, x.name) AS name,
+  s.run_id AS run_id, x.category AS category, x.methodology_version AS methodology_version,
   CASE WHEN s.mode = 'wire' THEN s.target ELSE x.target END AS target,
   CASE WHEN s.mode IS NULL OR s.mode <> 'wire' THEN x.file_hash END AS file_hash,
   CASE WHEN s.mode = 'wire' AND s.run_id IS NOT NULL THEN 'Sampled-forecast wire-contract run ' || s.run_id

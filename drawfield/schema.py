@@ -58,6 +58,7 @@ MANIFEST_TYPE = "sampled_forecast_manifest"
 SHARD_TYPE = "sampled_forecast_shard"
 SIDECAR_TYPE = "sampled_forecast_sidecar"
 MANIFEST_SUFFIX = "__manifest.json"
+SERVED_RUN_TEXT = "Sampled-forecast wire-contract run "
 NO_COUNTRY = "-99"
 LON_RANGE = (-180.0, 180.0)
 LAT_RANGE = (-90.0, 90.0)
