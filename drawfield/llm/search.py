@@ -19,8 +19,9 @@ digits and all other characters beyond ASCII, with A-Z in lower case.
 
 Queries come in blocks of about ``QUERY_BYTES`` of text; each block's terms are sent to the executors and
 meet the whole index in one pass, so what is broadcast has a bound. Null and empty texts are indexed with
-length 0 and never found; such queries give no row. Repeated rows are documents of their own. An empty
-table gives no row. Fewer than k documents with a common term give fewer rows. Extra columns are not read.
+length 0 and never found; such queries give no row. Repeated rows are documents of their own; rows that repeat a
+``query_id`` are one query with the terms of all of them. An empty table gives no row. Fewer than k documents with
+a common term give fewer rows. Extra columns are not read.
 """
 
 import math
@@ -232,11 +233,16 @@ def search(index, queries, k=10):
     _, size = text_bytes(queries)
     blocks, found = max(1, math.ceil(size / QUERY_BYTES)), None
     shards = max(1, index.count())
+    repeated = queries.groupBy("query_id").count().filter("count > 1").limit(1).count()
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     found_kinds = "query_id long, doc_id long, score double"
     for block in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        rows = _query_terms(some).toArrow()  # about QUERY_BYTES
+        terms = _query_terms(some)
+        if repeated:
+            terms = (terms.select("query_id", F.explode("terms").alias("term")).distinct()
+                     .groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms")))
+        rows = terms.toArrow()  # about QUERY_BYTES
         ids, count = rows["query_id"].to_numpy(), rows["terms"].combine_chunks().value_lengths().to_numpy()
         flat = rows["terms"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64)
         known, place = np.unique(flat, return_inverse=True)

@@ -66,6 +66,17 @@ def test_query_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(rows, queries, 10)
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    rows = made_up(6, 80)
+    queries = [(i, t) for i, t in rows if i is not None and i % 7 == 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = search.build_index(docs)
+    halves = [(i, part) for i, t in queries for words in [(t or "").split()] for part in (" ".join(words[::2]), " ".join(words[1::2]))]
+    once, twice, split = (sorted(map(tuple, search.search(index, spark.createDataFrame(q, "query_id long, text string")).collect()))
+                          for q in (queries, queries * 2, halves))
+    assert once == twice == split and len(once) > 10
+
+
 def test_blocks_below_the_threshold_are_skipped():
     """What is skipped cannot be among the best, and the threshold does skip."""
     import numpy as np
