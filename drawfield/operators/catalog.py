@@ -41,6 +41,35 @@ def page(catalog, limit=25, offset=0, text=""):
     return listed.orderBy(F.col("created_at").desc(), F.col("file_id").desc()).offset(offset).limit(limit)
 
 
+def page_after(catalog, cursor=None, limit=25, text=""):
+    """The page that follows ``cursor``, the :func:`cursor_of` the page before; without one the first page.
+
+    Each task keeps its ``limit`` newest rows below the cursor, so a late page costs what the first does and
+    artifacts that arrive meanwhile move no page. Newest first, then by file id; rows without time come last.
+    File ids are unique: of two rows with one id and time at the edge of a page the second would be passed over.
+    """
+    listed = catalog.filter(F.col("filename").contains(text)) if text else catalog
+    at, file = F.col("created_at"), F.col("file_id")
+    if cursor is not None:
+        micros, last = cursor
+        later_file = F.lit(False) if last is None else (file < last) | file.isNull()
+        if micros is None:
+            listed = listed.filter(at.isNull() & later_file)
+        else:
+            edge = F.timestamp_micros(F.lit(micros)).cast(catalog.schema["created_at"].dataType)
+            listed = listed.filter((at < edge) | ((at == edge) & later_file) | at.isNull())
+    return listed.orderBy(at.desc_nulls_last(), file.desc_nulls_last()).limit(limit)
+
+
+def cursor_of(page):
+    """``(microseconds, file id)`` of a page's last row, None for an empty page."""
+    at, file = F.col("created_at"), F.col("file_id")
+    # The page is bounded by its limit.
+    last = page.orderBy(at.asc_nulls_first(), file.asc_nulls_first()).select(
+        F.unix_micros(at.cast("timestamp")), file).first()
+    return None if last is None else tuple(last)
+
+
 def new_artifacts(incoming, stored):
     """Incoming artifacts whose content, and then whose filename, is not stored yet.
 

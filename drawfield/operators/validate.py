@@ -65,17 +65,32 @@ def grid_density(frame):
         "missing", F.col("months") * F.col("cells") - F.col("rows"))
 
 
-def order_violations(frame, sequence, group):
+ORDER_BLOCK = 1 << 16
+
+
+def order_violations(frame, sequence, group, block=None):
     """Rows whose (month, cell) does not follow the row before it in their file.
 
-    ``sequence`` is the row's position and ``group`` the file, or file block, it belongs to:
-    each group is ordered on its own, no single task sees the whole table.
+    ``sequence`` is the row's position and ``group`` the file it belongs to. Order is checked inside blocks of
+    positions, each with a window of its own, and then only the edges of neighbouring blocks are compared, so
+    a file of any size is checked by many tasks. ``block`` numbers the blocks and must never fall as ``sequence``
+    grows; by default a block is ``ORDER_BLOCK`` positions. Rows without position are counted, and follow nothing.
     """
-    order = Window.partitionBy(group).orderBy(sequence)
     key = F.struct(F.col(MONTH), F.col(CELL))
-    before = F.lag(key).over(order)
-    return frame.select(group, (before >= key).alias("breaks")).groupBy(group).agg(
-        F.count("*").alias("rows"), F.count_if(F.col("breaks")).alias("violations"))
+    block = F.floor(F.col(sequence) / ORDER_BLOCK) if block is None else block
+    placed = F.col(sequence).isNotNull()
+    # Rows without position are dealt out, as no order keeps them together.
+    dealt = F.pmod(F.xxhash64(MONTH, CELL), F.lit(1024))
+    rows = frame.select(group, sequence, key.alias("key"), placed.alias("placed"),
+                        F.when(placed, block.cast("long")).otherwise(dealt).alias("block"))
+    before = F.lag("key").over(Window.partitionBy(group, "placed", "block").orderBy(sequence))
+    inside = rows.withColumn("breaks", F.col("placed") & (before >= F.col("key"))).groupBy(group, "placed", "block").agg(
+        F.count("*").alias("rows"), F.count_if("breaks").alias("inside"),
+        F.min_by("key", sequence).alias("first"), F.max_by("key", sequence).alias("last"))
+    left = F.lag("last").over(Window.partitionBy(group, "placed").orderBy("block"))
+    edges = inside.withColumn("edge", (F.col("placed") & (left >= F.col("first"))).cast("long"))
+    return edges.groupBy(group).agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("inside") + F.coalesce("edge", F.lit(0))).alias("violations"))
 
 
 def catalog_validation(catalog):

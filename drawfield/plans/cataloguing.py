@@ -57,6 +57,16 @@ def catalog_page(spark, sf_dir):
     return _shown(catalog.page(tables.catalog(spark, sf_dir), limit=50, offset=25, text="_1"))
 
 
+@query("catalog_page_after", f"""{_C} SELECT {_SHOWN} FROM (SELECT * FROM c WHERE contains(filename, '_1')
+ORDER BY c.created_at DESC, file_id DESC LIMIT 25 OFFSET 50)""")
+def catalog_page_after(spark, sf_dir):
+    """The third page, reached by the cursors of the first two."""
+    listed, cursor = tables.catalog(spark, sf_dir), None
+    for _ in range(2):
+        cursor = catalog.cursor_of(catalog.page_after(listed, cursor, limit=25, text="_1"))
+    return _shown(catalog.page_after(listed, cursor, limit=25, text="_1"))
+
+
 @query("dedup_by_hash", f"""{_C}, stored AS (SELECT * FROM c WHERE value < 0.1), incoming AS (SELECT * FROM c WHERE value >= 0.1)
 , unseen AS (SELECT * FROM incoming WHERE file_hash NOT IN (SELECT file_hash FROM stored)),
 by_hash AS (SELECT * FROM unseen QUALIFY file_hash IS NULL OR row_number() OVER (PARTITION BY file_hash ORDER BY created_at, file_id) = 1),

@@ -74,9 +74,15 @@ def grid_profile(spark, sf_dir):
     return grid.grid_profile(tables.posterior(spark, sf_dir), TARGETS)
 
 
-@query("grid_profile_approximate")
+@query("grid_profile_approximate", f"""{with_tables('g')}
+SELECT count(DISTINCT month_id) AS months, count(*) AS rows, count(DISTINCT priogrid_id) AS cells, true AS within_bound FROM g""")
 def grid_profile_approximate(spark, sf_dir):
-    return grid.grid_profile(tables.posterior(spark, sf_dir), TARGETS, approximate=True)
+    """A sketch for each month, merged; beside the exact count, whether the estimate is within its bound."""
+    frame = tables.posterior(spark, sf_dir)
+    merged = grid.merge_sketches(grid.cell_sketches(frame, (MONTH,)))
+    cells, months = (frame.agg(F.countDistinct(c)).scalar() for c in (CELL, MONTH))
+    close = F.abs(F.col("cells") - cells) <= F.ceil(grid.SKETCH_BOUND * cells)
+    return merged.select(months.alias("months"), "rows", cells.alias("cells"), close.alias("within_bound"))
 
 
 @query("geo_backfill", f"""{with_tables('h', 'hgeo')},
@@ -234,10 +240,10 @@ SELECT l_orderkey, count(*) AS rows, CAST(count_if(coalesce(p >= k, false)) AS B
       ((year(l_shipdate) - 1980) * 12 + month(l_shipdate)) * 1000000000 + l_suppkey AS k FROM lineitem))
 GROUP BY 1""")
 def order_violations(spark, sf_dir):
-    """Lines of an order stand in for rows of a file, their number for the position."""
+    """Lines of an order stand in for rows of a file, their number for the position; three numbers make a block."""
     lines = tables.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"),
         calendar.month_id_of_date(F.col("l_shipdate")).alias(MONTH), F.col("l_suppkey").alias(CELL))
-    return validate.order_violations(lines, "at", "l_orderkey")
+    return validate.order_violations(lines, "at", "l_orderkey", F.floor(F.col("at.l_linenumber") / 3))
 
 

@@ -7,24 +7,46 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from drawfield.operators.grid import fingerprint
 from drawfield.operators.validate import require_unique_keys
 from drawfield.schema import CELL, MONTH
 
 
 def save_dataset(frame, geo, path):
-    """Posterior or observed rows by month, and the geography beside them."""
+    """Posterior or observed rows by month, the geography beside them, and the fingerprints of both.
+
+    The fingerprints are of the rows handed over, computed apart from the write, so they tell what was lost in it.
+    """
     frame.write.partitionBy(MONTH).parquet(f"{path}/grid")
     geo.write.parquet(f"{path}/geo")
+    # A row a month and one for the geography.
+    _marks(frame, geo).coalesce(1).write.parquet(f"{path}/fingerprint")
     return path
 
 
+def _marks(frame, geo):
+    rows = fingerprint(frame, sorted(frame.columns), (MONTH,)).withColumn(MONTH, F.col(MONTH).cast("long"))
+    places = fingerprint(geo, sorted(geo.columns)).withColumn(MONTH, F.lit(None).cast("long"))
+    return rows.withColumn("part", F.lit("grid")).unionByName(places.withColumn("part", F.lit("geo")))
+
+
 def load_dataset(spark, path, check=True):
-    """Read a saved dataset back; ``check`` looks for repeated keys in both tables."""
+    """Read a saved dataset back; ``check`` looks for repeated keys in both tables and for lost or changed rows.
+
+    The fingerprints show a month with other rows, vectors or vector lengths than were saved. A data
+    set without them, as an earlier version wrote, is an error; read it with ``check=False``.
+    """
     grid = spark.read.parquet(f"{path}/grid").withColumn(MONTH, F.col(MONTH).cast("int"))
     geo = spark.read.parquet(f"{path}/geo")
     if check:
         require_unique_keys(grid)
         require_unique_keys(geo, (CELL,))
+        saved = spark.read.parquet(f"{path}/fingerprint")
+        found = _marks(grid, geo).select(*saved.columns)
+        wrong = [r for r in saved.exceptAll(found).unionByName(found.exceptAll(saved)).select("part", MONTH).distinct().limit(10).collect()]
+        if wrong:
+            raise ValueError("not the rows that were saved: " + ", ".join(
+                "geography" if r["part"] == "geo" else f"month {r[MONTH]}" for r in wrong))
     return grid, geo
 
 
