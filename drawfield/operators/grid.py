@@ -204,3 +204,16 @@ def matrix_to_long(frame, targets):
     return frame.select(MONTH, CELL, F.expr(
         f"stack({len(targets)}, {parts}) as (target, map, hdi_lower, hdi_upper)")).filter(
         F.col("map").isNotNull())
+
+
+def map_to_long(frame, targets):
+    """``month_id``, cell, ``target``, ``map``: a NULL point estimate has no row."""
+    pairs = ", ".join(f"'{t}', `{t}`.map" for t in targets)
+    return frame.select(MONTH, CELL, F.expr(f"stack({len(targets)}, {pairs}) as (target, map)")).filter(
+        F.col("map").isNotNull() & ~F.isnan("map"))
+
+
+def interval_to_long(frame, targets):
+    """``month_id``, cell, ``target``, ``hdi_lower``, ``hdi_upper``: every row stays, NULL or not."""
+    parts = ", ".join(f"'{t}', `{t}`.lower, `{t}`.upper" for t in targets)
+    return frame.select(MONTH, CELL, F.expr(f"stack({len(targets)}, {parts}) as (target, hdi_lower, hdi_upper)"))

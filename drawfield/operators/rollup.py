@@ -118,6 +118,23 @@ def constant_columns(frame, columns):
         .filter("values = 1 and nulls = 0").select("column_name")
 
 
+def carry_constants(units, frame, columns):
+    """A roll-up with those of the input's ``columns`` that hold one and the same value in all its rows.
+
+    A column with two values, or with a NULL beside a value, is left out, as are all columns of an empty input
+    and names the roll-up has already. One row with two values a column comes to the driver; nothing is joined.
+    """
+    columns = [c for c in dict.fromkeys(columns) if c not in units.columns]
+    if not columns:
+        return units
+    found = frame.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (
+        ("low", F.min), ("high", F.max), ("nulls", lambda c: F.count_if(F.col(c).isNull())))]).first()
+    kinds = {c: frame.schema[c].dataType for c in columns}
+    return units.withColumns({c: F.lit(found[f"low_{i}"]).cast(kinds[c]) for i, c in enumerate(columns)
+                              if found[f"low_{i}"] is not None and found[f"low_{i}"] == found[f"high_{i}"]
+                              and not found[f"nulls_{i}"]})
+
+
 def aggregated_subset(frame, geo, level, targets, months=None, codes=None, draws=None,
                       with_geo=True, width=None, drop_codes=()):
     """Subset, then joint sum: months, unit codes and draws chosen, vectors per unit returned."""

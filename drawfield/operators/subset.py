@@ -73,6 +73,22 @@ def subset_ordered(frame, requested, column=CELL, strict=False):
     return frame.join(requested.select(F.col("position"), F.col("id").alias(column)), column)
 
 
+def subset_ordered_block(frame, months, cells, strict=False):
+    """Rows of requested months and cells with ``month_position`` and ``cell_position``, their places in the requests.
+
+    Both requests are tables of ``id`` and ``position``; an id named twice gives its rows twice. Unknown ids
+    of either match no row, or are an error if ``strict``; a NULL id is unknown. The joined keys are
+    narrow, and a request that is small is sent to the tasks by Spark itself.
+    """
+    axes = ((MONTH, months, "month_position"), (CELL, cells, "cell_position"))
+    if strict:
+        for column, requested, _ in axes:
+            require_known(frame, column, requested.select("id"))
+    for column, requested, place in axes:
+        frame = frame.join(requested.select(F.col("position").alias(place), F.col("id").alias(column)), column)
+    return frame
+
+
 def cells_of_unit(geo, level, codes):
     """Cells whose unit code at a level is one of ``codes``; an unknown code gives none."""
     return geo.filter(F.col(level_column(level)).isin(*_listed(codes))).select(CELL)

@@ -119,6 +119,30 @@ def matrix_to_long(spark, sf_dir):
     return grid.matrix_to_long(wide, TARGETS)
 
 
+_PART_KNOWN = """SELECT month_id, priogrid_id, target, {} FROM s"""
+
+
+def _partly_known(spark, sf_dir):
+    """Matrices whose point estimate is unknown for every fourth cell."""
+    def matrix(t):
+        d = F.col(t).cast("array<double>")
+        return F.struct(F.when(F.col(CELL) % 4 != 0, F.array_max(d)).alias("map"), F.array_min(d).alias("lower"),
+                        F.when(F.col(CELL) % 3 != 0, F.array_max(d)).alias("upper")).alias(t)
+    return tables.posterior(spark, sf_dir).select(MONTH, CELL, *[matrix(t) for t in TARGETS])
+
+
+@query("matrix_map_long", f"""{with_tables('g')}, s AS ({stacked('g', 'month_id, priogrid_id')})
+{_PART_KNOWN.format('CAST(list_max(draws) AS DOUBLE) AS map')} WHERE priogrid_id % 4 <> 0""")
+def matrix_map_long(spark, sf_dir):
+    return grid.map_to_long(_partly_known(spark, sf_dir), TARGETS)
+
+
+@query("matrix_interval_long", f"""{with_tables('g')}, s AS ({stacked('g', 'month_id, priogrid_id')})
+{_PART_KNOWN.format('CAST(list_min(draws) AS DOUBLE) AS hdi_lower, CASE WHEN priogrid_id % 3 <> 0 THEN CAST(list_max(draws) AS DOUBLE) END AS hdi_upper')}""")
+def matrix_interval_long(spark, sf_dir):
+    return grid.interval_to_long(_partly_known(spark, sf_dir), TARGETS)
+
+
 @query("month_functions", """
 SELECT o_orderkey, m AS month_id, CAST(1980 + (m - 1) // 12 AS INTEGER) AS year,
        CAST((m - 1) % 12 + 1 AS INTEGER) AS month, strftime(o_orderdate, '%Y-%m') AS label

@@ -145,6 +145,20 @@ def rollup_with_names(spark, sf_dir):
     return rollup.with_names(counted, geo, "gaul2")
 
 
+@query("rollup_constants", f"""{with_tables('g', 'geo')}
+SELECT g.month_id, CAST(geo.admin2_gaul2_code AS VARCHAR) AS unit, count(*) AS cells,
+       (SELECT CAST(max(month_id) AS BIGINT) FROM g) AS last_month, 'posterior' AS origin
+FROM g JOIN geo USING (priogrid_id) GROUP BY 1, 2""")
+def rollup_constants(spark, sf_dir):
+    """``last_month`` and ``origin`` hold one value in all rows and are carried, ``parity`` is not."""
+    rows = tables.posterior(spark, sf_dir).select(MONTH, CELL)
+    rows = rows.withColumns({"last_month": rows.agg(F.max(MONTH)).scalar().cast("long"), "origin": F.lit("posterior"),
+                             "parity": F.col(CELL) % 2})
+    counted = rollup.with_unit(rows, tables.geography(spark, sf_dir), "gaul2").groupBy(MONTH, F.col("unit").cast("string").alias("unit")) \
+        .agg(F.count("*").alias("cells"))
+    return rollup.carry_constants(counted, rows, ["last_month", "origin", "parity"])
+
+
 @query("constant_columns", f"""{with_tables('geo')}
 SELECT column_name FROM (
   SELECT 'country_iso_a3' AS column_name, count(DISTINCT country_iso_a3) AS n FROM geo

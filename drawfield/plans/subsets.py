@@ -76,6 +76,23 @@ def subset_ordered(spark, sf_dir):
     return vectors_as_text(subset.subset_ordered(rows, requested))
 
 
+@query("subset_ordered_block", f"""{with_tables('g')}, q AS (
+  SELECT s_suppkey AS priogrid_id, (SELECT max(s_suppkey) FROM supplier) - s_suppkey AS cell_position
+  FROM supplier WHERE s_acctbal < 5000),
+m AS (SELECT DISTINCT month_id, CAST(-month_id AS BIGINT) AS month_position FROM g WHERE month_id % 2 = 0)
+SELECT priogrid_id, month_id, {text_of('pred_lr_ged_sb')}, month_position, cell_position FROM g JOIN q USING (priogrid_id) JOIN m USING (month_id)""")
+def subset_ordered_block(spark, sf_dir):
+    """Even months, the latest first, of cells asked for in descending order."""
+    supplier = tables.table(spark, sf_dir, "supplier")
+    last = supplier.agg(F.max("s_suppkey")).scalar()
+    cells = supplier.filter(F.col("s_acctbal") < 5000).select(
+        F.col("s_suppkey").alias("id"), (last - F.col("s_suppkey")).alias("position"))
+    rows = tables.posterior(spark, sf_dir).select(MONTH, CELL, TARGETS[0])
+    months = rows.filter(F.col(MONTH) % 2 == 0).select(F.col(MONTH).alias("id")).distinct().withColumn(
+        "position", (-F.col("id")).cast("long"))
+    return vectors_as_text(subset.subset_ordered_block(rows, months, cells))
+
+
 @query("unknown_ids", """SELECT DISTINCT o_custkey AS priogrid_id FROM orders
 WHERE o_custkey NOT IN (SELECT vec_id // 5 FROM embeddings)""")
 def unknown_ids(spark, sf_dir):
