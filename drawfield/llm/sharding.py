@@ -4,7 +4,8 @@ A record belongs to one of ``slots`` virtual slots for ever (a hash of its key).
 a map that is stored with a version number. Version 1 deals the slots out in turn. Bytes are summed
 per slot, and rebalancing writes the next version: an edit moves single slots from the fullest to the
 emptiest shard until no move helps, so every other slot stays where it was. Records are never moved
-one by one, and the map has ``slots`` rows however large the table is.
+one by one, and the map has ``slots`` rows however large the table is. ``save_map``, ``load_map``, ``edit_map`` and
+``shard_by`` keep that map over the life of a table: version 3 edits version 2, whatever the table has become.
 
 Null texts count one byte (none, plus one) and null keys hash as zero. Repeated rows are records of
 their own. An empty table gives an empty result and a map without edits. Extra columns are not read.
@@ -98,6 +99,13 @@ def slot_map(rows, shards=SHARDS, slots=SLOTS):
                                                   "slot_bytes long, first long").coalesce(1), "slot-map")
 
 
+def _placed(rows, latest):
+    # The map has ``slots`` rows: a fixed size.
+    owned = rows.join(F.broadcast(latest.select("virtual_slot", "shard", "first")), "virtual_slot")
+    inside = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    return owned.withColumn("place", F.col("first") + inside - 1)
+
+
 def shard(docs, shards=SHARDS, slots=SLOTS):
     """``(rows, map)``: every record with its shard and place, and the versioned map behind it.
 
@@ -107,10 +115,69 @@ def shard(docs, shards=SHARDS, slots=SLOTS):
     rows = measured(docs, slots)
     maps = slot_map(rows, shards, slots)
     latest = maps.filter(F.col("version") == maps.agg(F.max("version")).first()[0])
-    # The map has ``slots`` rows: a fixed size.
-    owned = rows.join(F.broadcast(latest.select("virtual_slot", "shard", "first")), "virtual_slot")
-    inside = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return owned.withColumn("place", F.col("first") + inside - 1), maps
+    return _placed(rows, latest), maps
+
+
+# --- the stored map over the life of a table -----------------------------------------------
+
+def save_map(maps, path):
+    """Store each version of a map as a folder of its own; a version that is there already is an error, never replaced."""
+    for version in sorted(r[0] for r in maps.select("version").distinct().collect()):
+        maps.filter(F.col("version") == version).drop("version").coalesce(1).write.mode("errorifexists").parquet(
+            f"{path}/version={version}")
+    return path
+
+
+def load_map(spark, path, version=None):
+    """One stored version, the newest by default: ``version`` and what :func:`slot_map` lists for its slots."""
+    maps = spark.read.parquet(path).withColumn("version", F.col("version").cast("int"))
+    wanted = maps.agg(F.max("version")).first()[0] if version is None else version
+    found = maps.filter(F.col("version") == wanted)
+    rows, low, high, different = found.agg(F.count(F.lit(1)), F.min("virtual_slot"), F.max("virtual_slot"),
+                                           F.count_distinct("virtual_slot")).first()
+    if not rows or (low, high, different) != (0, rows - 1, rows):
+        raise ValueError(f"version {wanted} of the map is missing or does not name each slot once")
+    return found
+
+
+def edit_map(current, docs, shards=None):
+    """``(next version, edits)`` from the version ``current`` and the table as it is now.
+
+    Slots stay with their shards but for the edits ``(slot, from, to)``, which even out today's bytes. ``shards`` may
+    be larger than before: the new shards start empty and take slots by edits alone. A smaller number is an
+    error where a slot would lose its shard. Only ``slots`` sums come to the driver.
+    """
+    spark = docs.sparkSession
+    held = sorted(current.select("virtual_slot", "shard", "version").collect())
+    owner, slots = [r["shard"] for r in held], len(held)
+    shards = max(owner) + 1 if shards is None else shards
+    if shards <= max(owner):
+        raise ValueError(f"slots belong to shard {max(owner)}, beyond {shards} shards")
+    found = {r[0]: (r[1], r[2]) for r in measured(docs, slots).groupBy("virtual_slot")
+             .agg(F.count(F.lit(1)), F.sum("size")).collect()}
+    edits = rebalance(owner, [found.get(s, (0, 0))[1] for s in range(slots)], shards)
+    for slot, _, to in edits:
+        owner[slot] = to
+    before, rows = [0] * shards, []
+    for slot, mine in enumerate(owner):
+        count, size = found.get(slot, (0, 0))
+        rows.append((held[0]["version"] + 1, slot, mine, count, size, before[mine]))
+        before[mine] += count
+    return stored(spark.createDataFrame(rows, "version int, virtual_slot int, shard int, slot_rows long, slot_bytes long, "
+                                              "first long").coalesce(1), "slot-map"), edits
+
+
+def shard_by(docs, version):
+    """Every record with its shard and place by one version of the map, which must be of this very table.
+
+    A table that has grown since has other counts a slot, so its places would collide: that is an error. Take
+    :func:`edit_map` first.
+    """
+    rows = measured(docs, version.count())
+    counts = rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("now"))
+    if version.join(counts, "virtual_slot", "left").filter(F.coalesce("now", F.lit(0)) != F.col("slot_rows")).limit(1).count():
+        raise ValueError("the map was made for other rows: edit it first")
+    return _placed(rows, version)
 
 
 @query("op5_sharding")
