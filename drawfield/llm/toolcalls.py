@@ -10,7 +10,8 @@ against schemas and serialised as canonical JSON. DataFrame and SQL functions on
   parent, found by pointer doubling: after k rounds every call knows its 2**k-th ancestor, so a chain
   of a million calls takes twenty joins. Calls sorted by (``conv_id``, ``topo_level``, ``turn``,
   ``call_id``) are in topological order. Calls on a cycle, or below one, have no level.
-* Arguments are parsed as VARIANT, whose JSON form has sorted keys and no blanks.
+* Arguments are parsed as VARIANT, whose JSON form has sorted keys and no blanks. Texts that do not parse, those
+  that repeat a key among them, are kept as ``raw`` beside null arguments. Whole numbers may be written as 1.0.
 
 Status, the first that holds: ``no_id`` (a null in the key links nothing), ``duplicate_call`` and
 ``duplicate_result`` (of rows that repeat a key the smallest, by conversation, turn, text, is linked, these are
@@ -65,7 +66,11 @@ def errors_of(name, arguments, value, schemas=SCHEMAS):
             got = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
             if required:
                 mine.append(F.when(got.isNull(), F.lit(f"missing {field}")))
-            mine.append(F.when(got != _KINDS[kind], F.lit(f"type of {field}")))
+            fits = got == _KINDS[kind]
+            if kind == "integer":
+                # 1.0 is the whole number that its canonical form prints.
+                fits = fits | got.rlike(r"^DECIMAL\(\d+,0\)$")
+            mine.append(F.when(~fits, F.lit(f"type of {field}")))
         extra = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, sorted(fields))))),
                             lambda k: F.concat(F.lit("unexpected "), k))
         faults = F.concat(faults, F.when(tool == known, F.concat(F.array(*mine), extra))
@@ -111,11 +116,15 @@ def link_all(calls, results, schemas=SCHEMAS):
     status = (F.when(F.col("surplus").isNotNull(), F.col("surplus"))
               .when(F.col("called").isNull(), "orphan_result").when(F.col("topo_level").isNull(), "cycle")
               .when(F.size("errors") > 0, "invalid").when(F.col("answered").isNull(), "unanswered").otherwise("linked"))
-    record = F.struct(F.col("value").alias("arguments"), F.col("call_id").alias("id"), "name",
-                      F.col("parent_id").alias("parent"), F.col("content").alias("result"))
+    record = [F.col("value").alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
+              F.col("parent_id").alias("parent"), F.col("content").alias("result")]
+    whole = {"ignoreNullFields": "false"}
+    broken = F.col("value").isNull() & F.col("arguments").isNotNull()
+    canonical = F.when(broken, F.to_json(F.struct(*record[:4], F.col("arguments").alias("raw"), record[4]), whole)) \
+        .otherwise(F.to_json(F.struct(*record), whole))
     return rows.select("call_id", F.when(F.col("called"), F.col("conv_id")).alias("conv_id"), "turn", "parent_id",
                        "topo_level", status.alias("status"), "errors",
-                       F.to_json(record, {"ignoreNullFields": "false"}).alias("canonical"))
+                       canonical.alias("canonical"))
 
 
 def link(calls, results, schemas=SCHEMAS):

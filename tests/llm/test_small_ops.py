@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import oracle
 from drawfield.llm import decontaminate, plans, sharding, toolcalls, toxicity, urls, warc
+from drawfield.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +172,40 @@ def test_sharding_odd_rows_and_map_versions(spark):
     assert sharding.shard(docs.limit(0), 4, 64)[0].count() == 0
 
 
+def test_version_three_edits_version_two(spark):
+    small = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("text"))
+    path = f"{shared_dir(spark, 'maps')}/map"
+    sharding.save_map(sharding.shard(small, 4, 64)[1], path)
+    second = sharding.load_map(spark, path)
+    assert second.first()["version"] == 2 and sharding.load_map(spark, path, 1).count() == 64
+    # a third of all rows share one slot, and the table has doubled
+    hot = spark.range(150).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot text").alias("text"))
+    grown = small.unionByName(hot).unionByName(spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit("new").alias("text")))
+    with pytest.raises(ValueError, match="other rows"):
+        sharding.shard_by(grown, second)
+    third, edits = sharding.edit_map(second, grown)
+    sharding.save_map(third, path)
+    third = sharding.load_map(spark, path)
+    old, new = ({r.virtual_slot: r.shard for r in m.collect()} for m in (second, third))
+    assert third.first()["version"] == 3
+    assert {(s, old[s], new[s]) for s in old if old[s] != new[s]} == set(edits)
+    got = sharding.shard_by(grown, third).collect()
+    assert len(got) == 650 and all(new[r.virtual_slot] == r["shard"] for r in got)
+    for s in range(4):
+        assert sorted(r.place for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    # a fifth shard takes slots, none moves between the old ones but to even out
+    wider, edits = sharding.edit_map(third, grown, shards=5)
+    assert edits and {r.shard for r in wider.collect()} == set(range(5))
+    with pytest.raises(ValueError, match="beyond 3"):
+        sharding.edit_map(third, grown, shards=3)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_map(third, path)
+    with pytest.raises(ValueError, match="version 9"):
+        sharding.load_map(spark, path, 9)
+    nothing, edits = sharding.edit_map(third, grown.limit(0))
+    assert not edits and nothing.agg({"slot_rows": "sum"}).first()[0] == 0
+
+
 def test_rebalancing_moves_few_slots():
     rng = random.Random(3)
     weight = [rng.randrange(100, 200) for _ in range(640)]
@@ -208,6 +243,21 @@ def test_tool_calls(spark):
     assert toolcalls.link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_whole_numbers_and_broken_arguments(spark):
+    texts = {"a": '{"limit":1.0,"query":"q"}', "b": '{"limit":1.5,"query":"q"}', "c": '{"limit":1,"limit":2,"query":"q"}',
+             "d": '{"limit":', "e": None, "f": '{"limit":-20.00,"query":"q"}', "g": '{"limit":"1","query":"q"}'}
+    calls = spark.createDataFrame([(i, 1, 0, "search", t, None) for i, t in texts.items()],
+                                  "call_id string, conv_id long, turn int, name string, arguments string, parent_id string")
+    results = spark.createDataFrame([(i, "r") for i in texts], "call_id string, content string")
+    got = {r.call_id: r for r in toolcalls.link_all(calls, results).collect()}
+    assert {i for i, r in got.items() if r.status == "linked"} == {"a", "f"}
+    assert got["b"].errors == got["g"].errors == ["type of limit"]
+    canonical = {i: json.loads(r.canonical) for i, r in got.items()}
+    assert canonical["a"]["arguments"] == {"limit": 1, "query": "q"} and "raw" not in canonical["a"]
+    assert canonical["c"]["raw"] == texts["c"] and canonical["d"]["raw"] == texts["d"]
+    assert canonical["e"]["arguments"] is None and "raw" not in canonical["e"]
+
+
 def test_every_call_and_result_keeps_a_row(spark):
     """Ids of their conversation only, repeated and null ones."""
     key = '{"key":"k"}'
